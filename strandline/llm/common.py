@@ -46,3 +46,11 @@ def block_of(key: Column, n: int) -> Column:
 def docs_of(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator needs, so others of any name can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that a table doesn't have yet."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name

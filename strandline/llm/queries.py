@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from strandline.llm.line_dedup import OP1_SQL, op1_line_dedup
+from strandline.llm.mixing import op7_mixing
+from strandline.llm.quality_rules import op4_quality_rules
 from strandline.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_mixing": op7_mixing,
 }
 ORACLE_SQL = {
+    "op1_line_dedup": OP1_SQL,
     "op6_substring_dedup": OP6_SQL,
 }

@@ -160,3 +160,32 @@ def unpack(column, dtype) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     body = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     return np.frombuffer(body.tobytes(), dtype), (at - at[0]) // np.dtype(dtype).itemsize
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+    """Cut a batch so that the texts of each piece have about so many bytes at most; one longer text is a piece."""
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    size = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, size[i] + limit, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def per_text(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values between the cuts."""
+    total = np.append(0, np.cumsum(values, dtype=np.int64))
+    return total[cuts[1:]] - total[cuts[:-1]]
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether each key occurs twice or more."""
+    out = np.zeros(len(keys), bool)
+    if len(keys) > 1:
+        order = np.argsort(keys)
+        ranked = keys[order]
+        twin = ranked[1:] == ranked[:-1]
+        out[order[1:][twin]] = True
+        out[order[:-1][twin]] = True
+    return out
