@@ -45,7 +45,7 @@ def anchors(words: ws.Words, length: int, seed: int) -> tuple[np.ndarray, np.nda
     best = grams[at].copy()
     for i in range(1, length - seed + 1):
         np.minimum(best, grams[at + i], out=best)
-    return at, window, best
+    return at, window, ws.mix(best + np.uint64(1))  # smallest hashes are small: spread them, as ranges of hashes are dealt out
 
 
 def _by_bucket(bucket_count: int, key: np.ndarray, *columns: np.ndarray):
