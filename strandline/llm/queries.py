@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from strandline.llm.bpe import op3_bpe
 from strandline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from strandline.llm.mixing import op7_mixing
+from strandline.llm.pii import op10_pii
 from strandline.llm.quality_rules import op4_quality_rules
 from strandline.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
