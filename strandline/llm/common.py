@@ -27,14 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The bytes of the files or tables that a plan reads, from Spark's own statistics: no job runs."""
+    """The bytes of the files or tables that a plan reads, from Spark's own statistics: no job runs. A source of
+    unknown size counts as 64 MB a partition."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    return known if all(x < 1 << 60 for x in sizes) else max(known, df.rdd.getNumPartitions() << 26)
 
 
 def block_count(df: DataFrame, least: int = 64) -> int:
     """Blocks of about 4 MB of input each, larger ones as the input grows beyond 1 GB, up to 64 MB."""
-    n = min(input_bytes(df), 1 << 60)
+    n = input_bytes(df)
     each = (4 << 20) * min(16.0, max(1.0, math.sqrt(n / (1 << 30))))
     return max(least, math.ceil(n / each))
 
