@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from strandline.llm.bpe import op3_bpe
 from strandline.llm.id_store import op5_id_store
+from strandline.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from strandline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from strandline.llm.matroska import op9_matroska
 from strandline.llm.mixing import op7_mixing
 from strandline.llm.pii import op10_pii
+from strandline.llm.quality_classifier import op8_quality_classifier
 from strandline.llm.quality_rules import op4_quality_rules
 from strandline.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_id_store": op5_id_store,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_matroska": op9_matroska,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op2_jaccard_join": OP2_SQL,
     "op6_substring_dedup": OP6_SQL,
 }
