@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,14 +17,20 @@ LANGUAGES = {"en": "english", "de": "german", "zh": "chinese", "ja": "japanese",
 BLEU_TOKENIZERS = {"zh": "zh", "ja": "ja-mecab"}
 
 
-@pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else "")
+@cache
+def _nfkc():
+    """Made on first use: workers that import this module have no session."""
+
+    @pandas_udf("string")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else "")
+
+    return f
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC of the text, "" for null; plain ASCII goes around Python."""
-    return _nfkc(F.coalesce(c, F.lit("")))
+    """NFKC of the text, "" for null."""
+    return _nfkc()(F.coalesce(c, F.lit("")))
 
 
 def py_strip(c: Column) -> Column:

@@ -7,7 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import PandasUDFType, pandas_udf
 
 from strandline import schemas
 from strandline.operators.sweeps import MAX_JUMP, MIN_COST, OVERLAP, parse_alignment
@@ -46,17 +46,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return text.where(F.length("value") > 0).select(F.posexplode(F.split(body, "\n", -1)).alias("row_idx", "line")).select(F.col("row_idx").cast("long").alias("row_idx"), "line")
 
 
-@pandas_udf("array<struct<wav:string,offset:double,duration:double>>")
-def _yaml(texts: pd.Series) -> pd.Series:
+def _yaml_rows(t: str) -> list[dict]:
     import yaml
 
-    return texts.map(lambda t: [{"wav": r["wav"], "offset": float(r["offset"]), "duration": float(r["duration"])} for r in yaml.safe_load(t) or []])
+    return [{"wav": r["wav"], "offset": float(r["offset"]), "duration": float(r["duration"])} for r in yaml.safe_load(t) or []]
 
 
 def segment_yaml(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, wav, offset, duration) of a YAML list; an empty file has none."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(_yaml("value")).alias("row_idx", "r")).select(F.col("row_idx").cast("long").alias("row_idx"), "r.*")
+    return text.select(F.posexplode(pandas_udf(lambda t: t.map(_yaml_rows), "array<struct<wav:string,offset:double,duration:double>>", PandasUDFType.SCALAR)("value")).alias("row_idx", "r")).select(F.col("row_idx").cast("long").alias("row_idx"), "r.*")
 
 
 def wav_listing(spark: SparkSession, path: str) -> DataFrame:
@@ -82,13 +81,8 @@ def wav_seconds(data: bytes | None) -> float:
         return 0.0
 
 
-@pandas_udf("double")
-def _seconds(data: pd.Series) -> pd.Series:
-    return data.map(wav_seconds)
-
-
 def wav_durations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", _seconds("content").alias("seconds"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", pandas_udf(lambda d: d.map(wav_seconds), "double", PandasUDFType.SCALAR)("content").alias("seconds"))
 
 
 def embeddings(spark: SparkSession, text_path: str, vector_path: str) -> DataFrame:
