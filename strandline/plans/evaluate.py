@@ -51,7 +51,8 @@ class Config:
 def char_spans(asr: DataFrame) -> DataFrame:
     """Transcripts with the span of each timed unit in the stream of the text's kept characters."""
     units = F.transform(F.coalesce("time_stamps", F.array().cast("array<struct<text:string,start_time:double,end_time:double>>")), lambda u: F.lower(X.kept_chars(u["text"])))
-    return asr.withColumn("unit_spans", A.locate_units(X.char_stream(F.col("text")), units))
+    # the stream is a column of its own: a Python function can't stand inside a fold
+    return asr.withColumn("stream", X.char_stream(F.col("text"))).withColumn("unit_spans", A.locate_units(F.col("stream"), units))
 
 
 def instances_log(yaml: DataFrame, asr: DataFrame) -> DataFrame:

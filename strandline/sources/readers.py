@@ -7,12 +7,21 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType, pandas_udf
+from pyspark.sql.functions import pandas_udf
 
 from strandline import schemas
 from strandline.operators.sweeps import MAX_JUMP, MIN_COST, OVERLAP, parse_alignment
 
 
+def _series_udf(f, kind: str):
+    """A pandas UDF of a plain function, made when it is called: workers that import this module have no session."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f)
+
+    return pandas_udf(run, kind)
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank ones are passed over, a malformed one raises. ``arrival`` numbers files' lines in order."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("arrival", F.monotonically_increasing_id())
@@ -55,7 +64,7 @@ def _yaml_rows(t: str) -> list[dict]:
 def segment_yaml(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, wav, offset, duration) of a YAML list; an empty file has none."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(pandas_udf(lambda t: t.map(_yaml_rows), "array<struct<wav:string,offset:double,duration:double>>", PandasUDFType.SCALAR)("value")).alias("row_idx", "r")).select(F.col("row_idx").cast("long").alias("row_idx"), "r.*")
+    return text.select(F.posexplode(_series_udf(_yaml_rows, "array<struct<wav:string,offset:double,duration:double>>")("value")).alias("row_idx", "r")).select(F.col("row_idx").cast("long").alias("row_idx"), "r.*")
 
 
 def wav_listing(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +91,7 @@ def wav_seconds(data: bytes | None) -> float:
 
 
 def wav_durations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", pandas_udf(lambda d: d.map(wav_seconds), "double", PandasUDFType.SCALAR)("content").alias("seconds"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", _series_udf(wav_seconds, "double")("content").alias("seconds"))
 
 
 def embeddings(spark: SparkSession, text_path: str, vector_path: str) -> DataFrame:
