@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.bpe import decode, encode
+from strandline.llm.bpe import round_trip
 from strandline.llm.common import free_name, written
 from strandline.llm.jaccard_join import jaccard_join
 from strandline.llm.line_dedup import line_dedup
@@ -60,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     known = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
-    out = decode(encode(known, path, pattern, ["doc_id", "source", "_sha"]), path, pattern)
+    out = round_trip(known, path, pattern, ["doc_id", "source", "_sha"])
     return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("decodes"))
 
 

@@ -25,8 +25,10 @@ from strandline.llm import wordscan as ws
 from strandline.llm.pieces import Dictionary, gather
 
 LONG = 64
+#: Bytes of text that are cut, encoded and decoded at once.
+PART = 4 << 20
 #: Words of one recursive query: its rows stay within the memory limit.
-WORDS_AT_ONCE = 40_000
+WORDS_AT_ONCE = 20_000
 
 #: Rows are tokens with their right neighbour: place, place of the neighbour (-1: none), token, neighbour's token.
 _ENCODE = """
@@ -65,7 +67,7 @@ class Bpe:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {b: a for a, b in self.rank.items()}
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": tempfile.gettempdir() + "/duckdb"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.gettempdir() + "/duckdb"})
         self.db.register("v", pa.table({"rank": pa.array(list(self.rank.values()), pa.int32()), "hex": [k.hex() for k in self.rank]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v ORDER BY rank")
         # every way to make a token of two others: all pairs that may be contracted, with the rank of what they make
@@ -170,7 +172,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None =
     def run(batches):
         _, known = bpe_of(path, pattern)
         for batch in batches:
-            for part in ws.slices(batch, "_text", 8 << 20):
+            for part in ws.slices(batch, "_text", PART):
                 ids, at = known.column(part.column("_text"))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists], names=[*columns, "ids"])
@@ -188,7 +190,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         b, _ = bpe_of(path, pattern)
         for batch in batches:
             size = np.diff(_lists(batch.column("ids"))[1])
-            for i, j in _ranges(size, 2_000_000):
+            for i, j in _ranges(size, PART // 4):
                 part = batch.slice(i, j - i)
                 ids, at = _lists(part.column("ids"))
                 yield pa.RecordBatch.from_arrays([*part.columns, _decoded(b, ids, at)], names=[*part.schema.names, "decoded"])
@@ -196,6 +198,24 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
+    """encode() and decode() in one pass, so that a task has one Python process: the given columns, ``ids``, ``decoded``."""
+    from pyspark.sql import types as T
+
+    columns = columns or ["doc_id"]
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches):
+        b, known = bpe_of(path, pattern)
+        for batch in batches:
+            for part in ws.slices(batch, "_text", PART):
+                ids, at = known.column(part.column("_text"))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, _decoded(b, ids, at)], names=[*columns, "ids", "decoded"])
+
+    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     at = np.asarray(column.offsets)
     return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], (at - at[0]).astype(np.int64)
@@ -237,5 +257,5 @@ def op3_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, pattern), path, pattern)
+    out = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, pattern)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -56,25 +56,38 @@ class Segments:
 class Dictionary:
     """Ids of distinct segments by hash, over the batches of a worker; emptied when it is full, so memory is bounded."""
 
-    def __init__(self, encode, most: int = 400_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode, most: int = 150_000):
+        self.encode, self.most = encode, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hash, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def ids(self, s: Segments) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all distinct segments one after another, and offsets."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        keys = s.hash.tolist()
-        got = [self.known.get(k) for k in keys]
-        new = np.array([i for i, x in enumerate(got) if x is None], np.int64)
-        if len(new):
-            flat, at = self.encode(s.distinct(new))
-            often = np.bincount(s.which, minlength=len(keys))[new] > 1
-            for i, a, b, keep in zip(new.tolist(), at[:-1].tolist(), at[1:].tolist(), often.tolist()):
-                got[i] = flat[a:b].copy() if keep else flat[a:b]
-                if keep:
-                    self.known[keys[i]] = got[i]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return (np.concatenate(got) if got else np.zeros(0, np.int32)).astype(np.int32, copy=False), np.append(0, np.cumsum(sizes))
+        at = np.searchsorted(self.hash, s.hash)
+        at[at == len(self.hash)] = 0
+        known = self.hash[at] == s.hash if len(self.hash) else np.zeros(len(s.hash), bool)
+        new = np.flatnonzero(~known)
+        flat, cuts = self.encode(s.distinct(new))
+        # all segments' places in the known ids followed by the new ones
+        begin, size = np.empty(len(s.hash), np.int64), np.empty(len(s.hash), np.int64)
+        begin[known], size[known] = self.begin[at[known]], self.size[at[known]]
+        begin[new], size[new] = cuts[:-1] + len(self.flat), np.diff(cuts)
+        both = np.concatenate([self.flat, flat.astype(np.int32, copy=False)])
+        out = gather(both, begin, size)
+        often = new[np.bincount(s.which, minlength=len(s.hash))[new] > 1] if len(new) else new
+        if len(self.hash) + len(often) > self.most:
+            self._clear()
+        else:
+            self._keep(s.hash[often], gather(both, begin[often], size[often]), size[often])
+        return out, np.append(0, np.cumsum(size))
+
+    def _keep(self, hashed: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        begin = np.cumsum(size) - size + len(self.flat)
+        hashed, begin, size = np.append(self.hash, hashed), np.append(self.begin, begin), np.append(self.size, size)
+        order = np.argsort(hashed)
+        self.hash, self.begin, self.size, self.flat = hashed[order], begin[order], size[order], np.append(self.flat, ids)
 
     def column(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column one after another, and offsets."""
