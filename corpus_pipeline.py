@@ -39,19 +39,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; of equal rows one stays."""
-    stays = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_stays")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    h = free_name(docs, "_h")
-    return docs.join(stays, key == F.col("_stays"), "left_semi").withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h]).select(*docs.columns)
+    key, h = free_name(docs, "_stays"), free_name(docs, "_h")
+    stays = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias(key)).distinct()
+    known = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(h, F.xxhash64("text"))
+    return known.join(stays, key, "left_semi").dropDuplicates([key, h]).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix_sources(docs).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_t"), F.col("nth").alias("_n"), F.col("copies").alias("_copies")).where("_copies > 0")
-    h, nth = free_name(docs, "_h"), free_name(docs, "_nth")
-    keyed = docs.withColumn(h, F.xxhash64("text")).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", h).orderBy("source")))
-    taken = keyed.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_t")) & (F.col(nth) == F.col("_n")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    i, h, nth, n, copy = (free_name(docs, x) for x in ("_id", "_h", "_nth", "_copies", "_copy"))
+    null = F.lit(2**63 - 1)
+    copies = mix_sources(docs).where("copies > 0").select(F.coalesce("doc_id", null).alias(i), F.coalesce("text_hash", null).alias(h), F.col("nth").alias(nth), F.col("copies").alias(n))
+    keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), null)).withColumn(h, F.coalesce(F.xxhash64("text"), null)).withColumn(nth, F.row_number().over(Window.partitionBy(i, h).orderBy(F.col("source").cast("string").asc_nulls_last())))
+    return keyed.join(copies, [i, h, nth]).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, chunk: int = C
     row = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"))
     base = docs.select(row.alias("row0"), F.col("source").cast("string").alias("source"), size.alias("size"))
     # equal rows are told apart by number; groups of these are as large as one id repeats
-    base = base.withColumn("nth", F.row_number().over(Window.partitionBy("row0", "source").orderBy("size"))).select(F.struct("row0.id", "row0.text", "nth").alias("row"), "source", "size")
+    base = base.withColumn("nth", F.row_number().over(Window.partitionBy("row0").orderBy(F.col("source").asc_nulls_last()))).select(F.struct("row0.id", "row0.text", "nth").alias("row"), "source", "size")
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     # sources are few, but their number isn't bounded: the join is left to Spark's own check of sizes
     goal = targets(per.select("source", "source_size"), weights, cap).join(per.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
