@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # -- vectors -----------------------------------------------------------------------------------------------------
 
@@ -80,19 +84,29 @@ def compact_to_raw(index: Column, start: Column, end: Column) -> Column:
     return F.when(ok, raw).otherwise(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
 
 
-def locate_units(text: Column, units: Column) -> Column:
-    """The span of each unit in the text, searched from where the one before ended; (-1, -1) for a miss.
+def _located(text: pd.Series, units: pd.Series) -> pd.Series:
+    def one(t: str, us) -> list[dict]:
+        at, out = 0, []
+        for u in us:
+            i = t.find(u, at) if u else -1
+            at = i + len(u) if i >= 0 else at
+            out.append({"char_start": i, "char_end": at if i >= 0 else -1})
+        return out
+
+    return pd.Series([one(t or "", us if us is not None else []) for t, us in zip(text, units)], index=text.index)
 
-    Both are streams of kept characters, lower case; spans are of the stream."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<char_start:int,char_end:int>>").alias("out"))
 
-    def step(acc, u):
-        hit = F.when(u == "", F.lit(0)).otherwise(F.call_function("locate", u, text, acc["at"] + 1))
-        found = hit > 0
-        span = F.struct(F.when(found, hit - 1).otherwise(-1).alias("char_start"), F.when(found, hit - 1 + F.length(u)).otherwise(-1).alias("char_end"))
-        return F.struct(F.when(found, hit - 1 + F.length(u)).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+@cache
+def _locate():
+    return pandas_udf(_located, "array<struct<char_start:int,char_end:int>>")
+
+
+def locate_units(text: Column, units: Column) -> Column:
+    """The span of each unit in the text, searched from where the one before ended; (-1, -1) for a miss.
 
-    return F.aggregate(units, start, step, lambda acc: acc["out"])
+    Both are streams of kept characters, lower case; spans are of the stream. The search is a fold whose result grows with
+    the document: as a column of Spark it would be copied for each unit, so it runs in Arrow batches."""
+    return _locate()(text, units)
 
 
 def overlaps(sentences: Column, k: int, most: int = 10_000) -> Column:
