@@ -196,10 +196,10 @@ def merge_ref(spark, d):
     return documents.merge_ref(segments(spark, d)).select("doc_id", "ref", _listed("src_list"), _listed("src_ref_ids"))
 
 
-@query("WITH " + _SEGMENTS + ", r AS (SELECT * FROM s WHERE doc_id::BIGINT % 2 = 0) SELECT a.doc_id, a.tgt, coalesce(b.ref, '') AS ref, coalesce(n, 0)::INTEGER AS n FROM (SELECT doc_id, string_agg(tgt, ' ' ORDER BY turn) AS tgt FROM s GROUP BY doc_id) a LEFT JOIN (SELECT doc_id, string_agg(tgt, ' ' ORDER BY turn) AS ref, count(*) AS n FROM r GROUP BY doc_id) b USING (doc_id)")
+@query("WITH " + _SEGMENTS + ", r AS (SELECT * FROM s WHERE src = '') SELECT a.doc_id, a.tgt, coalesce(b.ref, '') AS ref, coalesce(n, 0)::INTEGER AS n FROM (SELECT doc_id, string_agg(tgt, ' ' ORDER BY turn) AS tgt FROM s GROUP BY doc_id) a LEFT JOIN (SELECT doc_id, string_agg(tgt, ' ' ORDER BY turn) AS ref, count(*) AS n FROM r GROUP BY doc_id) b USING (doc_id)")
 def combine_docs(spark, d):
     s = segments(spark, d)
-    ref = documents.merge_ref(s.where(F.col("doc_id").cast("long") % 2 == 0), separator=" ")
+    ref = documents.merge_ref(s.where("src = ''"), separator=" ")
     return documents.combine(documents.merge_system(s, separator=" "), ref).select("doc_id", "tgt", "ref", F.size("src_list").alias("n"))
 
 
@@ -245,11 +245,11 @@ def drop_rate(spark, d):
     return out.withColumn("dropped_percent", F.round("dropped_percent", 6))
 
 
-@query("""WITH a AS (SELECT (l_orderkey % 200)::VARCHAR AS doc_id, l_suppkey AS sid, l_partkey AS i FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH a AS (SELECT (l_orderkey % 200)::VARCHAR AS doc_id, l_suppkey AS sid, l_partkey AS i FROM lineitem),
 s AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, (p_partkey % 200)::VARCHAR AS doc_id, p_retailprice AS price FROM part)
 SELECT a.doc_id, a.sid::VARCHAR AS seg_id, round(min_by(price, row_idx), 2) AS start_ms, round(max_by(price, row_idx) + 1, 2) AS end_ms FROM (SELECT doc_id, sid, unnest(list(i)) AS i FROM a GROUP BY doc_id, sid) a LEFT JOIN s ON s.doc_id = a.doc_id AND s.row_idx = a.i - 1 GROUP BY a.doc_id, a.sid""")
 def ids_to_span(spark, d):
-    li = _table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 200).cast("string").alias("doc_id"), F.col("l_suppkey").cast("string").alias("seg_id"), F.col("l_partkey").cast("int").alias("i"))
+    li = _table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).cast("string").alias("doc_id"), F.col("l_suppkey").cast("string").alias("seg_id"), F.col("l_partkey").cast("int").alias("i"))
     segs = li.groupBy("doc_id", "seg_id").agg(F.collect_list("i").alias("src_ref_ids"))
     parts = documents.number_globally(_table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey", name="row_idx")
     sents = parts.select((F.col("p_partkey") % 200).cast("string").alias("doc_id"), "row_idx", F.col("p_retailprice").alias("start_ms"), (F.col("p_retailprice") + 1).alias("end_ms"))
@@ -334,12 +334,12 @@ def compact_index(spark, d):
     return u.select("user_id", A.compact_index(F.transform("x", lambda x: x["u"])).alias("compact")).where(F.size("compact") > 0).select("user_id", _listed("compact"))
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:6] AS s FROM documents),
+@query("""WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS s FROM documents),
 o AS (SELECT doc_id, k, i, s FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM s), range(1, 5) t(k)),
 x AS (SELECT CASE WHEN i + 1 < k THEN 'PAD' ELSE left(replace(trim(array_to_string(s[i + 2 - k:i + 1], ' ')), chr(10), ' '), 10000) END AS text FROM o)
 SELECT DISTINCT text FROM x""")
 def overlaps_k(spark, d):
-    lines = F.slice(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), 1, 6)
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
     return alignment.distinct_overlaps(_table(spark, d, "documents").select("doc_id", lines.alias("s")), "s", 4)
 
 
@@ -437,8 +437,8 @@ def cost_range(spark, d):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-_PRF = """g AS (SELECT DISTINCT 'f' || (o_orderkey % 7) AS file, [o_orderkey % 50, o_orderkey % 50 + 1] AS s, [o_custkey % 40] AS t FROM orders WHERE o_orderkey % 3 = 0),
-x AS (SELECT DISTINCT 'f' || (o_orderkey % 7) AS file, CASE WHEN o_orderkey % 5 = 0 THEN []::BIGINT[] WHEN o_orderkey % 2 = 0 THEN [o_orderkey % 50, o_orderkey % 50 + 1] ELSE [o_orderkey % 50] END AS s, [o_custkey % 40] AS t FROM orders WHERE o_orderkey % 4 <> 1)"""
+_PRF = """g AS (SELECT DISTINCT 'f' || (o_orderkey % 7) AS file, [o_orderkey % 50, o_orderkey % 50 + 1] AS s, [o_custkey % 40] AS t FROM orders WHERE o_orderstatus <> 'F'),
+x AS (SELECT DISTINCT 'f' || (o_orderkey % 7) AS file, CASE WHEN o_orderkey % 5 = 0 THEN []::BIGINT[] WHEN o_orderkey % 2 = 0 THEN [o_orderkey % 50, o_orderkey % 50 + 1] ELSE [o_orderkey % 50] END AS s, [o_custkey % 40] AS t FROM orders WHERE o_orderpriority < '4')"""
 
 
 @query("WITH " + _PRF + """, p AS (SELECT file, s, t, EXISTS (SELECT 1 FROM g WHERE g.file = x.file AND g.s = x.s AND g.t = x.t) AS strict, EXISTS (SELECT 1 FROM g WHERE g.file = x.file AND list_has_any(g.s, x.s) AND list_has_any(g.t, x.t)) AS lax FROM x),
@@ -446,12 +446,12 @@ r AS (SELECT file, s, t, EXISTS (SELECT 1 FROM x WHERE len(x.s) > 0 AND g.file =
 a AS (SELECT avg(strict::INT) AS ps, avg((strict OR lax)::INT) AS pl FROM p), b AS (SELECT avg(strict::INT) AS rs, avg((strict OR lax)::INT) AS rl FROM r)
 SELECT round(ps, 9) AS precision_strict, round(pl, 9) AS precision_lax, round(rs, 9) AS recall_strict, round(rl, 9) AS recall_lax, round(CASE WHEN ps + rs = 0 THEN 0 ELSE 2 * ps * rs / (ps + rs) END, 9) AS f1_strict, round(CASE WHEN pl + rl = 0 THEN 0 ELSE 2 * pl * rl / (pl + rl) END, 9) AS f1_lax FROM a, b""")
 def align_prf(spark, d):
-    o = _table(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string")).alias("file"))
+    o = _table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string")).alias("file"))
     one, two = F.array(F.col("o_orderkey") % 50), F.array(F.col("o_orderkey") % 50, F.col("o_orderkey") % 50 + 1)
     tgt = F.array(F.col("o_custkey") % 40).alias("tgt_idx")
-    gold = o.where("o_orderkey % 3 = 0").select("file", two.alias("src_idx"), tgt)
+    gold = o.where("o_orderstatus <> 'F'").select("file", two.alias("src_idx"), tgt)
     none = F.array().cast("array<bigint>")
-    test = o.where("o_orderkey % 4 <> 1").select("file", F.when(F.col("o_orderkey") % 5 == 0, none).when(F.col("o_orderkey") % 2 == 0, two).otherwise(one).alias("src_idx"), tgt)
+    test = o.where("o_orderpriority < '4'").select("file", F.when(F.col("o_orderkey") % 5 == 0, none).when(F.col("o_orderkey") % 2 == 0, two).otherwise(one).alias("src_idx"), tgt)
     out = sweeps.precision_recall(gold, test)
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
@@ -472,27 +472,27 @@ def alignment_text(spark, d):
 # -- perturbation ------------------------------------------------------------------------------------------------
 
 
-@query("WITH " + _SEGMENTS + """, p AS (SELECT doc_id, turn, CASE WHEN doc_id::BIGINT % 3 = 0 AND turn IN (0, 2) THEN 0 ELSE turn END AS g, src, tgt FROM s),
+@query("WITH " + _SEGMENTS + """, p AS (SELECT doc_id, turn, CASE WHEN turn IN (0, 2) THEN 0 ELSE turn END AS g, src, tgt FROM s),
 m AS (SELECT doc_id, g, CASE WHEN count(*) > 1 THEN g || '_2' ELSE g::VARCHAR END AS seg_id, string_agg(src, ' ' ORDER BY turn) AS src, string_agg(tgt, ' ' ORDER BY turn) AS tgt FROM p GROUP BY doc_id, g),
 o AS (SELECT p.doc_id, p.turn::VARCHAR AS seg_id, m.src, CASE WHEN m.seg_id LIKE '%\\_%' ESCAPE '\\' THEN m.tgt ELSE p.tgt END AS tgt FROM p JOIN m ON m.doc_id = p.doc_id AND m.g = p.g)
 SELECT * FROM o""")
 def perturb_merge(spark, d):
     s = segments(spark, d).select("doc_id", "seg_id", "src", "tgt")
-    pairs = s.where("doc_id % 3 = 0 AND seg_id = '0'").join(s.where("seg_id = '2'").select("doc_id"), "doc_id").select("doc_id", F.lit(0).cast("long").alias("first"), F.lit(2).cast("long").alias("second"))
+    pairs = s.where("seg_id = '0'").join(s.where("seg_id = '2'").select("doc_id"), "doc_id").select("doc_id", F.lit(0).cast("long").alias("first"), F.lit(2).cast("long").alias("second"))
     return perturb.propagate_merges(perturb.merge_pairs(s, pairs), s)
 
 
-@query("WITH " + _SEGMENTS + "SELECT doc_id, seg_id, CASE WHEN doc_id::BIGINT % 4 = 0 AND turn = 0 OR src = '' THEN '' ELSE src END AS src, CASE WHEN doc_id::BIGINT % 4 = 0 AND turn = 0 OR src = '' THEN '' ELSE tgt END AS tgt FROM s")
+@query("WITH " + _SEGMENTS + "SELECT doc_id, seg_id, CASE WHEN turn = 0 OR src = '' THEN '' ELSE src END AS src, CASE WHEN turn = 0 OR src = '' THEN '' ELSE tgt END AS tgt FROM s")
 def perturb_drop(spark, d):
     s = segments(spark, d).select("doc_id", "seg_id", "src", "tgt")
-    changed = s.withColumn("src", F.when((F.col("doc_id").cast("long") % 4 == 0) & (F.col("seg_id") == "0"), "").otherwise(F.col("src")))
+    changed = s.withColumn("src", F.when(F.col("seg_id") == "0", "").otherwise(F.col("src")))
     return perturb.propagate_drops(changed, s)
 
 
-@query("WITH " + _SEGMENTS + "SELECT a.doc_id, a.src, b.tgt FROM (SELECT doc_id, string_agg(src, ' ' ORDER BY turn) AS src FROM s WHERE doc_id::BIGINT % 2 = 0 GROUP BY 1) a JOIN (SELECT doc_id, string_agg(tgt, ' ' ORDER BY turn) AS tgt FROM s WHERE doc_id::BIGINT % 3 = 0 GROUP BY 1) b USING (doc_id)")
+@query("WITH " + _SEGMENTS + "SELECT a.doc_id, a.src, b.tgt FROM (SELECT doc_id, string_agg(src, ' ' ORDER BY turn) AS src FROM s GROUP BY 1) a JOIN (SELECT doc_id, string_agg(tgt, ' ' ORDER BY turn) AS tgt FROM s GROUP BY 1) b USING (doc_id)")
 def recombine(spark, d):
     m = documents.merge_system(segments(spark, d), separator=" ")
-    return perturb.recombine(m.where("doc_id % 2 = 0"), m.where("doc_id % 3 = 0"))
+    return perturb.recombine(m, m)
 
 
 @query()
@@ -508,26 +508,29 @@ def sample_merges(spark, d):
 # -- vectors -----------------------------------------------------------------------------------------------------
 
 
-@query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-5)) AS v FROM embeddings WHERE label IN (0, 1)),
-m AS (SELECT a.vec_id, 1 - avg(list_dot_product(a.v, b.v)) AS norm FROM u a JOIN u b ON a.label <> b.label GROUP BY a.vec_id),
-s AS (SELECT a.vec_id AS x, b.vec_id AS y, 2 * (1 - list_dot_product(a.v, b.v)) / (1e-6 + p.norm + q.norm) AS cost FROM u a JOIN u b ON a.label = 0 AND b.label = 1 JOIN m p ON p.vec_id = a.vec_id JOIN m q ON q.vec_id = b.vec_id)
-SELECT x, y, round(cost, 6) AS cost FROM s""")
+_UNITS = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-5)) AS v FROM embeddings)"
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of documents: each label's vectors as sources, the next label's as targets."""
+    e = _table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    return e.select(F.col("label").alias("doc_id"), "vec_id", "vec"), e.select((F.col("label") - 1).alias("doc_id"), "vec_id", "vec")
+
+
+@query("WITH " + _UNITS + """, m AS (SELECT a.vec_id AS x, a.label AS doc_id, 1 - avg(list_dot_product(a.v, b.v)) AS n FROM u a JOIN u b ON b.label = a.label + 1 GROUP BY ALL),
+w AS (SELECT b.vec_id AS y, b.label - 1 AS doc_id, 1 - avg(list_dot_product(a.v, b.v)) AS n FROM u a JOIN u b ON b.label = a.label + 1 GROUP BY ALL)
+SELECT a.label AS doc_id, a.vec_id AS x, b.vec_id AS y, round(2 * (1 - list_dot_product(a.v, b.v)) / (1e-6 + m.n + w.n), 6) AS cost FROM u a JOIN u b ON b.label = a.label + 1 JOIN m ON m.x = a.vec_id JOIN w ON w.y = b.vec_id""")
 def vec_cost(spark, d):
-    e = _table(spark, d, "embeddings").select("vec_id", "label", A.unit(F.col("embedding")).alias("vec"))
-    a, b = e.where("label = 0"), e.where("label = 1")
-    raw = _table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
-    na, nb = alignment.norms_of(raw.where("label = 0"), raw.where("label = 1")), alignment.norms_of(raw.where("label = 1"), raw.where("label = 0"))
-    left = a.join(na, "vec_id").select(F.col("vec_id").alias("x"), F.col("vec").alias("p"), F.col("norm").alias("n0"), F.lit(1).alias("doc"))
-    right = b.join(nb, "vec_id").select(F.col("vec_id").alias("y"), F.col("vec").alias("q"), F.col("norm").alias("n1"), F.lit(1).alias("doc"))
-    # the cost matrix of one pair of documents is the result itself
-    return left.join(right, "doc").select("x", "y", F.round(A.pair_cost(A.dot(F.col("p"), F.col("q")), F.col("n0"), F.col("n1")), 6).alias("cost"))
-
-
-@query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-5)) AS v FROM embeddings)
-SELECT a.vec_id, round(1 - avg(list_dot_product(a.v, b.v)), 6) AS norm FROM u a JOIN u b ON a.label <> b.label AND a.label < 3 AND b.label = 3 GROUP BY a.vec_id""")
+    src, tgt = _sides(spark, d)
+    left = alignment.norms_of(src, tgt).select("doc_id", F.col("vec_id").alias("x"), F.col("unit").alias("p"), F.col("norm").alias("n0"))
+    right = alignment.norms_of(tgt, src).select("doc_id", F.col("vec_id").alias("y"), F.col("unit").alias("q"), F.col("norm").alias("n1"))
+    # the cost matrix of each pair of documents is the result itself
+    return left.join(right, "doc_id").select("doc_id", "x", "y", F.round(A.pair_cost(A.dot(F.col("p"), F.col("q")), F.col("n0"), F.col("n1")), 6).alias("cost"))
+
+
+@query("WITH " + _UNITS + "SELECT a.label AS doc_id, a.vec_id, round(1 - avg(list_dot_product(a.v, b.v)), 6) AS norm FROM u a JOIN u b ON b.label = a.label + 1 GROUP BY a.label, a.vec_id")
 def vec_norms(spark, d):
-    e = _table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
-    return alignment.norms_of(e.where("label < 3"), e.where("label = 3")).select("vec_id", F.round("norm", 6).alias("norm"))
+    return alignment.norms_of(*_sides(spark, d)).select("doc_id", "vec_id", F.round("norm", 6).alias("norm"))
 
 
 def _doc_embedding_sql() -> str:
@@ -549,8 +552,8 @@ def vec_align(spark, d):
     e = _table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     rows = e.withColumn("at", at).groupBy("label").agg(F.array_sort(F.collect_list(F.struct(F.lit(1).alias("size"), "at", F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("vec")))).alias("v"))
-    left = rows.where("label < 8").select(F.col("label").cast("string").alias("doc_id"), "v")
-    right = rows.where("label > 0 AND label < 9").select((F.col("label") - 1).cast("string").alias("doc_id"), "v")
+    left = rows.select(F.col("label").cast("string").alias("doc_id"), "v")
+    right = rows.select((F.col("label") - 1).cast("string").alias("doc_id"), "v")
     swept = alignment.sweep(left, right, 2)
     return alignment.best_alignment(swept, max_jump=1.0, min_cost=0.0).select("doc_id", "step", "aln_idx", "src_idx", "tgt_idx", F.round("cost", 6).alias("cost"))
 
@@ -558,7 +561,7 @@ def vec_align(spark, d):
 @query()
 def resegment_docs(spark, d):
     """Documents' lines as segments, their words as timed units: the exact matchers with their cursors."""
-    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").where(F.length("text") < 4000)
+    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     lines = documents.sentence_offsets(docs).withColumn("row_idx", F.col("line_no").cast("long"))
     segs = lines.select("doc_id", F.lit(None).cast("string").alias("sys_id"), F.col("sentence").alias("src"), F.col("sentence").alias("ref"), F.col("sentence").alias("tgt"), F.col("line_no").cast("string").alias("seg_id"), F.array((F.col("line_no") + 1).cast("int")).alias("src_ref_ids"), F.array().cast("array<int>").alias("mt_indices"), F.when(F.col("line_no") % 2 == 0, F.col("char_start")).otherwise(-1).cast("int").alias("mt_char_start"), F.col("char_end").cast("int").alias("mt_char_end"), F.col("line_no").alias("arrival"))
     sents = lines.select("doc_id", "row_idx", (F.col("char_start") * 10.0).alias("start_ms"), (F.col("char_end") * 10.0).alias("end_ms"), F.col("sentence").alias("text"))
