@@ -13,8 +13,10 @@ from pyspark.sql.functions import pandas_udf
 #: Code points of CJK characters that are tokens of their own.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}"
 #: Languages and their names, and tokenizers of the quality score.
-LANGUAGES = {"en": "english", "de": "german", "zh": "chinese", "ja": "japanese", "ko": "korean", "es": "spanish", "fr": "french", "it": "italian", "pt": "portuguese", "ru": "russian"}
-BLEU_TOKENIZERS = {"zh": "zh", "ja": "ja-mecab"}
+LANGUAGES = {"en": "English", "zh": "Chinese", "de": "German", "ja": "Japanese"}
+#: Fixed value: what stands before the number in long document ids.
+LONG_ID = "acl-long."
+BLEU_TOKENIZERS = {"en": "13a", "zh": "zh", "de": "13a", "ja": "ja-mecab"}
 
 
 @cache
@@ -122,12 +124,12 @@ def doc_key(path: Column) -> Column:
 
 def language_name(code: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, F.lower(code)), code)
+    return F.coalesce(F.try_element_at(known, code), code)
 
 
 def bleu_tokenizer(code: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in BLEU_TOKENIZERS.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, F.lower(code)), F.lit("13a"))
+    return F.coalesce(F.try_element_at(known, code), F.lit("13a"))
 
 
 def language_pair(name: Column) -> Column:
@@ -136,7 +138,8 @@ def language_pair(name: Column) -> Column:
 
 
 def doc_matches(doc: Column, short: Column) -> Column:
-    return (doc == short) | F.contains(doc, F.concat(F.lit("acl-long."), short, F.lit(".")))
+    """Equal ids, or a long id that has the short one after its fixed prefix."""
+    return (doc == short) | F.contains(doc, F.concat(F.lit(LONG_ID), short, F.lit(".")))
 
 
 def segment_order(seg: Column) -> Column:

@@ -45,7 +45,7 @@ class Config:
 
     @property
     def bleu_tokenizer(self) -> str:
-        return X.BLEU_TOKENIZERS.get(self.tgt_lang.lower(), "13a")
+        return X.BLEU_TOKENIZERS.get(self.tgt_lang, "13a")
 
 
 def char_spans(asr: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def run(spark: SparkSession, config: Config) -> dict:
         row = scores.score_row(scored, config.bleu_tokenizer)
         writers.scores_tsv(row, config.path("output_evaluation", "scores.resegmented.csv"))
         ok = F.col("latency_eligible")
-        cards = quality.join(scored.select("index", F.when(F.size("elapsed") > 0, F.col("elapsed")[0]).alias("f"), A.ending_offset(F.col("elapsed"), F.col("source_length")).alias("e")), "index").withColumns({"first_offset": F.when(ok, F.col("f")), "end_offset": F.when(ok, F.col("e"))})
+        cards = quality.join(scored.select("index", (F.try_element_at("elapsed", F.lit(1)) - F.col("source_length")).alias("f"), A.ending_offset(F.col("elapsed"), F.col("source_length")).alias("e")), "index").withColumns({"first_offset": F.when(ok, F.col("f")), "end_offset": F.when(ok, F.col("e"))})
         writers.html_report(writers.report_cards(cards), config.path("output_evaluation", "report.html"))
         return row.first().asDict()
     except Exception as e:

@@ -89,11 +89,11 @@ def yaal_shortform(spark, d):
     return t.select("doc_id", F.round(A.yaal(F.col("delays"), F.col("source_length"), F.col("recording_end"), longform=False), 3).alias("yaal")).where("yaal IS NOT NULL")
 
 
-@query(_CA + "SELECT user_id::VARCHAR AS doc_id, round(last - any_value(src), 5) AS ending_offset, round(max_by(d, i) - any_value(src), 5) AS ca_ending_offset, round(min_by(d, i), 5) AS first_offset FROM p GROUP BY user_id, last")
+@query(_CA + "SELECT user_id::VARCHAR AS doc_id, round(last - any_value(src), 5) AS ending_offset, round(max_by(d, i) - any_value(src), 5) AS ca_ending_offset, round(min_by(d, i) - any_value(src), 5) AS first_offset FROM p GROUP BY user_id, last")
 def ending_offset(spark, d):
     t = timelines(spark, d)
     n = F.col("source_length")
-    return t.select("doc_id", F.round(A.ending_offset(F.col("delays"), n), 5).alias("ending_offset"), F.round(A.ending_offset(F.col("elapsed"), n), 5).alias("ca_ending_offset"), F.round(F.col("elapsed")[0], 5).alias("first_offset"))
+    return t.select("doc_id", F.round(A.ending_offset(F.col("delays"), n), 5).alias("ending_offset"), F.round(A.ending_offset(F.col("elapsed"), n), 5).alias("ca_ending_offset"), F.round(F.try_element_at("elapsed", F.lit(1)) - n, 5).alias("first_offset"))
 
 
 @query(_CU + "SELECT user_id::VARCHAR AS doc_id, '1' AS seg_id, 0.0::DOUBLE AS first_delay, round(last, 5) AS last_delay, round(last * 0.8, 5) AS recording_end, round(last, 5) AS delay_span, round(last - last * 0.8, 5) AS gap, round(last - last * 0.8, 5) AS diff_ms_span FROM b")

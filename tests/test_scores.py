@@ -97,7 +97,7 @@ def test_text_columns(spark):
     assert [one(X.to_ms(x), s) for s in ("0", "737.44", "737440", "n/a")] == [math.inf, 737440.0, 737440.0, math.inf]
     assert one(X.doc_key(x), "a\\b/c.wav") == "c.wav" and one(X.language_pair(x), "wmt_EN_de_x") == "en-de" and one(X.language_pair(x), "q") == "unknown"
     assert one(X.segment_order(x), "12") == 12 and one(X.segment_order(x), "1_2") == 10**9 and one(X.segment_prefix(x), "14_15") == 14
-    assert one(X.language_name(x), "de") == "german" and one(X.bleu_tokenizer(x), "zh") == "zh" and one(X.bleu_tokenizer(x), "de") == "13a"
+    assert one(X.language_name(x), "de") == "German" and one(X.language_name(x), "fr") == "fr" and one(X.bleu_tokenizer(x), "zh") == "zh" and one(X.bleu_tokenizer(x), "de") == "13a"
     assert one(X.bleu_tokens(x), "Hello, world. 3,000-4") == ["Hello", ",", "world", ".", "3,000", "-", "4"]
     assert one(X.is_latin(x), "é1") and not one(X.is_latin(x), "北")
     assert one(X.seconds_to_ms(x), 0.0025) == 2
