@@ -15,9 +15,7 @@ ValueError; an empty payload is stored as 64 zero bytes.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -302,7 +300,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in ws.slices(batch, "text", 8 << 20):
+            for part in ws.slices(batch, "text", 2 << 20):
                 body, at = ws.flat(part.column("text"))
                 raw = body.tobytes()
                 files = [write_file(raw[a:b] + bytes(-(b - a) % UNIT if b > a else UNIT)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -352,15 +350,29 @@ def read_back(media: DataFrame, columns: list[str]) -> DataFrame:
     return media.mapInArrow(run, schema)
 
 
-def op9_matroska(spark, sf_dir: str) -> DataFrame:
-    def digest(batches):
+def store_and_read(docs: DataFrame) -> DataFrame:
+    """store() and read_back() in one pass, so that a task has one Python process: doc_id, n_bytes, media, payload, feature."""
+
+    def run(batches):
         for batch in batches:
-            stored, data = batch.column("media").to_pylist(), batch.column("payload").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data]), pa.array([zlib.crc32(x[-UNIT:]) for x in data], pa.int64()), pa.array([len(x) for x in stored], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in stored]), batch.column("feature")],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    media = store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    back = read_back(media, ["doc_id", "n_bytes", "media"])
-    return back.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for part in ws.slices(batch, "text", 2 << 20):
+                body, at = ws.flat(part.column("text"))
+                raw = body.tobytes()
+                files = [write_file(raw[a:b] + bytes(-(b - a) % UNIT if b > a else UNIT)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                parsed = [parse(x) for x in files]
+                data = [payload(x, 1, m) for x, m in zip(files, parsed)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(at)), pa.array(files, pa.binary()), pa.array(data, pa.binary()), pa.array([features(m, x) for m, x in zip(parsed, data)], pa.string())],
+                    names=["doc_id", "n_bytes", "media", "payload", "feature"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")
+
+
+def op9_matroska(spark, sf_dir: str) -> DataFrame:
+    back = store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    size = F.octet_length("payload")
+    tail = F.substring("payload", -UNIT, UNIT)
+    return back.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature"
+    )
