@@ -7,8 +7,8 @@ match is extended both ways over all the runs around it that chose this fingerpr
 that also starts earlier, in a document with a smaller id or further up in the same one, goes; overlapping runs make
 up the maximal repeat.
 
-Counting is by partial aggregation, and the joins' large sides are plain rows that Spark may split where one
-fingerprint is hot; places of a run are never paired with each other, only with its first place.
+Counting is by partial aggregation; what is joined with is written first, so both sides of a join are plain shuffles that
+Spark may split where one fingerprint is hot; places of a run are never paired with each other, only with its first place.
 
 Defined results: a null text counts as empty; blank lines always stay; documents with fewer than ``least`` counted
 lines stay whole; a line stays at its first place, so no line is lost altogether; rows that repeat a doc_id
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import free_name
+from strandline.llm.common import free_name, written
 
 #: Runs of at least so many lines; fingerprints are of so many lines.
 LEAST, SEED = 3, 2
@@ -45,10 +45,11 @@ def line_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFra
     hashed = docs.select(key_of.alias("key"), F.transform(F.filter(split, counted), lambda x: F.xxhash64(x)).alias("lines"))
     runs = hashed.select("key", F.explode(_runs(F.col("lines"), least, seed)).alias("r")).select("key", "r.at", "r.seed", "r.run")
     # 1. fingerprints that occur more than once, one row for each choice of one place in a document
-    seeds = runs.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    seeds = written(runs.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "line-seeds")
     near = runs.join(seeds, "seed", "left_semi")
     # 2. from each fingerprint, the runs around it: the first place of each
     firsts = near.groupBy("run").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
+    firsts = written(firsts, "line-firsts")
     later = near.join(firsts, "run").where(F.struct("key", "at") > F.col("first"))
     # 3. overlapping later runs make the maximal repeats of a document
     gone = later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + (least - 1))))).alias(lines_name))
