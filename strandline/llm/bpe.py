@@ -26,7 +26,7 @@ from strandline.llm.pieces import Dictionary, gather
 
 LONG = 64
 #: Bytes of text that are cut, encoded and decoded at once.
-PART = 4 << 20
+PART = 2 << 20
 #: Words of one recursive query: its rows stay within the memory limit.
 WORDS_AT_ONCE = 20_000
 
