@@ -5,7 +5,8 @@ document; the fraction is rounded by the pivotal method: two documents with frac
 words to each other, at random and without bias, so that a f + b g stays and one of them becomes 0 or 1. What stays
 undecided goes on to the next one. Documents meet in chunks of bounded size, the longest first so that a short one is left; each chunk leaves one undecided
 document, and these meet in chunks again: a reduction tree, whose height is the logarithm of the number of documents.
-The last one of a source is rounded to the nearer whole number, so what a source takes differs from its target by half a document at most.
+The last one of a source is rounded to the nearer whole number, and one other decision is turned over if that brings the
+sum nearer to the target: of all that is drawn only this last step isn't by chance, and it moves a source by less than half a document.
 
 Random numbers are hashes of doc_id, size and seed: reruns agree, however the rows are dealt.
 
@@ -53,7 +54,7 @@ def _unit(*parts) -> F.Column:
 def _reduce(items: DataFrame, seed: int) -> DataFrame:
     """One level: for each chunk the decisions of all its documents but one, and that one with its fraction."""
     x = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "h", "row", "size", "f")))
-    start = F.struct(F.element_at("_x", 1).alias("open"), F.array().cast("array<struct<row:struct<id:bigint,text:bigint,nth:int>,up:int>>").alias("done"))
+    start = F.struct(F.element_at("_x", 1).alias("open"), F.array().cast("array<struct<row:struct<id:bigint,text:bigint,nth:int>,size:double,up:int>>").alias("done"))
 
     def meet(acc, b):
         a = acc["open"]
@@ -65,7 +66,7 @@ def _reduce(items: DataFrame, seed: int) -> DataFrame:
         to_b = _unit(a["row"]["id"], a["row"]["text"], a["row"]["nth"], b["row"]["id"], b["row"]["text"], b["row"]["nth"], F.lit(seed)) * (give + take) < take
         # after the transfer exactly one of the two is 0 or full, told by which bound was met and not by rounded numbers
         a_done = F.when(to_b, mass_a <= b["size"] - mass_b).otherwise(a["size"] - mass_a <= mass_b)
-        done = F.when(a_done, F.struct(a["row"].alias("row"), F.when(to_b, 0).otherwise(1).alias("up"))).otherwise(F.struct(b["row"].alias("row"), F.when(to_b, 1).otherwise(0).alias("up")))
+        done = F.when(a_done, F.struct(a["row"].alias("row"), a["size"].alias("size"), F.when(to_b, 0).otherwise(1).alias("up"))).otherwise(F.struct(b["row"].alias("row"), b["size"].alias("size"), F.when(to_b, 1).otherwise(0).alias("up")))
         left = F.when(a_done, total - F.when(to_b, F.lit(0.0)).otherwise(a["size"].cast("double"))).otherwise(total - F.when(to_b, b["size"].cast("double")).otherwise(F.lit(0.0)))
         who = lambda field: F.when(a_done, b[field]).otherwise(a[field])
         f = F.least(F.lit(1.0), F.greatest(F.lit(0.0), left / who("size")))
@@ -75,6 +76,17 @@ def _reduce(items: DataFrame, seed: int) -> DataFrame:
     return items.groupBy("source", "chunk", "chunks").agg(x.alias("_x")).select("source", "chunk", "chunks", folded.alias("r"))
 
 
+def _settled(r):
+    """The decisions of a source's last chunk after its last document is rounded: the words by which that misses go to one
+    other document of the chunk, the one whose size is nearest, if turning its decision over brings the sum nearer."""
+    up = (r["open"]["f"] >= 0.5).cast("int")
+    missed = r["open"]["size"] * (up - r["open"]["f"])  # too many, if positive
+    gap = lambda d: F.abs(F.abs(missed) - d["size"])
+    turns = F.filter(r["done"], lambda d: (d["up"] == F.when(missed > 0, 1).otherwise(0)) & (gap(d) < F.abs(missed)))
+    best = F.array_min(F.transform(turns, lambda d: F.struct(gap(d).alias("gap"), d["row"].alias("row"))))
+    return F.transform(r["done"], lambda d: F.struct(d["row"].alias("row"), F.when(best.isNotNull() & (d["row"] == best["row"]), 1 - d["up"]).otherwise(d["up"]).alias("up")))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and ``copies`` (taken = copies x size) for each document."""
     size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
@@ -99,7 +111,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, chunk: int = C
         if last:
             level = level.withColumn("chunk", F.lit(0).cast("long"))
         r = _reduce(level, seed)
-        done = r.select(F.explode("r.done").alias("d")).select("d.row", "d.up")
+        done = r.select(F.explode(_settled(F.col("r")) if last else F.col("r.done")).alias("d")).select("d.row", "d.up")
         decided = done if decided is None else decided.unionByName(done)
         opened = r.select("source", "chunk", "chunks", "r.open.*")
         if last:
