@@ -10,8 +10,11 @@ up the maximal repeat.
 Counting is by partial aggregation; what is joined with is written first, so both sides of a join are plain shuffles that
 Spark may split where one fingerprint is hot; places of a run are never paired with each other, only with its first place.
 
-Defined results: a null text counts as empty; blank lines always stay; documents with fewer than ``least`` counted
-lines stay whole; a line stays at its first place, so no line is lost altogether; rows that repeat a doc_id
+With ``words``, shorter runs count as well once they hold so many words: single lines and every run of fewer than ``least``
+lines. Their own hash is their fingerprint. Lines too short for that go only as parts of longer runs.
+
+Defined results: a null text counts as empty; blank lines always stay; without ``words``, documents with fewer than ``least``
+counted lines stay whole; a line stays at its first place, so no line is lost altogether; rows that repeat a doc_id
 are told apart by their order of text; a null doc_id comes last. A text of which nothing goes is returned unchanged.
 """
 
@@ -20,30 +23,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import free_name, written
+from strandline.llm.common import WORD, free_name, written
 
 #: Runs of at least so many lines; fingerprints are of so many lines.
 LEAST, SEED = 3, 2
+#: Of op1_line_dedup_words: runs of fewer lines that hold so many words. Labels, greetings and headings mostly hold fewer.
+WORDS = 5
 
 
 def _runs(lines: Column, least: int, seed: int) -> Column:
-    """For each run of ``least`` counted lines: its fingerprint and its hash, in order."""
+    """For each run of ``least`` counted lines: its fingerprint, its hash and its number of lines, in order."""
     n = F.size(lines)
     gram = lambda i, k: F.xxhash64(F.slice(lines, i, F.lit(k)))
     starts = F.sequence(F.lit(1), n - (least - 1))
     grams = lambda i: F.array_min(F.array(*[gram(i + j, seed) for j in range(least - seed + 1)]))
-    return F.when(n >= least, F.transform(starts, lambda i: F.struct(i.alias("at"), grams(i).alias("seed"), gram(i, least).alias("run"))))
+    return F.when(n >= least, F.transform(starts, lambda i: F.struct(i.alias("at"), grams(i).alias("seed"), gram(i, least).alias("run"), F.lit(least).alias("k"))))
+
 
+def _short_runs(lines: Column, sizes: Column, k: int, words: int) -> Column:
+    """For each run of ``k`` counted lines of ``words`` words or more the same; ``sizes`` are the lines' numbers of words."""
+    held = lambda i: F.aggregate(F.slice(sizes, i, F.lit(k)), F.lit(0), lambda a, x: a + x) >= words
+    gram = lambda i: F.xxhash64(F.slice(lines, i, F.lit(k)))
+    starts = F.filter(F.sequence(F.lit(1), F.size(lines) - (k - 1)), held)
+    return F.when(F.size(lines) >= k, F.transform(starts, lambda i: F.struct(i.alias("at"), gram(i).alias("seed"), gram(i).alias("run"), F.lit(k).alias("k"))))
 
-def line_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """All columns of the documents, the text without its later repeated runs, and ``n_lines``, ``n_removed`` (of counted lines)."""
+
+def line_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED, words: int | None = None) -> DataFrame:
+    """All columns of the documents, the text without its later repeated runs, and ``n_lines``, ``n_removed`` (of counted lines).
+    With ``words``, runs of fewer than ``least`` lines count too if they hold so many words."""
     key, lines_name = free_name(docs, "_key"), free_name(docs, "_gone")
     counted = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     # an id of a row that later scans find again: of its id, source text and nothing that depends on the order of rows
     key_of = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    hashed = docs.select(key_of.alias("key"), F.transform(F.filter(split, counted), lambda x: F.xxhash64(x)).alias("lines"))
-    runs = hashed.select("key", F.explode(_runs(F.col("lines"), least, seed)).alias("r")).select("key", "r.at", "r.seed", "r.run")
+    lines = F.filter(split, counted)
+    sizes = [F.transform(lines, lambda x: F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))).alias("sizes")] if words is not None else []
+    hashed = docs.select(key_of.alias("key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), *sizes)
+    found = [_runs(F.col("lines"), least, seed)] + [_short_runs(F.col("lines"), F.col("sizes"), k, words) for k in range(1, least if sizes else 1)]
+    kind = "array<struct<at:int,seed:bigint,run:bigint,k:int>>"
+    found = F.concat(*(F.coalesce(x, F.array().cast(kind)) for x in found))
+    runs = hashed.select("key", F.explode(found).alias("r")).select("key", "r.at", "r.seed", "r.run", "r.k")
     # 1. fingerprints that occur more than once, one row for each choice of one place in a document
     seeds = written(runs.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "line-seeds")
     near = runs.join(seeds, "seed", "left_semi")
@@ -52,7 +71,7 @@ def line_dedup(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFra
     firsts = written(firsts, "line-firsts")
     later = near.join(firsts, "run").where(F.struct("key", "at") > F.col("first"))
     # 3. overlapping later runs make the maximal repeats of a document
-    gone = later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + (least - 1))))).alias(lines_name))
+    gone = later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("k") - 1)))).alias(lines_name))
     whole = docs.withColumn(key, key_of).join(gone.withColumnRenamed("key", key), key, "left")
     numbered = F.aggregate(
         F.split(F.coalesce("text", F.lit("")), "\n", -1),
@@ -73,6 +92,12 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op1_line_dedup_words(spark, sf_dir: str) -> DataFrame:
+    """op1_line_dedup with single lines and pairs of lines that hold WORDS words or more."""
+    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=WORDS)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
 e AS (SELECT doc_id, raw, list_filter(range(1, len(raw) + 1), lambda i: regexp_matches(raw[i], '[^\x20\x09-\x0D]')) AS pos FROM d),
@@ -85,3 +110,17 @@ SELECT e.doc_id, len(pos)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS
   sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN raw ELSE list_transform(list_filter(range(1, len(raw) + 1), lambda q: NOT list_contains(list_transform(gone, lambda z: pos[z]), q)), lambda q: raw[q]) END, chr(10)), '')) AS kept_sha256
 FROM e LEFT JOIN c USING (doc_id)
 """
+
+OP1_WORDS_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
+e AS (SELECT doc_id, raw, list_filter(range(1, len(raw) + 1), lambda i: regexp_matches(raw[i], '[^\x20\x09-\x0D]')) AS pos FROM d),
+l AS (SELECT doc_id, list_transform(pos, lambda p: raw[p]) AS lines, list_transform(pos, lambda p: len(regexp_extract_all(raw[p], '[^\x20\x09-\x0D]+'))) AS words FROM e),
+x AS (SELECT doc_id, lines, words, k, unnest(range(1, len(lines) - k + 2)) AS i FROM l, (VALUES (1), (2), (3)) AS v(k) WHERE len(lines) >= k),
+g AS (SELECT doc_id, i, k, lines[i:i+k-1] AS s FROM x WHERE k = 3 OR list_sum(words[i:i+k-1]) >= 5),
+m AS (SELECT s, min((doc_id, i)) AS f FROM g GROUP BY s),
+h AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + g.k)) AS p FROM g JOIN m USING (s) WHERE (g.doc_id, g.i) > m.f),
+c AS (SELECT doc_id, list(p) AS gone FROM h GROUP BY doc_id)
+SELECT e.doc_id, len(pos)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN raw ELSE list_transform(list_filter(range(1, len(raw) + 1), lambda q: NOT list_contains(list_transform(gone, lambda z: pos[z]), q)), lambda q: raw[q]) END, chr(10)), '')) AS kept_sha256
+FROM e LEFT JOIN c USING (doc_id)
+"""

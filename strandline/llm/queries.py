@@ -5,7 +5,7 @@ from __future__ import annotations
 from strandline.llm.bpe import op3_bpe
 from strandline.llm.id_store import op5_id_store
 from strandline.llm.jaccard_join import OP2_SQL, op2_jaccard_join
-from strandline.llm.line_dedup import OP1_SQL, op1_line_dedup
+from strandline.llm.line_dedup import OP1_SQL, OP1_WORDS_SQL, op1_line_dedup, op1_line_dedup_words
 from strandline.llm.matroska import op9_matroska
 from strandline.llm.mixing import op7_mixing
 from strandline.llm.pii import OP10_SQL, op10_pii
@@ -15,6 +15,7 @@ from strandline.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_line_dedup_words": op1_line_dedup_words,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
@@ -27,6 +28,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op1_line_dedup_words": OP1_WORDS_SQL,
     "op2_jaccard_join": OP2_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_pii": OP10_SQL,

@@ -126,6 +126,40 @@ def test_line_dedup_odd(odd, empty):
     assert line_dedup(empty).count() == 0
 
 
+def brute_runs(rows, m, w):
+    """As brute_lines, with runs of fewer than m counted lines that hold w words."""
+    counted = {i: [k for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for i, (_, t) in enumerate(rows)}
+    runs = {}
+    for i, (doc, t) in enumerate(rows):
+        lines = (t or "").split("\n")
+        for k in range(1, m + 1):
+            for j in range(len(counted[i]) - k + 1):
+                run = tuple(lines[x] for x in counted[i][j : j + k])
+                if k == m or sum(len(words(x)) for x in run) >= w:
+                    runs.setdefault(run, []).append((doc, j, i))
+    gone = {i: set() for i in counted}
+    for run, at in runs.items():
+        for doc, j, i in at:
+            if (doc, j) > min(at)[:2]:
+                gone[i] |= set(counted[i][j : j + len(run)])
+    return ["\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[i]) for i, (_, t) in enumerate(rows)]
+
+
+def test_line_dedup_by_words(spark):
+    from strandline.llm.line_dedup import line_dedup
+
+    long, other = "a line of ninety words " * 18, "two words\nand three more"
+    rows = [(1, f"one\n{long}\ntwo\nok"), (2, long), (3, f"first here\n{long}\nok"), (4, other), (5, f"{other}\nok"), (6, "ok"), (7, f"{long}\n\n{long}")]
+    rng = np.random.RandomState(6)
+    rows += [(i, "\n".join(rng.choice(["a", "b", "c d", "e f g", "", " "], rng.randint(0, 12)))) for i in range(10, 70)]
+    df = written(spark.createDataFrame(rows, "doc_id long, text string"), "by-words")
+    got = {r.doc_id: r.text for r in line_dedup(df, words=4).collect()}
+    assert [got[i] for i, _ in rows] == brute_runs(rows, 3, 4)
+    assert got[2] == "" and got[3] == "first here\nok" and got[5] == "ok" and got[6] == "ok" and got[7] == ""
+    kept = {r.doc_id: r.text for r in line_dedup(df).collect()}
+    assert [kept[i] for i, _ in rows] == brute_lines(rows)
+
+
 # -- 2 Jaccard join ----------------------------------------------------------------------------------------------
 
 
