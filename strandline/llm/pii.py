@@ -4,8 +4,9 @@ Base: e-mail addresses, IP addresses, payment card numbers and phone numbers, by
 protected entities. The corpus then tells how strongly other terms reveal them (information-theoretic sanitisation):
 for a term t near an entity e, the disclosure is the part of all of t's occurrences that lie near e, and the
 information is log2 P(t, e) / P(t) P(e) in bits. A term whose disclosure and information reach the thresholds, in
-enough different surroundings, is as good as the entity itself: its spans near e are added (kind ``term``) and
-sanitise() generalises or removes them together with the base spans.
+enough different surroundings, is as good as the entity itself: all its spans in all texts are added (kind ``term``) and
+sanitise() generalises or removes them together with the base spans. What is near only tells what discloses; with
+``everywhere=False``, as in op10_pii and its SQL, only the spans near e are added.
 
 Counts cover all documents: terms are counted with partial aggregation, entities by (entity, term), and no row holds
 more than one document's spans. Copies of one passage are one surrounding, so copying alone discloses nothing.
@@ -95,7 +96,26 @@ def _near(text: Column, span: Column) -> Column:
     return F.struct(F.xxhash64(left, right).alias("around"), terms.alias("terms"))
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, bits: float = BITS, surroundings: int = SURROUNDINGS) -> DataFrame:
+def _everywhere(docs: DataFrame, key: Column, text: Column, base: DataFrame, telling: DataFrame) -> DataFrame:
+    """key, start, end of every occurrence of the telling terms outside base spans. Places are looked for only in texts that hold one."""
+    terms = written(telling.select("term").distinct(), "pii-telling")
+    held = docs.select(key.alias("key"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))).alias("term"))
+    held = written(held.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-held")
+    bare = base.groupBy("key").agg(F.first("base").alias("base"))  # equal keys have equal texts
+    texts = docs.select(key.alias("key"), text.alias("_t")).join(held, "key").dropDuplicates(["key"]).join(bare, "key")
+    values, gaps = F.regexp_extract_all("_t", F.lit(TERM), F.lit(0)), F.split("_t", TERM, -1)
+    kind = "array<struct<start:int,end:int>>"
+    step = lambda acc, x: F.struct(
+        (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
+        F.when(F.array_contains("terms", F.lower(x["value"])), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end")))))
+        .otherwise(acc["out"]).alias("out"),
+    )
+    spans = F.aggregate(F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("gap")), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    places = texts.select("key", "base", F.explode(spans).alias("t"))
+    return places.where(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))).select("key", "t.start", "t.end")
+
+
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, bits: float = BITS, surroundings: int = SURROUNDINGS, everywhere: bool = True) -> DataFrame:
     """doc_id, text_hash and ``spans``: (kind number from 0, start, end), sorted; terms have number 4."""
     text = F.coalesce("text", F.lit(""))
     key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text"))
@@ -119,7 +139,12 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, bits: float = BITS, su
     weighed = likely.join(counts, "term").where(F.col("both") >= F.col("n_term") * disclosure).join(of_entity, "entity")
     information = F.log2(F.col("both").cast("double") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     telling = weighed.where(information >= bits).select("entity", "term")
-    added = at.join(telling, ["entity", "term"], "left_semi").groupBy("key").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")).alias("added"))
+    if everywhere:
+        telling = written(telling, "pii-pairs")
+    marked = at.join(telling, ["entity", "term"], "left_semi").select("key", "start", "end")
+    if everywhere:
+        marked = marked.unionByName(_everywhere(docs, key, text, base, telling))
+    added = marked.groupBy("key").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")).alias("added"))
     out = base.select("key", "base").join(added, "key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
     return out.select(F.col("key.id").alias("doc_id"), F.col("key.text").alias("text_hash"), spans.alias("spans"))
@@ -148,13 +173,21 @@ def sanitise(docs: DataFrame, generalise: bool = True, **thresholds) -> DataFram
     return joined.select(*(F.when(F.size(spans) > 0, cut).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns), spans)
 
 
-def op10_pii(spark, sf_dir: str) -> DataFrame:
-    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _row(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
     n = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
     return found.select("doc_id", *(n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), n(len(KINDS)).alias("n_term"))
 
 
+def op10_pii(spark, sf_dir: str) -> DataFrame:
+    return _row(find(spark.read.parquet(f"{sf_dir}/documents.parquet"), everywhere=False))
+
+
+def op10_pii_everywhere(spark, sf_dir: str) -> DataFrame:
+    """op10_pii with every occurrence of a disclosing term, near its entity or not."""
+    return _row(find(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 pat(kind, re) AS (VALUES (0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, '[0-9]([\x20-]?[0-9])+'), (3, '\+[0-9][\x20().0-9-]+[0-9]')),
@@ -183,3 +216,13 @@ o AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTE
   string_agg((['email', 'ip', 'card', 'phone', 'term'])[kind + 1] || ':' || a || ':' || b, ',' ORDER BY kind, a, b) FILTER (WHERE kind < 4) AS base FROM all_ GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term FROM d LEFT JOIN o USING (doc_id)
 """
+
+_MARKED = r"""told AS (SELECT list(DISTINCT term) AS terms FROM telling),
+w0 AS (SELECT doc_id, regexp_extract_all(t, '\p{L}[\p{L}\p{N}]{2,}') AS v, string_split_regex(t, '\p{L}[\p{L}\p{N}]{2,}') AS g FROM d),
+w1 AS (SELECT doc_id, v, g, unnest(list_filter(range(1, len(v) + 1), lambda k: list_contains(terms, lower(v[k])))) AS i FROM w0, told),
+w2 AS (SELECT doc_id, length(v[i]) AS n, (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0))::INTEGER AS a FROM w1),
+whole AS (SELECT doc_id, a, a + n AS b FROM w2 WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = w2.doc_id AND s.a < w2.a + w2.n AND s.b > w2.a)),
+marked AS (SELECT doc_id, a, b FROM near JOIN telling USING (entity, term) UNION SELECT doc_id, a, b FROM whole),
+"""
+#: The same with the terms' occurrences in whole texts.
+OP10_EVERYWHERE_SQL = OP10_SQL.replace("all_ AS (", _MARKED + "all_ AS (").replace("SELECT DISTINCT doc_id, 4, a, b FROM near JOIN telling USING (entity, term)", "SELECT doc_id, 4, a, b FROM marked")

@@ -8,7 +8,7 @@ from strandline.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from strandline.llm.line_dedup import OP1_SQL, OP1_WORDS_SQL, op1_line_dedup, op1_line_dedup_words
 from strandline.llm.matroska import op9_matroska
 from strandline.llm.mixing import op7_mixing
-from strandline.llm.pii import OP10_SQL, op10_pii
+from strandline.llm.pii import OP10_EVERYWHERE_SQL, OP10_SQL, op10_pii, op10_pii_everywhere
 from strandline.llm.quality_classifier import op8_quality_classifier
 from strandline.llm.quality_rules import op4_quality_rules
 from strandline.llm.substring_dedup import OP6_SQL, op6_substring_dedup
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_matroska": op9_matroska,
     "op10_pii": op10_pii,
+    "op10_pii_everywhere": op10_pii_everywhere,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
@@ -32,4 +33,5 @@ ORACLE_SQL = {
     "op2_jaccard_join": OP2_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_pii": OP10_SQL,
+    "op10_pii_everywhere": OP10_EVERYWHERE_SQL,
 }

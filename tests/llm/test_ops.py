@@ -571,6 +571,24 @@ def test_disclosing_terms(spark):
     assert not any(s.kind == 4 for r in find(copies, bits=8.0).collect() for s in r.spans)
 
 
+def test_disclosing_terms_everywhere(spark, tmp_path):
+    import duckdb
+
+    from strandline.llm.pii import sanitise
+
+    rows = [(i, f"notice {i}: write to zorbulax at chief@corp.example for case {i * 7}" + " -" * 60 + " says Zorbulax" * (i == 0)) for i in range(6)]
+    rows += [(10 + i, f"seen {i} times, zorbulax left the house") for i in range(3)] + [(20, "not zorbulax@other.example nor fouézorbulax"), (21, None)]
+    rows += [(100 + i, " ".join(f"word{(i * k) % 4000}x" for k in range(1, 201))) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op10_pii", "op10_pii_everywhere"):
+        assert rows_of(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(c.sql(ORACLE_SQL[name]).df())
+    out = {r.doc_id: r.text for r in sanitise(spark.read.parquet(f"{tmp_path}/documents.parquet")).where("doc_id < 100").collect()}
+    assert not any("zorbulax" in out[i].lower() for i in [*range(6), *range(10, 13)])
+    assert out[10] == "seen 0 times, <TERM> left the house" and out[20] == "not <EMAIL> nor fouézorbulax" and out[21] is None
+
+
 # -- the queries' digests ----------------------------------------------------------------------------------------
 
 
