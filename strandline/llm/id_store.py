@@ -10,6 +10,9 @@ Files of a store, all Parquet:
 ``recipes``   shard, doc_id, text_hash, copies, n_tokens, addresses, root; in ascending order of doc_id, shard by shard
 ``manifests`` shard, n_documents, n_tokens, root
 
+On reading, a recipe's root is recomputed from the addresses of the chunks that were read, each manifest from its recipes;
+a difference raises.
+
 Before chunks are dealt out by address, those of one batch are merged: a chunk of which there are very many copies
 travels once for each batch of input.
 
@@ -193,14 +196,23 @@ def _manifest(table: pa.Table) -> pa.Table:
 
 # -- reading ----------------------------------------------------------------------------------------------------
 
+_MANIFESTS = "shard int, n_documents long, n_tokens long, root binary"
 _CHUNKS = "address binary, n int, ids binary, refs binary"
 _RECIPES = "shard int, doc_id long, text_hash long, copies long, n_tokens long, addresses array<binary>, root binary"
 
 
+def _held(manifest: pa.Table, recipes: pa.Table) -> pa.Table:
+    """A shard's manifest, if its recipes give the same."""
+    if manifest.num_rows != 1 or not recipes.num_rows or _manifest(recipes).to_pylist() != manifest.to_pylist():
+        raise ValueError("a shard's recipes don't match its manifest")
+    return manifest
+
+
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes, each with ``start``: the ids of all documents before it, from the order of shards and documents."""
     r = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    m = spark.read.schema("shard int, n_documents long, n_tokens long, root binary").parquet(f"{path}/manifests")
+    m = spark.read.schema(_MANIFESTS).parquet(f"{path}/manifests")
+    m = m.groupBy("shard").cogroup(r.drop("addresses").groupBy("shard")).applyInArrow(_held, _MANIFESTS)
     # one row a shard: shards are of about 64 MB
     before = m.select(F.col("shard").alias("s2"), (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
     inside = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
@@ -218,17 +230,19 @@ def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lists = []
+            lists, roots = [], []
             for row in batch.column("x").to_pylist():
                 if any(p["ids"] is None or _address(p["ids"]) != p["address"] for p in row):
                     raise ValueError("a chunk is missing or its bytes don't match its address")
                 lists.append(np.frombuffer(b"".join(p["ids"] for p in row), kind).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "ids"])
+                roots.append(merkle([p["address"] for p in row]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(lists, pa.list_(pa.int32())), pa.array(roots, pa.binary())], names=["doc_id", "text_hash", "ids", "read"])
 
-    ids = whole.mapInArrow(run, "doc_id long, text_hash long, ids array<int>")
-    keyed = r.join(ids.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
+    ids = whole.mapInArrow(run, "doc_id long, text_hash long, ids array<int>, read binary")
+    keyed = r.join(ids.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
+    checked = F.when((F.col("read") == F.col("root")) & (F.size("ids") == F.col("n_tokens")), F.col("ids")).otherwise(F.raise_error(F.lit("a document's chunks don't match its recipe")).cast("array<int>"))
     copy = keyed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return copy.select("doc_id", (F.col("start") + F.col("_copy") * F.col("n_tokens")).alias("start"), "n_tokens", "ids")
+    return copy.select("doc_id", (F.col("start") + F.col("_copy") * F.col("n_tokens")).alias("start"), "n_tokens", checked.alias("ids"))
 
 
 # crc32 of joined parts: polynomials over two elements modulo the crc's, as numpy arrays
@@ -277,7 +291,7 @@ def _placed(batches):
     for batch in batches:
         ref, at = ws.unpack(batch.column("refs"), _REF)
         row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ref[k])) for k in ("id", "text", "seq")] + [batch.column("n").take(row), batch.column("crc").take(row)], names=["id", "text", "seq", "n", "crc"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ref[k])) for k in ("id", "text", "seq")] + [batch.column(c).take(row) for c in ("n", "crc", "address")], names=["id", "text", "seq", "n", "crc", "address"])
 
 
 def _joined_crcs(batches):
@@ -292,20 +306,24 @@ def _joined_crcs(batches):
         after = np.repeat(total[at[1:]], size) - total[1:]
         moved = _times(crc, _shifts(after * 4))
         whole = np.bitwise_xor.reduceat(moved, at[:-1]) if len(size) else np.zeros(0, np.uint32)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(whole.astype(np.int64)), pa.array(total[at[1:]] - total[at[:-1]])], names=["id", "text", "ids_crc32", "n"])
+        address = flat.field("address").to_pylist()
+        roots = pa.array([merkle(address[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+        addresses = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat.field("address"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(whole.astype(np.int64)), pa.array(total[at[1:]] - total[at[:-1]]), addresses, roots], names=["id", "text", "ids_crc32", "n", "found", "read"])
 
 
 def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document. Every stored chunk is read and its address checked; a
-    document's checksum is put together from its chunks', so ids don't travel; lengths are held against the recipes, so a
-    missing chunk raises."""
+    document's checksum is put together from its chunks', so ids don't travel; lengths, addresses in their order and the root are held against
+    the recipe's, so a missing chunk or an altered recipe raises."""
     stored = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
     read = stored.where("ids IS NOT NULL").select("address", "ids").mapInArrow(_read_chunks(width), "address binary, crc long")
-    places = stored.select("address", "n", "refs").join(read, "address").mapInArrow(_placed, "id long, text long, seq int, n int, crc long").dropDuplicates(["id", "text", "seq"])
-    sums = places.groupBy("id", "text").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc"))).alias("x")).mapInArrow(_joined_crcs, "id long, text long, ids_crc32 long, n long")
+    places = stored.select("address", "n", "refs").join(read, "address").mapInArrow(_placed, "id long, text long, seq int, n int, crc long, address binary").dropDuplicates(["id", "text", "seq"])
+    sums = places.groupBy("id", "text").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "address"))).alias("x")).mapInArrow(_joined_crcs, "id long, text long, ids_crc32 long, n long, found array<binary>, read binary")
     r = _recipes(spark, path).withColumn("id", F.coalesce("doc_id", F.lit(2**63 - 1)))
     out = r.join(sums.withColumnsRenamed({"id": "_i", "text": "_t"}), (F.col("id") == F.col("_i")) & (F.col("text_hash") == F.col("_t")), "left")
-    checked = F.when(F.col("n") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document's chunks don't match its recipe")).cast("long"))
+    same = (F.col("n") == F.col("n_tokens")) & (F.col("found") == F.col("addresses")) & (F.col("read") == F.col("root"))
+    checked = F.when(same, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document's chunks don't match its recipe")).cast("long"))
     copy = out.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return copy.select("doc_id", (F.col("start") + F.col("_copy") * F.col("n_tokens")).alias("start"), "n_tokens", checked.alias("ids_crc32"))
 

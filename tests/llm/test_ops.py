@@ -362,6 +362,25 @@ def test_broken_store_raises(spark, tmp_path):
             read(spark, path).collect()
 
 
+def test_altered_seals_raise(spark, tmp_path):
+    import shutil
+
+    from strandline.llm.id_store import read_checksums, read_ids, write_store
+
+    path = str(tmp_path / "s")
+    text = " ".join(f"word{i * i % 991}" for i in range(3000))
+    write_store(spark.createDataFrame([(1, text), (2, text + " tail")], "doc_id long, text string"), path, P.path("byte_bpe_50k.json"))
+    assert spark.read.parquet(f"{path}/recipes").where("size(addresses) > 1").count() == 2
+    for table, column, value in (("recipes", "addresses", "reverse(addresses)"), ("recipes", "root", "cast('x' AS binary)"), ("manifests", "root", "cast('x' AS binary)"), ("manifests", "shard", "shard + 100")):
+        other = str(tmp_path / f"{table}-{column}")
+        shutil.copytree(path, other)
+        shutil.rmtree(f"{other}/{table}")
+        spark.read.parquet(f"{path}/{table}").withColumn(column, F.expr(value)).write.parquet(f"{other}/{table}")
+        for read in (read_checksums, read_ids):
+            with pytest.raises(Exception, match="don't match"):
+                read(spark, other).collect()
+
+
 def test_crc_of_joined_parts():
     from strandline.llm.id_store import _shifts, _times, merkle
 
