@@ -127,12 +127,26 @@ def _branch(batches):
         yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(node[row])], names=["bucket", "node"])
 
 
+def agreeing(similarity: float) -> int:
+    """Pairs are kept whose signatures agree in so many tokens: 4.2 standard deviations below the mean at the threshold."""
+    return math.floor(TOKENS * similarity - 4.2 * math.sqrt(TOKENS * similarity * (1 - similarity)))
+
+
+def missed(runs: int, similarity: float, levels: int) -> float:
+    """The chance that a pair at the threshold is missed. All runs draw from the same tokens, so it is averaged over how many of
+    them agree (a): run r's first level keeps the pair if token r agrees, each further one with 0.75 p + 0.25 (1 - q), where p
+    is a's share and q the chance that neither of two tokens agrees."""
+    n, s, out = TOKENS, similarity, 0.0
+    for a in range(n + 1):
+        deeper = (0.75 * a / n + 0.25 * (1 - (n - a) * (n - a - 1) / (n * (n - 1)))) ** (levels - 1)
+        lost = 1.0 if a < agreeing(s) else sum(math.comb(a, k) * math.comb(n - a, runs - k) / math.comb(n, runs) * (1 - deeper) ** k for k in range(runs + 1))
+        out += math.comb(n, a) * s**a * (1 - s) ** (n - a) * lost
+    return out
+
+
 def runs_for(target: float, similarity: float, levels: int) -> int:
-    """Runs after which a pair at the threshold was missed with a chance of 1 - target at most: the first level keeps it with a
-    chance of the similarity s, each further one with 0.75 s + 0.25 (1 - (1 - s)^2)."""
-    s = similarity
-    kept = s * (0.75 * s + 0.25 * (1 - (1 - s) ** 2)) ** (levels - 1)
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - kept)))
+    """Runs after which a pair at the threshold was missed with a chance of 1 - target at most, or else a run for each token."""
+    return next((r for r in range(1, TOKENS) if missed(r, similarity, levels) <= 1 - target), TOKENS)
 
 
 def in_blocks(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
@@ -321,7 +335,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
     # a pair at the threshold agrees in so many tokens but for a chance of about 1e-5
-    least = math.floor(TOKENS * s - 4.2 * math.sqrt(TOKENS * s * (1 - s)))
+    least = agreeing(s)
     cells = in_blocks(leaf, "bucket", "size", BLOCK).select("cell", "side", "node").join(sigs, "node").select("cell", "side", "node", "sig")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_meet(least), "u long, v long")

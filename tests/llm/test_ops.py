@@ -232,6 +232,21 @@ def test_components(spark):
     assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 200, 300)}
 
 
+def test_runs_reach_the_target():
+    from strandline.llm.jaccard_join import LEVELS, TARGET, TOKENS, agreeing, missed, runs_for
+
+    runs = runs_for(TARGET, 0.8, LEVELS)
+    assert missed(runs, 0.8, LEVELS) <= 1 - TARGET < missed(runs - 1, 0.8, LEVELS)
+    rng, n, least = np.random.RandomState(8), 20000, agreeing(0.8)
+    same = rng.rand(n, TOKENS) < 0.8
+    kept = same[:, :3].copy()
+    for r in range(3):
+        for _ in range(LEVELS - 1):
+            first, step = rng.randint(0, TOKENS, n), rng.randint(1, TOKENS, n)
+            kept[:, r] &= same[np.arange(n), first] | ((rng.rand(n) < 0.25) & same[np.arange(n), (first + step) % TOKENS])
+    assert abs(1 - (kept.any(1) & (same.sum(1) >= least)).mean() - missed(3, 0.8, LEVELS)) < 0.01
+
+
 # -- 3 BPE -------------------------------------------------------------------------------------------------------
 
 
