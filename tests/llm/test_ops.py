@@ -597,12 +597,42 @@ def test_disclosing_terms(spark):
     rows = [(i, f"notice {i}: write to zorbulax at chief@corp.example for case {i * 7} of the board") for i in range(6)]
     rows += [(100 + i, " ".join(f"word{(i * k) % 400}x the of and for case board notice write" for k in range(1, 60))) for i in range(60)]
     df = written(spark.createDataFrame(rows, "doc_id long, text string"), "terms")
-    found = {r.doc_id: [x for x in r.spans if x.kind == 4] for r in find(df, bits=8.0).collect()}
+    found = {r.doc_id: [x for x in r.spans if x.kind == 5] for r in find(df).collect()}
     text = dict(rows)
     assert all({text[i][s.start : s.end] for s in found[i]} == {"zorbulax"} for i in range(6)) and not any(found[i] for i in found if i >= 100)
-    assert "zorbulax" not in sanitise(df, bits=8.0).where("doc_id = 0").first().text
+    assert "zorbulax" not in sanitise(df).where("doc_id = 0").first().text
     copies = written(spark.createDataFrame([(i, rows[0][1]) for i in range(20)] + rows[6:], "doc_id long, text string"), "copies")
-    assert not any(s.kind == 4 for r in find(copies, bits=8.0).collect() for s in r.spans)
+    assert not any(s.kind == 5 for r in find(copies).collect() for s in r.spans)
+
+
+def test_many_entities_in_one_text(spark):
+    """Work is linear in the number of entities: 100,000 of them in one text of several MB."""
+    from strandline.llm.pii import find, sanitise
+
+    text = "".join(f"writes user{i}@site{i % 50}.example now\n" for i in range(100_000))
+    df = written(spark.createDataFrame([(1, text), (2, "token = \"04dbebab91ab85687d33eeaa\" and password: short1 or API_KEY='abcdefghijklmnopq'")], "doc_id long, text string"), "dense").repartition(2)
+    got = {r.doc_id: r.spans for r in find(df).collect()}
+    assert [(s.start, s.end) for s in got[1] if s.kind == 0] == [m.span() for m in re.finditer(r"user[0-9]+@site[0-9]+[.]example", text)]
+    assert [(s.kind, s.start, s.end) for s in got[2]] == [(4, 9, 33)]
+    assert sanitise(df).where("doc_id = 1").first().text == re.sub(r"user[0-9]+@site[0-9]+[.]example", "<EMAIL>", text)
+
+
+def test_planted_terms(spark):
+    """Names that stand near one address in several texts are found, with precision and recall; the frequent words around them aren't."""
+    from strandline.llm.pii import find
+
+    rng = np.random.RandomState(12)
+    name, rows = lambda i: "q" + "".join(chr(97 + (i * 7 + k * k * 3 + i // 26 * k) % 26) for k in range(7)) + str(i), []
+    for i in range(40):
+        for _ in range(4):
+            fill = [" ".join(f"w{rng.randint(800)}e" for _ in range(rng.randint(3, 9))) for _ in range(2)]
+            rows.append((len(rows), f"{fill[0]} {name(i)} person{i}@corp.example {fill[1]}"))
+    rows += [(len(rows) + i, " ".join(f"w{rng.randint(800)}e" for _ in range(150))) for i in range(200)]
+    df = written(spark.createDataFrame(rows, "doc_id long, text string"), "planted")
+    text = dict(rows)
+    marked = [text[r.doc_id][s.start : s.end] for r in find(df).collect() for s in r.spans if s.kind == 5]
+    right = sum(x.startswith("q") for x in marked)
+    assert right / len(marked) >= 0.99 and right / 160 >= 0.99
 
 
 def test_disclosing_terms_everywhere(spark, tmp_path):
@@ -616,8 +646,7 @@ def test_disclosing_terms_everywhere(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("op10_pii", "op10_pii_everywhere"):
-        assert rows_of(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(c.sql(ORACLE_SQL[name]).df())
+    assert rows_of(QUERIES["op10_pii"](spark, str(tmp_path)).toPandas()) == rows_of(c.sql(ORACLE_SQL["op10_pii"]).df())
     out = {r.doc_id: r.text for r in sanitise(spark.read.parquet(f"{tmp_path}/documents.parquet")).where("doc_id < 100").collect()}
     assert not any("zorbulax" in out[i].lower() for i in [*range(6), *range(10, 13)])
     assert out[10] == "seen 0 times, <TERM> left the house" and out[20] == "not <EMAIL> nor fouézorbulax" and out[21] is None
