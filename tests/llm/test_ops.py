@@ -88,35 +88,57 @@ def test_cut_batches_of_the_scan_agree():
 # -- 1 line dedup ------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, m=3):
-    """Kept text by row: windows of m counted lines that also start earlier, in order of id, text and place."""
-    counted = {i: [k for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for i, (_, t) in enumerate(rows)}
-    wins = {}
-    for i, (_, t) in enumerate(rows):
-        lines = (t or "").split("\n")
-        for j in range(len(counted[i]) - m + 1):
-            wins.setdefault(tuple(lines[k] for k in counted[i][j : j + m]), []).append((rows[i][0], i, j))
-    out = []
+def brute_lines(rows, least=5):
+    """Kept text by row: a counted line goes in any run of counted lines with so many words that also starts earlier, in order of id, text and place."""
+    counted = [[k for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for _, t in rows]
+    runs, order = {}, []
     for i, (doc, t) in enumerate(rows):
-        lines, gone = (t or "").split("\n"), set()
-        for j in range(len(counted[i]) - m + 1):
-            first = min(wins[tuple(lines[k] for k in counted[i][j : j + m])])
-            if (first[0], first[2]) < (doc, j) and first != (doc, i, j):
-                gone |= set(counted[i][j : j + m])
-        out.append("\n".join(x for k, x in enumerate(lines) if k not in gone))
-    return out
+        order.append((2**63 if doc is None else doc, t or ""))
+        lines, at = (t or "").split("\n"), counted[i]
+        size = [len(words(lines[k])) for k in at]
+        for a in range(len(at)):
+            for b in range(a, min(len(at), a + 40)):  # longer runs are made up of these
+                if sum(size[a : b + 1]) >= least:
+                    runs.setdefault(tuple(lines[k] for k in at[a : b + 1]), []).append((order[i], a, i))
+    gone = [set() for _ in rows]
+    for run, at in runs.items():
+        first = min(at)[:2]
+        for o, a, i in at:
+            if (o, a) > first:
+                gone[i] |= set(counted[i][a : a + len(run)])
+    return ["\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[i]) for i, (_, t) in enumerate(rows)]
 
 
 def test_line_dedup_brute(spark):
     from strandline.llm.line_dedup import line_dedup
 
     rng = np.random.RandomState(5)
-    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", " "], rng.randint(0, 12)))) for i in range(60)]
-    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    long, pair = "a line of ninety words " * 18, "two words\nand three more"
+    rows = [(1, f"one\n{long}\ntwo\nok"), (2, long), (3, f"first here\n{long}\nok"), (4, pair), (5, f"{pair}\nok"), (6, "ok"), (7, f"{long}\n\n{long}")]
+    # the longest match of the third is with the second and not with the first place of its fingerprint
+    rows += [(8, "k k\nf f f f f\nm m"), (9, "x\ny y\nf f f f f\nz"), (10, "x\ny y\nf f f f f\nz"), (11, "y y\nf f f f f\nm m")]
+    rows += [(i, "\n".join(rng.choice(["a", "b", "c d", "e f g", "h i j k l m", "", " "], rng.randint(0, 14)))) for i in range(20, 120)]
+    got = {r.doc_id: r.text for r in line_dedup(written(spark.createDataFrame(rows, "doc_id long, text string"), "lines")).collect()}
     assert [got[i] for i, _ in rows] == brute_lines(rows)
+    assert got[2] == "" and got[3] == "first here\nok" and got[5] == "ok" and got[6] == "ok" and got[7] == "" and got[10] == ""
+
 
+def test_fingerprints_carry_the_result(spark, monkeypatch):
+    """Few rows are emitted where lines are short, and a fingerprint that isn't the windows' own loses repeats."""
+    from strandline.llm import line_dedup as L
 
-def test_line_dedup_odd(odd, empty):
+    text = "\n".join(f"{chr(97 + i % 26)}{i * 37 % 101}" for i in range(400))
+    df = written(spark.createDataFrame([(1, "begin here\n" + text), (2, text + "\nend")], "doc_id long, text string"), "short")
+    assert {r.doc_id: r.n_removed for r in L.line_dedup(df).collect()} == {1: 0, 2: 400}
+    hashes = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
+    n = df.select(F.size(F.array_distinct(F.transform(L.fingerprints(hashes, F.transform(hashes, lambda x: F.lit(1)), 5), lambda f: f["at"]))).alias("n")).first().n
+    assert n < 400 * 0.42  # windows of five lines: two in six of them
+    right = L.fingerprints
+    monkeypatch.setattr(L, "fingerprints", lambda h, w, words: F.transform(right(h, w, words), lambda f: F.struct(f["from"].alias("from"), f["k"].alias("k"), (f["from"] - f["from"] % 400 + 1).cast("int").alias("at"))))
+    assert sum(r.n_removed for r in L.line_dedup(df).collect()) < 400
+
+
+def test_line_dedup_odd(spark, odd, empty):
     from strandline.llm.line_dedup import line_dedup
 
     out = line_dedup(odd)
@@ -124,40 +146,9 @@ def test_line_dedup_odd(odd, empty):
     by = {r.doc_id: r for r in out.where("doc_id IN (2, 3, 4, 9, 13)").collect()}
     assert by[2]["n_removed"] == 8 and by[3]["text"] == "prefix here\nsuffix" and by[4]["text"] is None and by[13]["n_removed"] == 11
     assert line_dedup(empty).count() == 0
-
-
-def brute_runs(rows, m, w):
-    """As brute_lines, with runs of fewer than m counted lines that hold w words."""
-    counted = {i: [k for k, x in enumerate((t or "").split("\n")) if WORD.search(x)] for i, (_, t) in enumerate(rows)}
-    runs = {}
-    for i, (doc, t) in enumerate(rows):
-        lines = (t or "").split("\n")
-        for k in range(1, m + 1):
-            for j in range(len(counted[i]) - k + 1):
-                run = tuple(lines[x] for x in counted[i][j : j + k])
-                if k == m or sum(len(words(x)) for x in run) >= w:
-                    runs.setdefault(run, []).append((doc, j, i))
-    gone = {i: set() for i in counted}
-    for run, at in runs.items():
-        for doc, j, i in at:
-            if (doc, j) > min(at)[:2]:
-                gone[i] |= set(counted[i][j : j + len(run)])
-    return ["\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[i]) for i, (_, t) in enumerate(rows)]
-
-
-def test_line_dedup_by_words(spark):
-    from strandline.llm.line_dedup import line_dedup
-
-    long, other = "a line of ninety words " * 18, "two words\nand three more"
-    rows = [(1, f"one\n{long}\ntwo\nok"), (2, long), (3, f"first here\n{long}\nok"), (4, other), (5, f"{other}\nok"), (6, "ok"), (7, f"{long}\n\n{long}")]
-    rng = np.random.RandomState(6)
-    rows += [(i, "\n".join(rng.choice(["a", "b", "c d", "e f g", "", " "], rng.randint(0, 12)))) for i in range(10, 70)]
-    df = written(spark.createDataFrame(rows, "doc_id long, text string"), "by-words")
-    got = {r.doc_id: r.text for r in line_dedup(df, words=4).collect()}
-    assert [got[i] for i, _ in rows] == brute_runs(rows, 3, 4)
-    assert got[2] == "" and got[3] == "first here\nok" and got[5] == "ok" and got[6] == "ok" and got[7] == ""
-    kept = {r.doc_id: r.text for r in line_dedup(df).collect()}
-    assert [kept[i] for i, _ in rows] == brute_lines(rows)
+    text = "\n".join(f"one of the many lines number {i % 15000}" for i in range(30000))
+    r = line_dedup(written(spark.createDataFrame([(1, text)], "doc_id long, text string"), "long")).first()
+    assert r.n_removed == 15000 and r.text == "\n".join(f"one of the many lines number {i}" for i in range(15000))
 
 
 # -- 2 Jaccard join ----------------------------------------------------------------------------------------------
