@@ -5,23 +5,25 @@ query joins neighbouring tokens to the merge table, contracts each word's leftmo
 when no word has a pair left. Decoding joins ids to the vocabulary and aggregates their bytes in order of position.
 Only distinct words are encoded: a batch's texts are cut into segments that no token crosses (pieces.py).
 
-The recursion takes as many rounds as a word has merges, and each round all its tokens; words of more than LONG bytes are
-contracted by a heap over the same merge table instead, with the same rule.
-
-Defined results: a null or empty text has no ids; special tokens don't exist, their strings are ordinary text.
+Of most words a round contracts one pair and keeps all tokens as rows. For words of more than LONG bytes that would be the square of
+their length, so these run through a second form of the same recursion: rows are replaced in place, and a round contracts every
+place of the smallest rank, from the left up to the first where this makes a pair of a smaller rank still, which
+is what one pair after another would come to. Rounds are then about as many as the word has different merges.
+
+Defined results: a null or empty text has no ids; special tokens don't exist, their strings are ordinary text; each row is encoded by
+itself, so rows that repeat, or a null doc_id, are rows of the result; given columns may have any name but ``ids`` and
+``decoded``; a text of any length is taken whole, in parts that no token crosses.
 """
 
 from __future__ import annotations
 
-import heapq
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import wordscan as ws
+from strandline.llm.common import free_name
 from strandline.llm.pieces import Dictionary, gather
 
 LONG = 64
@@ -50,6 +52,33 @@ WITH RECURSIVE w(word, pos, npos, tok, next, round) AS (
 SELECT word, tok FROM w JOIN last USING (word, round) ORDER BY word, pos
 """
 
+_ENCODE_LONG = """
+WITH RECURSIVE w(word, pos, npos, tok, next) USING KEY (word, pos) AS (
+  SELECT word, pos, npos, tok, next FROM start
+  UNION
+  (WITH live AS (
+     SELECT s.*, m.rank FROM recurring.w s LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next WHERE s.tok >= 0 AND s.word IN (SELECT word FROM w)
+   ), best AS (SELECT word, min(rank) AS rank FROM live GROUP BY word HAVING min(rank) IS NOT NULL
+   ), hit AS (
+     SELECT l.word, l.pos, l.npos, l.rank, row_number() OVER o AS nth, coalesce(lag(l.npos) OVER o = l.pos, false) AS inner_one
+     FROM live l JOIN best b ON l.word = b.word AND l.rank = b.rank WINDOW o AS (PARTITION BY l.word ORDER BY l.pos)
+   ), cut AS (  -- of places that overlap, every other one
+     SELECT * FROM (SELECT *, nth - max(CASE WHEN inner_one THEN 0 ELSE nth END) OVER (PARTITION BY word ORDER BY pos) AS k FROM hit) WHERE k % 2 = 0
+   ), met AS (
+     SELECT c.word, c.pos, c.rank AS tok, c.npos AS gone, g.npos, g.next, CASE WHEN lag(c.npos) OVER (PARTITION BY c.word ORDER BY c.pos) = p.pos THEN c.rank ELSE p.tok END AS prev
+     FROM cut c JOIN live g ON g.word = c.word AND g.pos = c.npos LEFT JOIN live p ON p.word = c.word AND p.npos = c.pos
+   ), low AS (
+     SELECT word, min(pos) AS pos FROM (
+       SELECT word, pos FROM met JOIN merges m ON m.l = met.prev AND m.r = met.tok AND m.rank < met.tok
+       UNION ALL SELECT word, pos FROM met JOIN merges m ON m.l = met.tok AND m.r = met.next AND m.rank < met.tok) GROUP BY word
+   ), made AS (SELECT met.* FROM met LEFT JOIN low ON low.word = met.word WHERE low.pos IS NULL OR met.pos <= low.pos)
+   SELECT l.word, l.pos, coalesce(m.npos, l.npos), CASE WHEN x.word IS NOT NULL THEN -1 ELSE coalesce(m.tok, l.tok) END, coalesce(n.tok, m.next, l.next)
+   FROM live l LEFT JOIN made m ON m.word = l.word AND m.pos = l.pos LEFT JOIN made x ON x.word = l.word AND x.gone = l.pos LEFT JOIN made n ON n.word = l.word AND n.pos = coalesce(m.npos, l.npos)
+   WHERE m.word IS NOT NULL OR x.word IS NOT NULL OR n.word IS NOT NULL)
+)
+SELECT word, tok FROM w WHERE tok >= 0 ORDER BY word, pos
+"""
+
 _DECODE = "SELECT s.seq, string_agg(v.hex, '' ORDER BY s.pos) AS hex FROM ids s JOIN vocab v ON v.rank = s.tok GROUP BY s.seq ORDER BY s.seq"
 
 
@@ -67,7 +96,7 @@ class Bpe:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {b: a for a, b in self.rank.items()}
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.gettempdir() + "/duckdb"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.db.register("v", pa.table({"rank": pa.array(list(self.rank.values()), pa.int32()), "hex": [k.hex() for k in self.rank]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v ORDER BY rank")
         # every way to make a token of two others: all pairs that may be contracted, with the rank of what they make
@@ -80,11 +109,11 @@ class Bpe:
         """Ids of each word, by the recursive query."""
         out: list = [None] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = np.array(self._contract(w), np.int32)
-        for k in range(0, len(short), WORDS_AT_ONCE):
-            part = short[k : k + WORDS_AT_ONCE]
+        parts = [(_ENCODE, short[k : k + WORDS_AT_ONCE]) for k in range(0, len(short), WORDS_AT_ONCE)]
+        long = sorted((i for i, w in enumerate(words) if len(w) > LONG), key=lambda i: len(words[i]))
+        for i, j in _ranges(np.array([len(words[i]) for i in long], np.int64), WORDS_AT_ONCE):
+            parts.append((_ENCODE_LONG, long[i:j]))  # of like lengths, as all take the rounds of the longest
+        for query, part in parts:
             size = np.array([len(words[i]) for i in part])
             body = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
             word = np.repeat(np.arange(len(part), dtype=np.int32), size)
@@ -94,7 +123,7 @@ class Bpe:
             npos, follows = pos + np.int32(1), np.append(tok[1:], np.int32(-1))
             npos[end], follows[end] = -1, -1
             self.db.register("start", pa.table({"word": word, "pos": pos, "npos": npos, "tok": tok, "next": follows}))
-            got = self.db.execute(_ENCODE).fetchnumpy()
+            got = self.db.execute(query).fetchnumpy()
             self.db.unregister("start")
             cuts = np.searchsorted(got["word"], np.arange(len(part) + 1))
             tok = np.asarray(got["tok"], np.int32)
@@ -102,27 +131,6 @@ class Bpe:
                 out[i] = tok[cuts[j] : cuts[j + 1]]
         return out
 
-    def _contract(self, word: bytes) -> list[int]:
-        """The same rule for a long word: a heap of (rank, place) over a linked list of tokens."""
-        n = len(word)
-        token: list = [word[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := self.rank.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i] if token[i] is not None else n
-            if j >= n or len(token[i]) + len(token[j]) != size or self.rank.get(token[i] + token[j]) != _:
-                continue
-            token[i], token[j] = token[i] + token[j], None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := self.rank.get(token[a] + token[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(token[a]) + len(token[b])))
-        return [self.rank[t] for t in token if t is not None]
-
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all segments one after another, and offsets: each match of the pattern is a word."""
         number: dict[str, int] = {}
@@ -166,18 +174,18 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None =
     """The given columns (doc_id, by default) and ``ids`` of each text."""
     from pyspark.sql import types as T
 
-    columns = columns or ["doc_id"]
+    columns, text = columns or ["doc_id"], free_name(docs, "_text")
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         _, known = bpe_of(path, pattern)
         for batch in batches:
-            for part in ws.slices(batch, "_text", PART):
-                ids, at = known.column(part.column("_text"))
+            for part in ws.slices(batch, text, PART):
+                ids, at = known.column(part.column(text))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists], names=[*columns, "ids"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -202,18 +210,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str, columns: list[str] | No
     """encode() and decode() in one pass, so that a task has one Python process: the given columns, ``ids``, ``decoded``."""
     from pyspark.sql import types as T
 
-    columns = columns or ["doc_id"]
+    columns, text = columns or ["doc_id"], free_name(docs, "_text")
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         b, known = bpe_of(path, pattern)
         for batch in batches:
-            for part in ws.slices(batch, "_text", PART):
-                ids, at = known.column(part.column("_text"))
+            for part in ws.slices(batch, text, PART):
+                ids, at = known.column(part.column(text))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, _decoded(b, ids, at)], names=[*columns, "ids", "decoded"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
