@@ -7,7 +7,8 @@ into arrays, level by level, so that scoring is a few numpy gathers a tree for a
 Labels are learnt only from rows that ``learns`` allows; no label, language, source or id goes into a score.
 
 Defined results: a null or empty text has statistics of zeros and a score; without labels, or with labels of one kind,
-every score is the share of label 1 among them (0.5 without any); null labels are left out.
+every score is the share of label 1 among them (0.5 without any); null labels are left out; of a repeated id the smallest of its texts is
+learnt from and each row is scored by its own; texts of any length are read whole; given columns may have any name but ``score``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import wordscan as ws
-from strandline.llm.quality_rules import RATIOS, ratios, statistics
+from strandline.llm.common import free_name
+from strandline.llm.quality_rules import RATIOS, labelled, ratios, statistics
 
 #: The trees see this many labelled rows at most, those of the lowest hashes.
 SAMPLE = 20_000
@@ -136,40 +138,38 @@ def learns(doc_id: Column) -> Column:
 
 
 def _features_of(docs: DataFrame, columns: list[str]) -> DataFrame:
+    text = free_name(docs, "_text")
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for batch in batches:
-            for part in ws.slices(batch, "_text"):
-                x = features(part.column("_text"))
+            for part in ws.slices(batch, text):
+                x = features(part.column(text))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists], names=[*columns, "x"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Trees learnt from at most ``sample`` labelled rows that may be learnt from."""
-    chosen = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(learns(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = _features_of(known, ["doc_id", "_y"]).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    known = labelled(docs, labels.where(learns(F.col("doc_id"))), sample)
+    rows = _features_of(known, ["doc_id", "_quality"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES)
-    return train(x, np.array([r["_y"] for r in rows], float))
+    return train(x, np.array([r["_quality"] for r in rows], float))
 
 
 def score(docs: DataFrame, forest: Forest, columns: list[str]) -> DataFrame:
     """The given columns and ``score``."""
+    text = free_name(docs, "_text")
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            for part in ws.slices(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(forest.score(features(part.column("_text"))))], names=[*columns, "score"])
+            for part in ws.slices(batch, text):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(forest.score(features(part.column(text))))], names=[*columns, "score"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
@@ -177,5 +177,3 @@ def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     forest = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score(docs, forest, ["doc_id"])
     return out.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-
-

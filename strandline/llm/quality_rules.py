@@ -7,7 +7,7 @@ conditional expression, so that applying them needs no Python and every verdict
 
 Defined results: a null text has no words and fails the base rule; without labels nothing but the base rule rejects;
 labels of unknown or repeated documents count once, the lower label wins; null labels are left out. Lines are parted
-by "\\n" only. Repeats are compared by 64-bit hashes.
+by "\\n" only. Repeats are compared by 64-bit hashes within a text; of a repeated id the smallest text is learnt from, and each row is judged by its own.
 """
 
 from __future__ import annotations
@@ -187,14 +187,19 @@ def cover(x: np.ndarray, bad: np.ndarray, least: int = 4) -> list[list[tuple[int
     return rules
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[tuple[str, bool, float]]]:
-    """Rules as lists of (feature, above, threshold), learnt from at most ``sample`` labelled rows."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id, text, _quality of at most ``sample`` documents that have a label, those of the lowest hashes; of a repeated id the smallest text."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(known, ["doc_id", "_quality"]).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    return known.groupBy("doc_id", "_quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[tuple[str, bool, float]]]:
+    """Rules as lists of (feature, above, threshold), learnt from at most ``sample`` labelled rows."""
+    rows = with_statistics(labelled(docs, labels, sample), ["doc_id", "_quality"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     if not rows:
         return []
     counts = {c: np.array([r["_statistics"][c] for r in rows]) for c in COUNTS}
@@ -234,4 +239,4 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rules = learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = quality_rules(docs, rules, ["doc_id"])
-    return out.select("doc_id", *(f"_quality.{c}" for c in (*COUNTS[:5], "base_failed", "kept", "rule")))
+    return out.select("doc_id", *(f"{out.columns[-1]}.{c}" for c in (*COUNTS[:5], "base_failed", "kept", "rule")))
