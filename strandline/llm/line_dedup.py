@@ -89,6 +89,7 @@ def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     apart = lambda x: F.struct(*(x[c].alias(c) for c in ("h", "g", "w")))
     rows = docs.select(key_of.alias("key"), F.explode(_let(hashed, lambda x: _let(apart(x), places))).alias("p")).select("key", "p.*")
+    rows = written(rows, "line-fingerprints")
     # 1. positions joined on fingerprints that occur more than once: the first place of each, with the lines around it
     firsts = rows.groupBy("h", "g").agg(F.min(F.struct("key", "at", "left", "right")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first")
     firsts = written(firsts, "line-firsts")
