@@ -6,10 +6,12 @@ laced with fixed sizes, and cues to the clusters. parse() reads any file of this
 unknown size, clusters, simple blocks and block groups, all four kinds of lacing, tracks and cues; it gives a table
 of packets, each with its track, time in nanoseconds, and range of bytes in the file.
 
-The column operators keep a file a row, so a lost executor costs its own rows only, and memory is a few times the
-longest file.
+The column operators keep a file a row. store() makes a column of files, which the query writes as a table to the shared folder; all that
+it returns is computed from the bytes that it reads back from there, so an executor that is lost costs its own rows only. seek()
+goes by the cues: it parses the head, the cues and the one cluster that holds a time. Memory is a few times the longest file.
 
-Defined results: a null medium has no packets; bytes that are no EBML, a size beyond its parent, or broken lacing raise
+Defined results: each row is a file of its own, so rows that repeat, and null ids, are rows of the result, and equal texts give equal
+files; a text of any length is stored whole; other columns, whatever their names, aren't looked at; a null medium has no packets; bytes that are no EBML, a size beyond its parent, or broken lacing raise
 ValueError; an empty payload is stored as 64 zero bytes.
 """
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import wordscan as ws
+from strandline.llm.common import written
 
 RATE, BLOCK, CLUSTER, UNIT = 8000, 4096, 32, 64
 
@@ -207,8 +210,21 @@ def _block(b, at: int, stop: int, time: int, media: Media, simple: bool) -> None
         at += size
 
 
-def parse(b: bytes) -> Media:
-    """The tracks, packets and cues of a file."""
+def _cluster(b, at: int, stop: int, media: Media) -> None:
+    time = 0
+    for n, p, q in _elements(b, at, stop):
+        if n == TIMESTAMP:
+            time = _value(b, p, q)
+        elif n == SIMPLE_BLOCK:
+            _block(b, p, q, time, media, True)
+        elif n == BLOCK_GROUP:
+            for m, r, s in _elements(b, p, q):
+                if m == BLOCK_ID:
+                    _block(b, r, s, time, media, False)
+
+
+def parse(b: bytes, clusters: bool = True) -> Media:
+    """The tracks, packets and cues of a file; without ``clusters``, its packets are passed over."""
     media, seen = Media(), False
     for name, at, stop in _elements(b, 0, len(b)):
         if name == EBML:
@@ -225,17 +241,8 @@ def parse(b: bytes) -> Media:
                         if n == TRACK_ENTRY:
                             t = _track(b, p, q)
                             media.tracks[t.number] = t
-                elif name == CLUSTER_ID:
-                    time = 0
-                    for n, p, q in _elements(b, at, stop):
-                        if n == TIMESTAMP:
-                            time = _value(b, p, q)
-                        elif n == SIMPLE_BLOCK:
-                            _block(b, p, q, time, media, True)
-                        elif n == BLOCK_GROUP:
-                            for m, r, s in _elements(b, p, q):
-                                if m == BLOCK_ID:
-                                    _block(b, r, s, time, media, False)
+                elif name == CLUSTER_ID and clusters:
+                    _cluster(b, at, stop, media)
                 elif name == CUES:
                     for n, p, q in _elements(b, at, stop):
                         if n == CUE_POINT:
@@ -333,46 +340,58 @@ def packets(media: DataFrame, column: str = "media", key: str = "doc_id") -> Dat
 
 
 def read_back(media: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns and, from the stored bytes: payload, feature."""
+    """The given columns and, from the stored bytes: payload, feature. Each cue must name a cluster of its own."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*media.select(*columns).schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            data, feature = [], []
-            for b in batch.column("media").to_pylist():
-                m = parse(b) if b is not None else None
-                data.append(payload(b, 1, m) if m else None)
-                feature.append(features(m, data[-1]) if m else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(data, pa.binary()), pa.array(feature, pa.string())], names=[*columns, "payload", "feature"])
+            for part in ws.slices(batch, "media", 2 << 20):
+                data, feature = [], []
+                for b in part.column("media").to_pylist():
+                    m = parse(b) if b is not None else None
+                    if m and any(b[at : at + 4] != _id(CLUSTER_ID) for _, _, at in m.cues):
+                        raise ValueError("a cue that points at no cluster")
+                    data.append(payload(b, 1, m) if m else None)
+                    feature.append(features(m, data[-1]) if m else None)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(data, pa.binary()), pa.array(feature, pa.string())], names=[*columns, "payload", "feature"])
 
     return media.mapInArrow(run, schema)
 
 
-def store_and_read(docs: DataFrame) -> DataFrame:
-    """store() and read_back() in one pass, so that a task has one Python process: doc_id, n_bytes, media, payload, feature."""
-
-    def run(batches):
-        for batch in batches:
-            for part in ws.slices(batch, "text", 2 << 20):
-                body, at = ws.flat(part.column("text"))
-                raw = body.tobytes()
-                files = [write_file(raw[a:b] + bytes(-(b - a) % UNIT if b > a else UNIT)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                parsed = [parse(x) for x in files]
-                data = [payload(x, 1, m) for x, m in zip(files, parsed)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(at)), pa.array(files, pa.binary()), pa.array(data, pa.binary()), pa.array([features(m, x) for m, x in zip(parsed, data)], pa.string())],
-                    names=["doc_id", "n_bytes", "media", "payload", "feature"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")
+def seek(b: bytes, time_ns: int, track: int = 1) -> list[tuple[int, int, int, int, bool]]:
+    """The packets of the cluster that a track's cues name for a time: the last that begins by then, or else the first. Other clusters are passed over."""
+    head = parse(b, clusters=False)
+    cues = sorted((t, at) for t, n, at in head.cues if n == track)
+    if not cues:
+        return []
+    _, at = max((c for c in cues if c[0] <= time_ns), default=cues[0])
+    name, p, stop = next(_elements(b, at, len(b)))
+    if name != CLUSTER_ID:
+        raise ValueError("a cue that points at no cluster")
+    part = Media(head.scale, head.tracks)
+    _cluster(b, p, stop, part)
+    return [x for x in part.packets if x[0] == track]
 
 
 def op9_matroska(spark, sf_dir: str) -> DataFrame:
-    back = store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    media = written(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    back = read_back(media, ["doc_id", "n_bytes", "media"])
     size = F.octet_length("payload")
     tail = F.substring("payload", -UNIT, UNIT)
     return back.select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature"
     )
+
+
+def op9_matroska_payload(spark, sf_dir: str) -> DataFrame:
+    """What of op9_matroska SQL can express: the payload."""
+    return op9_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+OP9_PAYLOAD_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT doc_id, b, octet_length(b)::BIGINT AS n FROM d),
+p AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 64 ELSE (64 - n % 64) % 64 END AS pad, b FROM n)
+SELECT doc_id, n AS n_bytes, (n + pad)::BIGINT AS payload_bytes, sha256(b || unhex(repeat('00', pad::INTEGER))) AS payload_sha256 FROM p
+"""

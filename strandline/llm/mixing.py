@@ -5,14 +5,15 @@ document; the fraction is rounded by the pivotal method: two documents with frac
 words to each other, at random and without bias, so that a f + b g stays and one of them becomes 0 or 1. What stays
 undecided goes on to the next one. Documents meet in chunks of bounded size, the longest first so that a short one is left; each chunk leaves one undecided
 document, and these meet in chunks again: a reduction tree, whose height is the logarithm of the number of documents.
-The last one of a source is rounded to the nearer whole number, and one other decision is turned over if that brings the
-sum nearer to the target: of all that is drawn only this last step isn't by chance, and it moves a source by less than half a document.
+The last one of a source is drawn by its fraction. The words by which that draw misses, too many as likely as too few, are handed on
+to documents of the last chunk that were decided the other way, in random order, as long as they fit; so a source
+comes near its target though its last document may be a long one, and no document is favoured but by its size.
 
 Random numbers are hashes of doc_id, size and seed: reruns agree, however the rows are dealt.
 
 Defined results: a null text has size 0; documents of size 0 get the whole part only; a null source is a source of its
-own, the last; a null doc_id and rows that repeat one take part as rows of their own, equal rows with equal results; a source of
-size 0 has target 0; an empty table gives an empty result.
+own, the last; a null doc_id and rows that repeat one take part as rows of their own, equal rows told apart by number; a source of
+size 0 has target 0; other columns, whatever their names, aren't looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, free_name
+from strandline.llm.common import WORD, written
 
 WEIGHTS, CAP, CHUNK, SEED = (1, 2, 3), 3, 256, 42
 
@@ -76,15 +77,23 @@ def _reduce(items: DataFrame, seed: int) -> DataFrame:
     return items.groupBy("source", "chunk", "chunks").agg(x.alias("_x")).select("source", "chunk", "chunks", folded.alias("r"))
 
 
-def _settled(r):
-    """The decisions of a source's last chunk after its last document is rounded: the words by which that misses go to one
-    other document of the chunk, the one whose size is nearest, if turning its decision over brings the sum nearer."""
-    up = (r["open"]["f"] >= 0.5).cast("int")
+def _drawn(r, seed: int):
+    """The draw of a chunk's open document, by its fraction."""
+    return (_unit(r["open"]["row"]["id"], r["open"]["row"]["text"], r["open"]["row"]["nth"], F.lit(seed + 2)) < r["open"]["f"]).cast("int")
+
+
+def _settled(r, seed: int):
+    """The decisions of a source's last chunk after its open document is drawn: the words by which the draw misses are handed on to
+    others of the chunk, in random order, each turned over if it is no larger than what is left to hand on."""
+    up = _drawn(r, seed)
     missed = r["open"]["size"] * (up - r["open"]["f"])  # too many, if positive
-    gap = lambda d: F.abs(F.abs(missed) - d["size"])
-    turns = F.filter(r["done"], lambda d: (d["up"] == F.when(missed > 0, 1).otherwise(0)) & (gap(d) < F.abs(missed)))
-    best = F.array_min(F.transform(turns, lambda d: F.struct(gap(d).alias("gap"), d["row"].alias("row"))))
-    return F.transform(r["done"], lambda d: F.struct(d["row"].alias("row"), F.when(best.isNotNull() & (d["row"] == best["row"]), 1 - d["up"]).otherwise(d["up"]).alias("up")))
+    fits = F.filter(r["done"], lambda d: (d["up"] == F.when(missed > 0, 1).otherwise(0)) & (d["size"] <= F.abs(missed)))
+    order = F.array_sort(F.transform(fits, lambda d: F.struct(F.xxhash64(d["row"]["id"], d["row"]["text"], d["row"]["nth"], F.lit(seed + 3)).alias("h"), d["row"].alias("row"), d["size"].alias("size"))))
+    none = F.struct(F.abs(missed).alias("left"), F.array().cast("array<struct<id:bigint,text:bigint,nth:int>>").alias("turned"))
+    take = lambda acc, d: F.when(d["size"] <= acc["left"], F.struct((acc["left"] - d["size"]).alias("left"), F.concat(acc["turned"], F.array(d["row"])).alias("turned"))).otherwise(acc)
+    turned = F.aggregate(order, none, take, lambda acc: acc["turned"])
+    put = lambda t: F.transform(r["done"], lambda d: F.struct(d["row"].alias("row"), F.when(F.array_contains(t, d["row"]), 1 - d["up"]).otherwise(d["up"]).alias("up")))
+    return F.element_at(F.transform(F.array(turned), put), 1)
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
@@ -94,6 +103,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, chunk: int = C
     base = docs.select(row.alias("row0"), F.col("source").cast("string").alias("source"), size.alias("size"))
     # equal rows are told apart by number; groups of these are as large as one id repeats
     base = base.withColumn("nth", F.row_number().over(Window.partitionBy("row0").orderBy(F.col("source").asc_nulls_last()))).select(F.struct("row0.id", "row0.text", "nth").alias("row"), "source", "size")
+    base = written(base, "mix-sizes")  # texts are scanned once
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     # sources are few, but their number isn't bounded: the join is left to Spark's own check of sizes
     goal = targets(per.select("source", "source_size"), weights, cap).join(per.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
@@ -111,11 +121,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, chunk: int = C
         if last:
             level = level.withColumn("chunk", F.lit(0).cast("long"))
         r = _reduce(level, seed)
-        done = r.select(F.explode(_settled(F.col("r")) if last else F.col("r.done")).alias("d")).select("d.row", "d.up")
+        done = r.select(F.explode(_settled(F.col("r"), seed) if last else F.col("r.done")).alias("d")).select("d.row", "d.up")
         decided = done if decided is None else decided.unionByName(done)
-        opened = r.select("source", "chunk", "chunks", "r.open.*")
+        opened = r.select("source", "chunk", "chunks", "r.open.*", _drawn(F.col("r"), seed).alias("drawn"))
         if last:
-            decided = decided.unionByName(opened.select("row", (F.col("f") >= 0.5).cast("int").alias("up")))
+            decided = decided.unionByName(opened.select("row", F.col("drawn").alias("up")))
         else:
             up = F.ceil(F.col("chunks") / (chunk // 2))
             level = opened.select("source", "h", "row", "size", "f", F.floor(F.col("chunk") / (chunk // 2)).alias("chunk"), up.alias("chunks"))
@@ -129,9 +139,20 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: For each document, what it can be checked against: everything but the random choice.
-TARGET_SQL = r"""
-WITH d AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS s FROM documents GROUP BY source),
-w AS (SELECT source, s::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d)
-SELECT source, source_size, w FROM w
+def op7_mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """What of op7_mixing doesn't depend on the draw, and how near each source comes: the words by which it misses, in units of its longest
+    document (0: less than one)."""
+    out = op7_mixing(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "doc_id")
+    near = out.groupBy("source", "source_size", "target").agg(F.count(F.lit(1)).alias("documents"), F.sum("taken").alias("taken"), F.max("size").alias("longest"), F.sum((F.col("taken") > 3 * F.col("size")).cast("long")).alias("beyond"))
+    return near.select("source", "source_size", F.round("target", 3).alias("target"), "documents", "beyond", F.floor(F.abs(F.col("taken") - F.col("target")) / F.col("longest")).cast("long").alias("missed"))
+
+
+OP7_TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT source, count(*) AS documents, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS s FROM documents GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d),
+r AS (SELECT source, s, w, documents, NULL::DOUBLE AS target, 0 AS round FROM w
+  UNION ALL SELECT source, s, w, documents, CASE WHEN target IS NULL AND lv * w > 3 * s THEN 3.0 * s ELSE target END, round + 1
+  FROM (SELECT *, ((SELECT sum(s) FROM w) - coalesce(sum(target) OVER (), 0)) / sum(CASE WHEN target IS NULL THEN w END) OVER () AS lv FROM r WHERE round < 25)),
+e AS (SELECT *, ((SELECT sum(s) FROM w) - coalesce(sum(target) OVER (), 0)) / sum(CASE WHEN target IS NULL THEN w END) OVER () AS lv FROM r WHERE round = 25)
+SELECT source, s AS source_size, round(coalesce(target, lv * w), 3) AS target, documents, 0::BIGINT AS beyond, 0::BIGINT AS missed FROM e
 """

@@ -6,8 +6,8 @@ from strandline.llm.bpe import op3_bpe
 from strandline.llm.id_store import op5_id_store
 from strandline.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from strandline.llm.line_dedup import OP1_SQL, op1_line_dedup
-from strandline.llm.matroska import op9_matroska
-from strandline.llm.mixing import op7_mixing
+from strandline.llm.matroska import OP9_PAYLOAD_SQL, op9_matroska, op9_matroska_payload
+from strandline.llm.mixing import OP7_TARGETS_SQL, op7_mixing, op7_mixing_targets
 from strandline.llm.pii import OP10_SQL, op10_pii
 from strandline.llm.quality_classifier import op8_quality_classifier
 from strandline.llm.quality_rules import op4_quality_rules
@@ -21,13 +21,17 @@ QUERIES = {
     "op5_id_store": op5_id_store,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_mixing": op7_mixing,
+    "op7_mixing_targets": op7_mixing_targets,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_matroska": op9_matroska,
+    "op9_matroska_payload": op9_matroska_payload,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op2_jaccard_join": OP2_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op7_mixing_targets": OP7_TARGETS_SQL,
+    "op9_matroska_payload": OP9_PAYLOAD_SQL,
     "op10_pii": OP10_SQL,
 }

@@ -163,8 +163,9 @@ def unpack(column, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
-    """Cut a batch so that the texts of each piece have about so many bytes at most; one longer text is a piece."""
-    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """Cut a batch so that the texts (or binary values) of each piece have about so many bytes at most; one longer text is a piece."""
+    texts = batch.column(column)
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"") if pa.types.is_binary(texts.type) else pc.fill_null(texts.cast(pa.large_string()), "")
     size = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
     i = 0
     while i < batch.num_rows:
