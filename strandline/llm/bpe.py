@@ -166,7 +166,7 @@ def bpe_of(path: str, pattern: str) -> tuple[Bpe, Dictionary]:
     """This process's Bpe of a vocabulary and the segments that it knows."""
     if (path, pattern) not in _KNOWN:
         b = Bpe(path, pattern)
-        _KNOWN[path, pattern] = b, Dictionary(b.encode_segments)
+        _KNOWN[path, pattern] = b, Dictionary(lambda s, new: b.encode_segments(s.distinct(new)))
     return _KNOWN[path, pattern]
 
 

@@ -9,14 +9,17 @@ Files of a store, all Parquet:
 ``chunks``    address, n (ids), ids (their bytes, little endian, ``width`` each), refs (document and place, packed)
 ``recipes``   shard, doc_id, text_hash, copies, n_tokens, addresses, root; in ascending order of doc_id, shard by shard
 ``manifests`` shard, n_documents, n_tokens, root
+``store``     n_shards, root: one over the shards' in order
 
-On reading, a recipe's root is recomputed from the addresses of the chunks that were read, each manifest from its recipes;
-a difference raises.
+On reading, a recipe's root is recomputed from the addresses of the chunks that were read, each manifest from its recipes, and the
+store's root from the manifests; a difference raises.
 
 Before chunks are dealt out by address, those of one batch are merged: a chunk of which there are very many copies
 travels once for each batch of input.
 
-Defined results: a null text counts as empty, its stream is the end id; rows with one doc_id are ordered by a hash of
+Special tokens in a text are encoded as the library does by default. An id that doesn't fit the width raises.
+
+Defined results: a null text counts as empty, its stream is the end id; other columns aren't looked at; rows with one doc_id are ordered by a hash of
 their text, equal rows share a recipe (``copies``); a null doc_id comes last; an empty table gives an empty store.
 """
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import wordscan as ws
 from strandline.llm.common import input_bytes, shared_folder
-from strandline.llm.pieces import Dictionary, gather
+from strandline.llm.pieces import Dictionary, Segments, ends_wide, gather
 
 END_ID = 2
 #: Chunks end where the rolling hash of so many ids says so, one place in MEAN, and after MOST ids anyway.
@@ -46,22 +49,24 @@ def encoder(path: str) -> Dictionary:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-
-        # the bytes of each id: a byte-level vocabulary spells each byte as one character
+        # the bytes of each id: a byte-level vocabulary spells each byte as one character, and special tokens are ASCII
         length = np.zeros(max(tok.get_vocab().values()) + 1, np.int64)
         for token, i in tok.get_vocab().items():
             length[i] = len(token)
 
-        def encode(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def encode(s: Segments, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             # a segment that begins with a space and ends without one is encoded alike after any other of this kind
-            joins = np.array([x[0] in " \t\n\v\f\r" and not x[-1].isspace() for x in segments], bool)
+            start, end = s.spans(chosen)
+            last = s.body[end - 1]
+            joins = ws.SPACE[s.body[start]] & ~ws.SPACE[last] & ~((last >= 0x1C) & (last <= 0x1F)) & ~ends_wide(s.body, end)
             order = np.append(np.flatnonzero(joins), np.flatnonzero(~joins))
             n = int(joins.sum())
-            texts = ["".join([segments[i] for i in order[k : min(k + 1000, n)]]) for k in range(0, n, 1000)] + [segments[i] for i in order[n:]]
+            raw = gather(s.body, start[order], (end - start)[order]).tobytes()
+            ends = np.cumsum((end - start)[order])
+            cut = np.append(0, ends)[np.append(np.arange(0, n, 1000), np.arange(n, len(order) + 1))].tolist()
+            texts = [raw[a:b].decode() for a, b in zip(cut[:-1], cut[1:])]
             ids = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            ends = np.cumsum(np.fromiter((len(segments[i].encode()) for i in order), np.int64, len(order)))
             reached = np.cumsum(length[flat])
             cuts = np.append(0, np.searchsorted(reached, ends) + 1) if len(order) else np.zeros(1, np.int64)
             if len(order) and not (reached[cuts[1:] - 1] == ends).all():
@@ -121,6 +126,8 @@ def _chunks(path: str, end: int, width: int):
                 ids, at = with_end(*known.column(part.column("text")), end)
                 start, ranges = cut_chunks(ids, at)
                 stops = np.append(start[1:], len(ids))
+                if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+                    raise ValueError(f"an id doesn't fit in {width} bytes")
                 raw = ids.astype(kind)
                 places: dict[bytes, list[int]] = {}
                 data = raw.tobytes()
@@ -172,6 +179,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, w
     schema = "shard int, doc_id long, text_hash long, copies long, n_tokens long, addresses array<binary>, root binary"
     recipe.mapInArrow(_sealed, schema).write.mode("overwrite").parquet(f"{path}/recipes")
     spark.read.schema(schema).parquet(f"{path}/recipes").select("shard", "doc_id", "text_hash", "copies", "n_tokens", "root").groupBy("shard").applyInArrow(_manifest, "shard int, n_documents long, n_tokens long, root binary").write.mode("overwrite").parquet(f"{path}/manifests")
+    _root(spark.read.schema(_MANIFESTS).parquet(f"{path}/manifests")).write.mode("overwrite").parquet(f"{path}/store")
+
+
+def _root(manifests: DataFrame) -> DataFrame:
+    """One row: the number of shards, and a hash over their roots in order. A row a shard of about 64 MB is gathered."""
+    ordered = F.array_sort(F.collect_list(F.struct("shard", "root")))
+    return manifests.agg(F.count(F.lit(1)).alias("n_shards"), F.sha2(F.array_join(F.transform(ordered, lambda s: F.concat(s["shard"].cast("string"), F.lit(":"), F.hex(s["root"]))), ","), 256).alias("root"))
 
 
 def _unfolded(batches):
@@ -213,6 +227,9 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     m = spark.read.schema(_MANIFESTS).parquet(f"{path}/manifests")
     m = m.groupBy("shard").cogroup(r.drop("addresses").groupBy("shard")).applyInArrow(_held, _MANIFESTS)
+    sealed = spark.read.schema("n_shards long, root string").parquet(f"{path}/store").first()  # one row
+    if sealed is None or tuple(_root(m).first()) != tuple(sealed):
+        raise ValueError("the shards' manifests don't match the store's root")
     # one row a shard: shards are of about 64 MB
     before = m.select(F.col("shard").alias("s2"), (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
     inside = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")

@@ -11,10 +11,17 @@ import numpy as np
 
 from strandline.llm import wordscan as ws
 
-#: White space beyond ASCII, as UTF-8: no cut is made right after these, the pattern may run on across them.
-_WIDE = [c.encode() for c in "\u0085                 　"]
-_WIDE_LAST = np.zeros(256, bool)
-_WIDE_LAST[[c[-1] for c in _WIDE]] = True
+#: White space beyond ASCII: no cut is made right after these, the pattern may run on across them.
+_WIDE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Their UTF-8 bytes, as numbers.
+_WIDE_BYTES = np.array([int.from_bytes(chr(c).encode(), "big") for c in _WIDE])
+
+
+def ends_wide(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bytes before each place end in white space beyond ASCII."""
+    back = lambda k: body[np.maximum(at - k, 0)].astype(np.int64) * (at >= k)
+    two = back(2) << 8 | back(1)
+    return np.isin(two, _WIDE_BYTES) | np.isin(back(3) << 16 | two, _WIDE_BYTES)
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -35,9 +42,7 @@ class Segments:
         cut = np.zeros(len(body), bool)
         cut[1:] = space[1:] & ~space[:-1]
         at = np.flatnonzero(cut)
-        for i in at[_WIDE_LAST[body[at - 1]]] if len(at) else ():
-            if any(body[max(0, i - len(c)) : i].tobytes() == c for c in _WIDE):
-                cut[i] = False
+        cut[at[ends_wide(body, at)]] = False
         first = offsets[:-1][np.diff(offsets) > 0]
         cut[first] = True
         self.start = np.flatnonzero(cut)
@@ -47,14 +52,20 @@ class Segments:
         self.hash, where, self.which = np.unique(ws.hashes(body, self.start, self.end), return_index=True, return_inverse=True)
         self._where = where
 
+    def spans(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the chosen distinct segments in ``body``."""
+        at = self._where[chosen]
+        return self.start[at], self.end[at]
+
     def distinct(self, chosen: np.ndarray) -> list[str]:
         """The strings of the chosen distinct segments."""
-        raw, at = self.body.tobytes(), self._where[chosen]
-        return [raw[a:b].decode() for a, b in zip(self.start[at].tolist(), self.end[at].tolist())]
+        raw, (start, end) = self.body.tobytes(), self.spans(chosen)
+        return [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
 
 
 class Dictionary:
-    """Ids of distinct segments by hash, over the batches of a worker; emptied when it is full, so memory is bounded."""
+    """Ids of distinct segments by hash, over the batches of a worker; emptied when it is full, so memory is bounded. ``encode``
+    takes Segments and the chosen ones, and gives their ids one after another, and offsets."""
 
     def __init__(self, encode, most: int = 150_000):
         self.encode, self.most = encode, most
@@ -69,7 +80,7 @@ class Dictionary:
         at[at == len(self.hash)] = 0
         known = self.hash[at] == s.hash if len(self.hash) else np.zeros(len(s.hash), bool)
         new = np.flatnonzero(~known)
-        flat, cuts = self.encode(s.distinct(new))
+        flat, cuts = self.encode(s, new)
         # all segments' places in the known ids followed by the new ones
         begin, size = np.empty(len(s.hash), np.int64), np.empty(len(s.hash), np.int64)
         begin[known], size[known] = self.begin[at[known]], self.size[at[known]]

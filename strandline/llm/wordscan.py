@@ -123,10 +123,13 @@ def windows(hashed: np.ndarray, ranges: np.ndarray, size: int) -> tuple[np.ndarr
     n = len(hashed)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = hashed[: n - size + 1].copy()
-    for i in range(1, size):
-        total *= _STEP
-        total += hashed[i : n - size + 1 + i]
+    # by doubling: a window of 2 k elements is two windows of k; the size's bits put the windows together
+    total, done, part, k = np.zeros(n + 1, np.uint64), 0, hashed, 1
+    while done < size:
+        if size & k:
+            total = total[: n - done - k + 1] * np.uint64(pow(int(_STEP), k, 2**64)) + part[done:][: n - done - k + 1]
+            done += k
+        k, part = 2 * k, part[: len(part) - k] * np.uint64(pow(int(_STEP), k, 2**64)) + part[k:]
     ok = np.ones(n, bool)
     for i in range(1, size):
         at = ranges[1:] - i

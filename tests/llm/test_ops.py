@@ -356,8 +356,9 @@ def test_id_store(spark, odd, empty, tmp_path):
     from strandline.llm.id_store import read_checksums, read_ids, write_store
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for name, df in (("odd", odd), ("empty", empty)):
+    special = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>\n\nb<|endoftext|>", "x<|endoftext|>\u3000 y <|endoftext", *TRICKY]
+    tricky = spark.createDataFrame([(i, t) for i, t in enumerate(special * 2)], "doc_id long, text string")
+    for name, df in (("odd", odd), ("empty", empty), ("tricky", tricky)):
         path = str(tmp_path / name)
         write_store(df, path, P.path("byte_bpe_50k.json"))
         ids = read_ids(spark, path).orderBy("start").collect()
@@ -400,7 +401,7 @@ def test_altered_seals_raise(spark, tmp_path):
     text = " ".join(f"word{i * i % 991}" for i in range(3000))
     write_store(spark.createDataFrame([(1, text), (2, text + " tail")], "doc_id long, text string"), path, P.path("byte_bpe_50k.json"))
     assert spark.read.parquet(f"{path}/recipes").where("size(addresses) > 1").count() == 2
-    for table, column, value in (("recipes", "addresses", "reverse(addresses)"), ("recipes", "root", "cast('x' AS binary)"), ("manifests", "root", "cast('x' AS binary)"), ("manifests", "shard", "shard + 100")):
+    for table, column, value in (("recipes", "addresses", "reverse(addresses)"), ("recipes", "root", "cast('x' AS binary)"), ("manifests", "root", "cast('x' AS binary)"), ("manifests", "shard", "shard + 100"), ("store", "root", "reverse(root)")):
         other = str(tmp_path / f"{table}-{column}")
         shutil.copytree(path, other)
         shutil.rmtree(f"{other}/{table}")
@@ -410,6 +411,21 @@ def test_altered_seals_raise(spark, tmp_path):
                 read(spark, other).collect()
 
 
+def test_wide_ids_raise(spark, tmp_path):
+    from strandline.llm.id_store import write_store
+
+    with pytest.raises(Exception, match="doesn't fit"):
+        write_store(spark.createDataFrame([(1, "many different words")], "doc_id long, text string"), str(tmp_path / "w"), P.path("byte_bpe_50k.json"), width=1)
+
+
+def test_windows_of_any_size():
+    h = ws.mix(np.arange(40, dtype=np.uint64))
+    for size in (1, 2, 5, 7, 13, 16, 40):
+        at, got = ws.windows(h, np.array([0, 17, 17, 40]), size)
+        want = {i: ws.mix(np.array([sum(int(x) * pow(int(ws._STEP), size - 1 - j, 2**64) for j, x in enumerate(h[i : i + size])) % 2**64], np.uint64))[0] for a, b in ((0, 17), (17, 40)) for i in range(a, b - size + 1)}
+        assert dict(zip(at.tolist(), got.tolist())) == want
+
+
 def test_crc_of_joined_parts():
     from strandline.llm.id_store import _shifts, _times, merkle
 
