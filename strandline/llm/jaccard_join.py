@@ -11,11 +11,11 @@ bounded size, so a group has exact links, also those that no run met. Equal word
 the start. Buckets and groups give one row a member (stars and counts), never one a pair.
 
 Result: a row for each document: ``class_id`` (the smallest doc_id that is linked to it, directly or not; of its equals
-at least) and ``n_links`` (how many other documents are linked to it directly, copies included).
+at least), ``class_node`` (the class itself, as ids may repeat) and ``n_links`` (how many other documents are linked to it directly, copies included).
 
 Defined results: texts of 1 to WORDS - 1 words have one shingle, all their words; texts without words, and nulls, are
 linked to none and are their own class; rows that repeat a doc_id are documents of their own; a null doc_id is the
-largest. Words and shingles are compared by 64-bit hashes.
+largest; other columns, whatever their names, aren't looked at; a text of any length is taken whole. Words and shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _sign(size: int):
                 words = ws.Words(part.column("text"))
                 sig = signatures(*shingles(words, size))
                 node = sequence_hashes(words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), pa.array(words.counts > 0), ws.pack(sig.ravel(), np.arange(len(sig) + 1) * TOKENS)], names=["doc_id", "node", "full", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node), pa.array(words.counts > 0), ws.pack(sig.ravel(), np.arange(len(sig) + 1) * TOKENS)], names=["doc_id", "text_hash", "node", "full", "sig"])
 
     return run
 
@@ -313,11 +313,12 @@ def _verify(numerator: int, denominator: int):
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4, 5), target: float = TARGET) -> DataFrame:
-    """doc_id, node (a hash of the words in order), class_id, n_links for each row of the documents."""
+    """doc_id, text_hash, node (a hash of the words in order), class_id, class_node (a number of the class; null: no words), n_links for
+    each row of the documents."""
     s = similarity[0] / similarity[1]
     runs = min(TOKENS, runs_for(target, s, LEVELS))
-    texts = docs_of(docs)
-    signed = written(texts.mapInArrow(_sign(words), "doc_id long, node long, full boolean, sig binary"), "signed")
+    texts = docs_of(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    signed = written(texts.mapInArrow(_sign(words), "doc_id long, text_hash long, node long, full boolean, sig binary"), "signed")
     nodes = signed.where("full").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(_NULL))).alias("least"))
     nodes = written(nodes, "nodes")
     sigs = signed.where("full").join(nodes.select("node", "least"), "node").where(F.coalesce("doc_id", F.lit(_NULL)) == F.col("least")).dropDuplicates(["node"]).select("node", "sig")
@@ -352,9 +353,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int
     classes = components(exact.select(F.col("node").alias("u"), F.col("star").alias("v")))
     named = nodes.join(classes, "node", "left").join(links, "node", "left").select("node", "n", "least", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = named.join(ids, "component").select("node", F.nullif("class_id", F.lit(_NULL)).alias("class_id"), (F.col("links") + F.col("n") - 1).alias("n_links"))
-    out = signed.select("doc_id", "node", "full").join(named.withColumnRenamed("node", "_n"), F.col("full") & (F.col("node") == F.col("_n")), "left")
-    return out.select("doc_id", "node", F.when(F.col("full"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(ids, "component").select("node", F.col("component").alias("class_node"), F.nullif("class_id", F.lit(_NULL)).alias("class_id"), (F.col("links") + F.col("n") - 1).alias("n_links"))
+    out = signed.select("doc_id", "text_hash", "node", "full").join(named.withColumnRenamed("node", "_n"), F.col("full") & (F.col("node") == F.col("_n")), "left")
+    return out.select("doc_id", "text_hash", "node", F.when(F.col("full"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "class_node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
