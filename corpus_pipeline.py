@@ -38,11 +38,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of equal rows one stays."""
-    key, h = free_name(docs, "_stays"), free_name(docs, "_h")
-    stays = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias(key)).distinct()
-    known = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(h, F.xxhash64("text"))
-    return known.join(stays, key, "left_semi").dropDuplicates([key, h]).select(*docs.columns)
+    """Of each group of linked documents one stays: the one with the smallest id, of these the one with the smallest hash of its text;
+    documents without words are linked to none. Of equal rows (same id, same text) one stays."""
+    i, h, stays = free_name(docs, "_id"), free_name(docs, "_h"), written(jaccard_join(docs), "classes")
+    key = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("text_hash").alias("h"))
+    of_groups = stays.where("class_node IS NOT NULL").groupBy("class_node").agg(F.min(key).alias("k")).select("k.*")
+    kept = of_groups.unionByName(stays.where("class_node IS NULL").select(key.alias("k")).select("k.*")).distinct().toDF(i, h)
+    known = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return known.join(kept, [i, h], "left_semi").dropDuplicates([i, h]).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
