@@ -63,3 +63,11 @@ def test_odd_and_empty(spark, sf_dir, name, stage):
         assert max(Counter((r.doc_id, zlib.crc32((r.text or "").encode())) for r in out.collect()).values()) <= 6
     assert stage(spark, written(spark.createDataFrame([], SCHEMA), "none"), sf_dir).count() == 0
     assert P.PATTERN
+
+
+def test_near_duplicates_of_repeated_ids(spark, sf_dir):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, b + " tail"), (None, "c d e"), (7, None), (8, "")]
+    docs = written(spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long"), "ids")
+    got = {(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, sf_dir).collect()}
+    assert got == {(3, a), (5, b), (None, "c d e"), (7, None), (8, "")}
