@@ -10,12 +10,14 @@ import os
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline import schemas
 from strandline.functions import arrays as A
 from strandline.functions import text as X
+from strandline.kernels import match as M
 from strandline.operators import alignment, documents, resegment, scores
 from strandline.operators.shared import materialised
 from strandline.sources import readers, writers
@@ -82,15 +84,23 @@ def align(config: Config, segments: DataFrame, instances: DataFrame) -> DataFram
     docs = materialised(source.join(target, "doc_id").withColumn("sys_id", F.lit(None).cast("string")).withColumn("tgt_list", F.transform("tgt_sentences", lambda s: s["sentence"])), "docs")
     texts = alignment.distinct_overlaps(docs, "src_list", config.overlap).unionByName(alignment.distinct_overlaps(docs, "tgt_list", config.overlap)).distinct()
     vectors = materialised(alignment.embed(texts, config.embedder), "vectors")
-    swept = alignment.sweep(alignment.with_vectors(docs, vectors, "src_list", config.overlap, "a"), alignment.with_vectors(docs, vectors, "tgt_list", config.overlap, "b"), config.overlap)
-    return alignment.aligned_segments(alignment.best_alignment(materialised(swept, "sweep")), docs)
+    best = alignment.sweep_best(alignment.with_vectors(docs, vectors, "src_list", config.overlap, "a"), alignment.with_vectors(docs, vectors, "tgt_list", config.overlap, "b"), config.overlap)
+    return alignment.aligned_segments(best, docs)
 
 
 def raw_spans(aligned: DataFrame, instances: DataFrame) -> DataFrame:
     """Target spans of raw text as spans of the stream of kept characters, in which units are located."""
-    x = aligned.join(instances.select("doc_id", "prediction"), "doc_id", "left")
-    upto = lambda c: F.when(F.col(c) < 0, -1).otherwise(F.length(X.char_stream(F.substring(F.col("prediction"), F.lit(1), F.col(c)))))
-    return x.withColumns({c: upto(c).cast("int") for c in ("mt_char_start", "mt_char_end")}).drop("prediction")
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<int>")
+    def places(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: M.stream_places(t or ""))
+
+    # one list of places a document, then a look-up a segment; the list is read from storage, not computed for each
+    known = materialised(instances.select("doc_id", places("prediction").alias("_places")), "places")
+    spans = aligned.join(known.select("doc_id", "_places"), "doc_id", "left")
+    upto = lambda c: F.when(F.col(c) < 0, -1).otherwise(F.get("_places", F.least(F.col(c), F.size("_places") - 1)))
+    return spans.withColumns({c: upto(c).cast("int") for c in ("mt_char_start", "mt_char_end")}).drop("_places")
 
 
 def score(config: Config, aligned: DataFrame, segments: DataFrame, instances: DataFrame) -> DataFrame:

@@ -549,13 +549,14 @@ def doc_embedding(spark, d):
 
 @query()
 def vec_align(spark, d):
+    """Each label's vectors aligned with the next label's, at the production size of 8; longer runs are sums of neighbours."""
     e = _table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.withColumn("at", at).groupBy("label").agg(F.array_sort(F.collect_list(F.struct(F.lit(1).alias("size"), "at", F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("vec")))).alias("v"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
+    rows = e.groupBy("label").agg(F.struct(listed.alias("vectors"), F.array().cast("array<string>").alias("unknown")).alias("v"))
     left = rows.select(F.col("label").cast("string").alias("doc_id"), "v")
     right = rows.select((F.col("label") - 1).cast("string").alias("doc_id"), "v")
-    swept = alignment.sweep(left, right, 2)
-    return alignment.best_alignment(swept, max_jump=1.0, min_cost=0.0).select("doc_id", "step", "aln_idx", "src_idx", "tgt_idx", F.round("cost", 6).alias("cost"))
+    best = alignment.sweep_best(left, right, 8, max_jump=1.0, min_cost=0.0, sums=True)
+    return best.select("doc_id", "step", "aln_idx", "src_idx", "tgt_idx", F.round("cost", 6).alias("cost"))
 
 
 @query()
