@@ -177,6 +177,7 @@ def bleu_tokens_13a(c: Column) -> Column:
     for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         c = F.replace(c, F.lit(a), F.lit(b))
     c = F.concat(F.lit(" "), c, F.lit(" "))
+    # The four patterns of the scheme.
     c = F.regexp_replace(c, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
     c = F.regexp_replace(c, r"([^0-9])([\.,])", "$1 $2 ")
     c = F.regexp_replace(c, r"([\.,])([^0-9])", " $1 $2")
@@ -192,6 +193,18 @@ def bleu_tokens_zh(c: Column) -> Column:
 def bleu_tokens(c: Column, tokenizer: str = "13a") -> Column:
     if tokenizer == "zh":
         return bleu_tokens_zh(c)
-    if tokenizer in ("13a", "ja-mecab"):  # Japanese morphology is a plug-in; without one, words
+    if tokenizer == "13a":
         return bleu_tokens_13a(c)
-    raise ValueError(f"unknown tokenizer {tokenizer!r}")
+    from strandline import plugins  # Japanese and Korean morphology: raises if there is no plug-in of this name
+
+    return plugin_tokens(c, plugins.get("tokenizer", tokenizer))
+
+
+def plugin_tokens(c: Column, f) -> Column:
+    """Tokens of a plug-in, a function of a text, in Arrow batches."""
+
+    @pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: list(f(x or "")))
+
+    return run(c)

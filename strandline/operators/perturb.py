@@ -9,13 +9,28 @@ from pyspark.sql import functions as F
 from strandline.operators.documents import ordered_concat
 
 
+def _draw(*keys: str, seed: int) -> F.Column:
+    """A random-looking order of rows, the same in every run and engine: digests of the keys as text."""
+    return F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))))
+
+
 def sample(segments: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """A share of the segments of documents with more than one, one at least: those of the smallest hashes, so reruns agree."""
-    many = segments.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where("_n > 1").drop("_n")
-    h = F.xxhash64("doc_id", "seg_id", F.lit(seed))
-    n = many.count()
-    most = max(1, -(-int(round(share * n * 1_000_000)) // 1_000_000)) if n else 0
-    return many.orderBy(h, "doc_id", "seg_id").limit(most)
+    """A share of the segments of documents with more than one, one at least: those of the smallest digests, so reruns agree.
+
+    Digests are counted in bins of their first four digits (65,536 rows at most); bins before the last one are taken whole, and only
+    the last one is put in order."""
+    many = segments.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where("_n > 1").drop("_n").withColumn("_h", _draw("doc_id", "seg_id", seed=seed))
+    many = many.withColumn("_bin", F.substring("_h", 1, 4))
+    counts = sorted((r["_bin"], r["n"]) for r in many.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(c for _, c in counts)
+    left = max(1, -(-int(round(share * n * 1_000_000)) // 1_000_000)) if n else 0
+    last = ""
+    for last, c in counts:  # noqa: B007
+        if c >= left:
+            break
+        left -= c
+    whole = many.where(F.col("_bin") < last)
+    return whole.unionByName(many.where(F.col("_bin") == last).orderBy("_h", "doc_id", "seg_id").limit(left)).drop("_h", "_bin")
 
 
 def sample_merges(segments: DataFrame, share: float = 0.1, seed: int = 0) -> DataFrame:
@@ -33,7 +48,7 @@ def sample_merges(segments: DataFrame, share: float = 0.1, seed: int = 0) -> Dat
                 out.append((pdf["doc_id"].iloc[0], ids[i], ids[i + 1]))
         return pd.DataFrame(out, columns=["doc_id", "first", "second"])
 
-    rows = segments.select("doc_id", F.col("seg_id").cast("long").alias("seg_no"), F.xxhash64("doc_id", "seg_id", F.lit(seed)).alias("_h"))
+    rows = segments.select("doc_id", F.col("seg_id").cast("long").alias("seg_no"), _draw("doc_id", "seg_id", seed=seed).alias("_h"))
     return rows.groupBy("doc_id").applyInPandas(pick, f"doc_id {dict(segments.dtypes)['doc_id']}, first long, second long")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
-from strandline.functions.text import bleu_tokens, is_blank, words_length
+from strandline.functions.text import bleu_tokens, is_blank, segment_order, words_length
 
 #: The types of an alignment.
 NORMAL, UNDER, OVER = "normal", "under_translation", "over_translation"
@@ -100,7 +100,6 @@ def bleu_statistics(pairs: DataFrame, tokenizer: str = "13a", order: int = 4) ->
     for n in range(1, order + 1):
         grams = lambda c, n=n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), _gram(c, n))).otherwise(F.array().cast("array<string>"))
         h, r = grams(F.col("_h")), grams(F.col("_r"))
-        # sorted lists are merged: of equal n-grams as many match as the smaller number
         stats.append(_clipped(h, r).alias(f"match_{n}"))
         stats.append(F.greatest(F.size("_h") - (n - 1), F.lit(0)).cast("long").alias(f"total_{n}"))
     return t.select(*[c for c in pairs.columns if c not in ("hyp", "ref")], *stats)
@@ -170,8 +169,9 @@ def rollup(scored: DataFrame, scores: list[str], order: str = "seg_id", first: s
     from strandline.operators.documents import ordered_concat
 
     lead = first or scores[0]
+    place = segment_order(F.col(order)) if dict(scored.dtypes)[order] == "string" else F.col(order)
     return scored.groupBy("doc_id").agg(
-        *[ordered_concat(F.col(c), F.col(order)).alias(c) for c in ("src", "ref", "mt") if c in scored.columns],
+        *[ordered_concat(F.col(c), place, F.col(order)).alias(c) for c in ("src", "ref", "mt") if c in scored.columns],
         *[F.coalesce(F.avg(F.when(F.col(s) >= 0, F.col(s))), F.lit(0.0)).alias(s) for s in scores],
         F.count_if(F.col(lead) >= 0).alias("total_seg"), F.count_if(F.col(lead) == 0).alias("misaligned_seg"),
     )

@@ -136,7 +136,7 @@ def run(spark: SparkSession, config: Config) -> dict:
         status, error = "failed", repr(e)
         raise
     finally:
-        writers.write_run_metadata(config.path("run_meta.json"), writers.run_metadata(spark, asdict(config), started, status, error))
+        writers.write_run_metadata(spark, config.path("run_meta.json"), writers.run_metadata(spark, asdict(config), started, status, error))
 
 
 def main(argv: list[str] | None = None) -> None:

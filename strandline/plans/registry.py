@@ -495,11 +495,6 @@ def recombine(spark, d):
     return perturb.recombine(m, m)
 
 
-@query()
-def sample_segments(spark, d):
-    return perturb.sample(segments(spark, d), 0.1, seed=7).select("doc_id", "seg_id")
-
-
 @query()
 def sample_merges(spark, d):
     return perturb.sample_merges(segments(spark, d))
@@ -570,3 +565,6 @@ def resegment_docs(spark, d):
     inst = docs.select("doc_id", F.transform(words, lambda w, i: (i + 1) * F.lit(100.0)).alias("delays"), F.array().cast("array<double>").alias("elapsed"), words.alias("prediction_units"), F.transform(A.locate_units(F.col("text"), words), lambda s: F.array(s["char_start"], s["char_end"])).alias("spans"), (F.length("text") * 10.0).alias("source_length_ms"))
     out = resegment.resegment(segs, sents, inst)
     return out.select("doc_id", "seg_id", "_match_method", "_raw_u_start", "_raw_u_end", F.size("delays").alias("n"), F.round(A.yaal(F.col("delays"), F.col("source_length"), F.col("recording_end")), 3).alias("yaal"))
+
+
+from strandline.plans import storage  # noqa: E402, F401  it registers its queries here

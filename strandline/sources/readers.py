@@ -5,11 +5,13 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from strandline import schemas
+from strandline.operators.shared import materialised
 from strandline.operators.sweeps import MAX_JUMP, MIN_COST, OVERLAP, parse_alignment
 
 
@@ -44,15 +46,21 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that is one JSON array of records; anything else raises."""
     text = spark.read.text(path, wholetext=True)
     is_list = F.regexp_extract(F.col("value"), r"^\s*(.)", 1) == "["
-    rows = F.from_json(F.when(is_list, F.col("value")).otherwise(F.raise_error(F.lit("not a JSON array"))), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>", {"mode": "FAILFAST"})
+    kind = T.ArrayType(T.StructType.fromDDL(schema))
+    rows = F.from_json(F.when(is_list, F.col("value")).otherwise(F.raise_error(F.lit("not a JSON array"))), kind, {"mode": "FAILFAST"})
     return text.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_idx, line) of a text file, numbered from 0 in order of the file."""
-    text = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace("value", r"\n\z", "")
-    return text.where(F.length("value") > 0).select(F.posexplode(F.split(body, "\n", -1)).alias("row_idx", "line")).select(F.col("row_idx").cast("long").alias("row_idx"), "line")
+    """(row_idx, line) of a text file, numbered from 0 in order of the file. Splits of the file are read apart; a line's number is
+    its place in its split and the number of lines in all splits before it."""
+    split = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")]
+    x = spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"), *split)
+    x = materialised(x, "lines")
+    sizes = x.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("_first"))
+    # a row a split
+    before = sizes.select("_f", "_b", "_first", (F.sum("n").over(Window.orderBy("_f", "_b")) - F.col("n")).alias("_before"))
+    return x.join(F.broadcast(before), ["_f", "_b"]).select((F.col("_before") + F.col("_i") - F.col("_first")).alias("row_idx"), "line")
 
 
 def _yaml_rows(t: str) -> list[dict]:
@@ -95,28 +103,33 @@ def wav_durations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, text_path: str, vector_path: str) -> DataFrame:
-    """(text, vec): lines of a text file with the vectors of a flat float32 file. Lines must be there, and differ."""
+    """(text, vec): lines of a text file with the vectors of a flat float32 file. Lines must be there, and differ. The file is read
+    by records of one vector, in as many tasks as it has blocks."""
     import numpy as np
+    import pyarrow as pa
 
     text = lines(spark, text_path).withColumn("text", F.trim("line"))
-    checked = text.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("d")).select(F.when(F.col("n") == 0, F.raise_error(F.lit("no lines"))).when(F.col("n") != F.col("d"), F.raise_error(F.lit("lines repeat"))).otherwise(F.col("n")).cast("long").alias("n"))
-    raw = spark.read.format("binaryFile").load(vector_path).select("content").crossJoin(checked)  # one file, one row
+    n, distinct = text.agg(F.count(F.lit(1)), F.count_distinct("text")).first()
+    size = spark.read.format("binaryFile").load(vector_path).agg(F.sum("length")).first()[0] or 0  # the bytes aren't read
+    if not n or n != distinct:
+        raise ValueError("no lines" if not n else "lines repeat")
+    if not size or size % (4 * n):
+        raise ValueError("the vectors don't divide by the lines")
+    # fixed-size records have no DataFrame source; they come in order, so each has its number
+    records = spark.sparkContext.binaryRecords(vector_path, size // n).zipWithIndex().map(lambda r: (bytearray(r[0]), r[1]))
 
     def rows(batches):
-        for pdf in batches:
-            for data, n in zip(pdf["content"], pdf["n"]):
-                flat = np.frombuffer(data, np.float32)
-                if len(flat) % n:
-                    raise ValueError("the vectors don't divide by the lines")
-                yield pd.DataFrame({"row_idx": range(n), "vec": list(flat.reshape(n, -1))})
-
-    vec = raw.mapInPandas(rows, "row_idx long, vec array<float>")
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column("content").to_pylist()), "<f4")
+            yield pa.RecordBatch.from_arrays([b.column("row_idx"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (size // n // 4), pa.int32()), pa.array(flat))], names=["row_idx", "vec"])
+
+    vec = spark.createDataFrame(records, "content binary, row_idx long").mapInArrow(rows, "row_idx long, vec array<float>")
     return text.join(vec, "row_idx").select("text", "vec")
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
     """(file, src_idx, tgt_idx, cost) of text alignments; blank lines are passed over, others that can't be read raise."""
-    x = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_name").alias("file"), parse_alignment(F.trim("value")).alias("a"))
+    x = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").rlike("^(SRC|TGT):")).select(F.col("_metadata.file_name").alias("file"), parse_alignment(F.trim("value")).alias("a"))
     good = F.col("a.src_idx").isNotNull() & F.col("a.tgt_idx").isNotNull()
     return x.where(F.when(good, True).otherwise(F.raise_error(F.lit("not an alignment")).cast("boolean"))).select("file", "a.*")
 

@@ -1,15 +1,16 @@
 """Sinks: JSON lines and arrays, tab-separated scores, CSV, an HTML report, alignments as text, and a run's metadata.
 
-Tables of any size are written by Spark; files that are one object by nature (a report, a summary) are small and written by the driver.
+Tables of any size are written by Spark. Files that are one object by nature (a report, a summary, a chart) go through the driver, a row at a
+time where they have many, into whatever file system their path names.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import platform
 import subprocess
 import sys
+from collections.abc import Iterable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,25 +26,59 @@ def jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None) -> No
     (w.partitionBy(*partition_by) if partition_by else w).json(path)
 
 
-def _write(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(f"{path}.tmp", path)
+def write_file(spark: SparkSession, path: str, chunks: Iterable[str | bytes]) -> None:
+    """One file in the file system of its path, put in place as a whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    there, begun = hadoop.Path(path), hadoop.Path(f"{path}.tmp")
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(begun, True)
+    held, size = [], 0
+    for c in chunks:
+        held.append(c.encode() if isinstance(c, str) else bytes(c))
+        size += len(held[-1])
+        if size > 1 << 20:
+            out.write(bytearray(b"".join(held)))
+            held, size = [], 0
+    out.write(bytearray(b"".join(held)))
+    out.close()
+    fs.delete(there, False)
+    fs.rename(begun, there)
 
 
-def json_pretty(df: DataFrame, path: str, most: int = 100_000) -> None:
-    """An indented array in one file, for people to read. Larger tables raise: write JSON lines."""
-    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError("too many rows for one file; write JSON lines")
-    _write(path, json.dumps(rows, ensure_ascii=False, indent=2))
+def json_pretty(df: DataFrame, path: str) -> None:
+    """An indented array in one file, for people to read; rows are streamed."""
+
+    def text():
+        before = "["
+        for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
+            yield before + "\n" + "\n".join("  " + x for x in json.dumps(json.loads(r[0]), ensure_ascii=False, indent=2).split("\n"))
+            before = ","
+        yield "[]" if before == "[" else "\n]"
+
+    write_file(df.sparkSession, path, text())
+
+
+def vectors(df: DataFrame, text_path: str, vector_path: str, order: str = "text") -> None:
+    """(text, vec) as a file of lines and a flat file of 32-bit floats, in one order."""
+    import numpy as np
+
+    rows = df.orderBy(order)
+    write_file(df.sparkSession, text_path, (r["text"] + "\n" for r in rows.select("text").toLocalIterator()))
+    write_file(df.sparkSession, vector_path, (np.asarray(r["vec"], "<f4").tobytes() for r in rows.select("vec").toLocalIterator()))
+
+
+def wav(spark: SparkSession, path: str, samples: bytes, rate: int = 8000) -> None:
+    """16-bit samples of one channel as a RIFF file."""
+    import struct
+
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(samples))
+    write_file(spark, path, [head, samples])
 
 
 def scores_tsv(row: DataFrame, path: str) -> None:
     """A head and one line, tab-separated, every value with 4 places."""
     values = row.first()
-    _write(path, "\t".join(row.columns) + "\n" + "\t".join(f"{float('nan') if v is None else v:.4f}" for v in values) + "\n")
+    write_file(row.sparkSession, path, ["\t".join(row.columns) + "\n" + "\t".join(f"{float('nan') if v is None else v:.4f}" for v in values) + "\n"])
 
 
 def offsets_csv(rows: DataFrame, path: str) -> None:
@@ -66,20 +101,46 @@ def html_report(cards: DataFrame, path: str) -> None:
     """Cards in order under tabs that filter by kind, with counts. Cards are streamed to the file, a partition at a time."""
     counts = {r["kind"]: r["count"] for r in cards.groupBy("kind").count().collect()}  # kinds are three
     tabs = [("all", sum(counts.values())), *((k, counts.get(k, 0)) for k in ("normal", "under_translation", "over_translation"))]
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write("<!doctype html><meta charset='utf-8'><title>Segments</title><nav>")
-        f.write("".join(f"<button data-filter='{k}'>{k} ({n})</button>" for k, n in tabs))
-        f.write("</nav><main>")
-        for r in cards.orderBy("index").toLocalIterator():
-            f.write(r["html"])
-        f.write("</main><script>document.querySelectorAll('[data-filter]').forEach(b=>b.onclick=()=>document.querySelectorAll('.card').forEach(c=>c.hidden=b.dataset.filter!='all'&&c.dataset.kind!=b.dataset.filter))</script>")
-    os.replace(f"{path}.tmp", path)
-
-
-def alignments_text(alignments: DataFrame, path: str, with_cost: bool = True) -> None:
+    script = "document.querySelectorAll('[data-filter]').forEach(b=>b.onclick=()=>document.querySelectorAll('.card').forEach(c=>c.hidden=b.dataset.filter!='all'&&c.dataset.kind!=b.dataset.filter))"
+
+    def page():
+        yield "<!doctype html><meta charset='utf-8'><title>Segments</title><nav>"
+        yield "".join(f"<button data-filter='{k}'>{k} ({n})</button>" for k, n in tabs)
+        yield "</nav><main>"
+        yield from (r["html"] for r in cards.orderBy("index").toLocalIterator())
+        yield f"</main><script>{script}</script>"
+
+    write_file(cards.sparkSession, path, page())
+
+
+def histogram_svg(bins: DataFrame, path: str, width: int = 720, height: int = 240) -> None:
+    """Bars of (bin, low, n) as an SVG picture. Bins are few."""
+    rows = bins.orderBy("bin").collect()
+    most, each = max([r["n"] for r in rows] or [1]) or 1, width / max(1, len(rows))
+    bars = (f"<rect x='{i * each:.1f}' y='{height - r['n'] / most * height:.1f}' width='{each - 1:.1f}' height='{r['n'] / most * height:.1f}'><title>{r['low']:g}: {r['n']}</title></rect>" for i, r in enumerate(rows))
+    write_file(bins.sparkSession, path, [f"<svg xmlns='http://www.w3.org/2000/svg' viewBox='0 0 {width} {height}'>", *bars, "</svg>"])
+
+
+def gap_svg(offsets: DataFrame, path: str, width: int = 720, height: int = 240) -> None:
+    """A line a document of the gaps (scores.offset_rows) over its segments, in order. The points are drawn as columns; lines are streamed."""
+    from strandline.functions.text import segment_order
+
+    span = offsets.agg(F.min("gap").alias("a"), F.max("gap").alias("b")).first()
+    low, high = span["a"] or 0.0, (span["b"] or 0.0) if span["b"] != span["a"] else (span["b"] or 0.0) + 1
+    y = F.format_string("%.1f", (F.lit(float(high)) - F.col("gap")) / F.lit(float(high - low)) * height)
+    listed = F.array_sort(F.collect_list(F.struct(segment_order(F.col("seg_id").cast("string")).alias("o"), y.alias("y"))))
+    x = lambda i, n: F.format_string("%.1f", i * F.lit(float(width)) / F.greatest(n - 1, F.lit(1)))
+    lines = offsets.where("gap IS NOT NULL").groupBy("doc_id").agg(listed.alias("p")).select("doc_id", F.array_join(F.transform("p", lambda r, i: F.concat(x(i, F.size("p")), F.lit(","), r["y"])), " ").alias("points"))
+    drawn = (f"<polyline fill='none' stroke='black' points='{r['points']}'><title>{r['doc_id']}</title></polyline>" for r in lines.orderBy("doc_id").toLocalIterator())
+    write_file(offsets.sparkSession, path, (c for part in ([f"<svg xmlns='http://www.w3.org/2000/svg' viewBox='0 0 {width} {height}'>"], drawn, ["</svg>"]) for c in part))
+
+
+def alignments_text(alignments: DataFrame, path: str, with_cost: bool = True, texts: bool = False) -> None:
+    """A folder of text a document. With ``texts`` each alignment has its source's and target's text (columns src, tgt) on lines of their own."""
     line = format_alignment(F.col("src_idx"), F.col("tgt_idx"), F.col("cost") if with_cost else None)
-    alignments.repartition("doc_id").sortWithinPartitions("doc_id", "aln_idx").select(line.alias("value"), "doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\n", " "))
+    more = [F.concat(F.lit(" " * 41 + f"{name}:  "), clean(F.col(c))) for name, c in (("SRC", "src"), ("TGT", "tgt"))] if texts else []
+    alignments.repartition("doc_id").sortWithinPartitions("doc_id", "aln_idx").select(F.concat_ws("\n", line, *more).alias("value"), "doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
 def drop_log(dropped: DataFrame, path: str) -> None:
@@ -87,6 +148,10 @@ def drop_log(dropped: DataFrame, path: str) -> None:
     dropped.select(F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.array_join(F.col("dropped").cast("array<string>"), ", ")).alias("value")).write.mode("overwrite").text(path)
 
 
+#: Settings that a run's metadata tells; others may hold credentials.
+SHOWN = ("spark.app.id", "spark.app.name", "spark.master", "spark.submit.deployMode", "spark.executor.memory", "spark.executor.cores", "spark.driver.memory", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")
+
+
 def _run(*command: str) -> str | None:
     try:
         return subprocess.run(command, capture_output=True, text=True, timeout=10, check=True).stdout.strip()
@@ -102,7 +167,7 @@ def run_metadata(spark: SparkSession, config: dict, started: datetime, status: s
     return {
         "status": status, "started": started.isoformat(), "ended": now.isoformat(), "elapsed_sec": round((now - started).total_seconds(), 3), "host": platform.node(), "python": sys.version.split()[0],
         "spark": spark.version, "packages": {p: version(p) for p in ("pyspark", "pyarrow", "pandas", "numpy")}, "git": {"commit": _run("git", "rev-parse", "HEAD"), "dirty": bool(_run("git", "status", "--porcelain"))},
-        "gpu": _run("nvidia-smi", "-L"), "config": config, "argv": sys.argv, "error": error, "spark_conf": dict(spark.sparkContext.getConf().getAll()),
+        "gpu": _run("nvidia-smi", "-L"), "config": config, "argv": sys.argv, "error": error, "spark_conf": {k: v for k, v in spark.sparkContext.getConf().getAll() if k in SHOWN},
     }
 
 
@@ -114,5 +179,5 @@ def _known(metadata, name: str) -> bool:
         return False
 
 
-def write_run_metadata(path: str, meta: dict) -> None:
-    _write(path, json.dumps(meta, ensure_ascii=False, indent=2, default=str))
+def write_run_metadata(spark: SparkSession, path: str, meta: dict) -> None:
+    write_file(spark, path, [json.dumps(meta, ensure_ascii=False, indent=2, default=str)])
