@@ -2,17 +2,21 @@
 
 Anchors are winnowed from the hashes of SEED consecutive words: of every window of ``length`` words the rightmost
 smallest hash is kept, so two equal windows always keep the same anchor at the same place. Documents are joined on
-their anchors; from an anchor that two documents share, matches are extended both ways over the windows around it,
-and what stays of a match is the maximal run of words of which every ``length`` in a row repeat. A word goes if it
-lies in a run that repeats one of a document with a smaller id.
+their anchors, each with the first document that has one. From a shared anchor the match is extended both ways, as far as a window
+around it may reach: where all places of an anchor go on alike to both sides, the match with the first document is told
+from two hashes of what stands around it. Where they don't (at the ends of passages, and around edits), the windows at
+this anchor are compared one by one among all documents that have it. Overlapping matches make the maximal repeats, each of
+``length`` words or more; a word goes if it lies in one that repeats an earlier document.
 
-Nothing is paired: an anchor or window travels once for each block of documents, not once for each document or pair,
-so a passage that a third of all documents hold costs as much as one that few hold. Rows between the steps are packed
-arrays, one for each pair of a block of documents and a range of hashes.
+Only anchors are joined, and only windows at anchors that go on differently travel. Nothing is paired: an anchor or window
+travels once for each block of documents, not once for each document or pair, so a passage that a third of all documents
+hold costs as much as one that few hold. Rows between the steps are packed arrays, one for each pair of a block of
+documents and a range of hashes that it has any of.
 
 Defined results: a null text has no words; texts under ``length`` words lose nothing; of equal texts the smallest id
 keeps its words; rows that repeat a doc_id are one document for the comparison of ids, each row with its own words; a
-null doc_id counts as larger than all others. Windows are compared by 64-bit hashes.
+null doc_id counts as larger than all others; other columns, whatever their names, aren't looked at; a text of any length is taken
+whole. Windows are the same if their 64-bit hashes and those of their anchors are.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import wordscan as ws
-from strandline.llm.common import block_count, block_of, docs_of
+from strandline.llm.common import block_count, block_of, docs_of, written
 
 LENGTH, SEED = 13, 7
 _LAST = np.iinfo(np.int64).max
@@ -36,85 +40,132 @@ def _ids(table: pa.Table) -> np.ndarray:
     return column.fill_null(_LAST).to_numpy()
 
 
-def anchors(words: ws.Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of ``length`` words: its first word, its hash and its anchor's hash."""
-    at, window = words.windows(length)
-    if not len(at):
-        return at, window, window
-    _, grams = ws.windows(words.hash, np.array([0, len(words.hash)]), seed)  # also across texts: those aren't looked up
-    best = grams[at].copy()
-    for i in range(1, length - seed + 1):
-        np.minimum(best, grams[at + i], out=best)
-    return at, window, ws.mix(best + np.uint64(1))  # smallest hashes are small: spread them, as ranges of hashes are dealt out
+class Anchors:
+    """The windows of ``length`` words of a column of texts (first word, hash, number of their anchor), and their anchors: the gram's
+    hash, the text, the first and last window that hold the gram, and a hash of all that stands in these."""
+
+    def __init__(self, words: ws.Words, length: int, seed: int):
+        self.words, self.length = words, length
+        self.at, self.window = words.windows(length)
+        if not len(self.at):
+            self.of, self.hash, self.doc, self.low, self.high, self.wide = (np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64, np.uint64))
+            return
+        _, grams = ws.windows(words.hash, np.array([0, len(words.hash)]), seed)  # also across texts: those aren't looked up
+        best, place = grams[self.at], self.at.copy()
+        for i in range(1, length - seed + 1):
+            gram = grams[self.at + i]
+            less = gram <= best
+            best[less], place[less] = gram[less], self.at[less] + i
+        # the rightmost smallest never goes back, so windows of one anchor stand together
+        new = np.append(True, place[1:] != place[:-1])
+        self.of, place = np.cumsum(new) - 1, place[new]
+        self.hash = ws.mix(best[new] + np.uint64(1))  # smallest hashes are small: spread them, as ranges of hashes are dealt out
+        self.doc = words.doc()[place]
+        self.low = np.maximum(place - (length - seed), words.range[self.doc])
+        self.high = np.minimum(place, words.range[self.doc + 1] - length)
+        # the outermost windows cover all words that any window with this gram has
+        ends = [self.window[np.searchsorted(self.at, x)] for x in (self.low, self.high)]
+        shape = (place - self.low).astype(np.uint64) * np.uint64(64) + (self.high - self.low).astype(np.uint64)
+        self.wide = ws.mix(ws.mix(ends[0] + shape) + ends[1] * np.uint64(0x9E3779B97F4A7C15))
+
+    def covered(self, windows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The words in the given windows, and in all windows with the given anchors: maximal repeats are the runs of these."""
+        begin = np.concatenate([self.at[windows], self.low[places]])
+        end = np.concatenate([self.at[windows], self.high[places]]) + self.length
+        n = len(self.words.start) + 1
+        return np.cumsum(np.bincount(begin, minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
 
 
 def _by_bucket(bucket_count: int, key: np.ndarray, *columns: np.ndarray):
     """Cut sorted keys into ranges of hashes, one for each bucket."""
-    cut = np.searchsorted(key, (np.arange(bucket_count, dtype=object) * (2**64 // bucket_count)).astype(np.uint64))
+    cut = np.searchsorted(key, np.arange(bucket_count, dtype=np.uint64) * np.uint64((2**64 - 1) // bucket_count))
     at = np.append(cut, len(key))
     full = np.flatnonzero(np.diff(at))
     offsets = np.append(at[full], len(key))
     return full, [ws.pack(c, offsets) for c in (key, *columns)]
 
 
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys in sorted arrays."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+_MANY, _MIXED = 1, 2
+
+
 def _seeds(length: int, seed: int, buckets: int):
+    """Of a block's documents each distinct anchor, with the first document that has it, what stands around it there, and whether
+    several documents have it and whether it goes on differently."""
+
     def one(table: pa.Table) -> pa.Table:
-        words = ws.Words(table.column("text"))
-        at, _, anchor = anchors(words, length, seed)
-        doc = _ids(table)[words.doc()[at]] if len(at) else np.zeros(0, np.int64)
-        order = np.lexsort((doc, anchor))
-        anchor, doc = anchor[order], doc[order]
-        first = np.ones(len(anchor), bool)
-        first[1:] = anchor[1:] != anchor[:-1]
-        begin = np.flatnonzero(first)
-        many = doc[begin] != doc[np.append(begin[1:], len(doc)) - 1] if len(begin) else np.zeros(0, bool)
-        full, (keys, flags) = _by_bucket(buckets, anchor[begin], many.astype(np.uint8))
+        a = Anchors(ws.Words(table.column("text")), length, seed)
+        doc = _ids(table)[a.doc]
+        order = np.lexsort((doc, a.hash))
+        key, doc, wide = a.hash[order], doc[order], a.wide[order]
+        begin = _groups(key)
+        size = np.diff(np.append(begin, len(key)))
+        many = doc[begin] != doc[begin + size - 1]
+        mixed = np.bitwise_or.reduceat(wide != np.repeat(wide[begin], size), begin) if len(begin) else many
+        full, (keys, docs, wides, flags) = _by_bucket(buckets, key[begin], doc[begin], wide[begin], (many * _MANY + mixed * _MIXED).astype(np.uint8))
         block = table.column("block")[0].as_py() if len(table) else 0
-        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "keys": keys, "flags": flags})
+        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "keys": keys, "docs": docs, "wides": wides, "flags": flags})
 
     return one
 
 
 def _join_seeds(table: pa.Table) -> pa.Table:
-    """Of each block's anchors, those that another document has too."""
+    """Of each block's anchors those that another document has too: ``keys`` and ``firsts`` (the first document) of those that go on alike
+    everywhere, and ``rest``."""
     key, at = ws.unpack(table.column("keys"), np.uint64)
-    many, _ = ws.unpack(table.column("flags"), np.uint8)
+    doc, wide, flags = (ws.unpack(table.column(c), t)[0] for c, t in (("docs", np.int64), ("wides", np.uint64), ("flags", np.uint8)))
     block = table.column("block").to_numpy()
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    same = np.zeros(len(key), bool)
-    if len(key) > 1:
-        twin = ranked[1:] == ranked[:-1]
-        same[order[1:][twin]] = True
-        same[order[:-1][twin]] = True
-    keep = same | (many > 0)
-    counts = np.add.reduceat(keep, at[:-1]) if len(key) else np.zeros(0, int)
-    rows = np.flatnonzero(counts)
-    return pa.table({"block": pa.array(block[rows], pa.int32()), "keys": ws.pack(key[keep], np.append(0, np.cumsum(counts[rows])))})
-
-
-def _in(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    order = np.lexsort((doc, key))
+    begin = _groups(key[order])
+    size = np.diff(np.append(begin, len(key)))
+    whole = lambda x: np.repeat(np.bitwise_or.reduceat(x, begin), size) if len(begin) else x
+    first, its = np.repeat(doc[order][begin], size), np.repeat(wide[order][begin], size)
+    shared = np.repeat(size > 1, size) | whole((flags[order] & _MANY) > 0)
+    differs = whole(((flags[order] & _MIXED) > 0) | (wide[order] != its))
+    back = np.empty(len(key), np.int64)
+    back[order] = np.arange(len(key))
+    first, shared, differs = first[back], shared[back], differs[back]
+    alike = shared & ~differs & ((doc > first) | ((flags & _MANY) > 0))
+    rest = shared & differs
+    cuts = lambda keep: np.append(0, np.cumsum(keep))[at]
+    out = pa.table({"block": pa.array(block, pa.int32()), "keys": ws.pack(key[alike], cuts(alike)), "firsts": ws.pack(first[alike], cuts(alike)), "rest": ws.pack(key[rest], cuts(rest))})
+    return out.filter(pa.array((np.diff(cuts(alike)) + np.diff(cuts(rest))) > 0))
+
+
+def _find(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x is among sorted keys, and whether it is."""
     if not len(sorted_keys):
-        return np.zeros(len(x), bool)
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
     at = np.searchsorted(sorted_keys, x)
     at[at == len(sorted_keys)] = 0
-    return sorted_keys[at] == x
+    return at, sorted_keys[at] == x
+
+
+def _open(a: Anchors, seeds: pa.Table) -> np.ndarray:
+    """The windows at anchors that go on differently."""
+    rest = np.sort(ws.unpack(seeds.column("rest"), np.uint64)[0])
+    return np.flatnonzero(_find(rest, a.hash)[1][a.of]) if len(a.at) else a.at
 
 
 def _extend(length: int, seed: int, buckets: int):
+    """Those windows, each with the first of the block's documents that has it."""
+
     def one(key, texts: pa.Table, seeds: pa.Table) -> pa.Table:
-        words = ws.Words(texts.column("text"))
-        at, window, anchor = anchors(words, length, seed)
-        shared = np.sort(ws.unpack(seeds.column("keys"), np.uint64)[0])
-        keep = _in(shared, anchor)
-        at, window = at[keep], window[keep]
-        doc = _ids(texts)[words.doc()[at]] if len(at) else np.zeros(0, np.int64)
-        order = np.lexsort((doc, window))
-        window, doc = window[order], doc[order]
-        first = np.ones(len(window), bool)
-        first[1:] = window[1:] != window[:-1]
-        full, (keys, docs) = _by_bucket(buckets, window[first], doc[first])
-        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "keys": keys, "docs": docs})
+        a = Anchors(ws.Words(texts.column("text")), length, seed)
+        some = _open(a, seeds)
+        window, anchor, doc = a.window[some], a.hash[a.of[some]], _ids(texts)[a.doc[a.of[some]]]
+        order = np.lexsort((doc, anchor, window))
+        first = order[_groups(window[order], anchor[order])]
+        full, (keys, anchors, docs) = _by_bucket(buckets, window[first], anchor[first], doc[first])
+        return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "keys": keys, "anchors": anchors, "docs": docs})
 
     return one
 
@@ -122,35 +173,35 @@ def _extend(length: int, seed: int, buckets: int):
 def _first_of(table: pa.Table) -> pa.Table:
     """Of each block's windows, those that start in a document with a smaller id than all of the block's that have it."""
     key, at = ws.unpack(table.column("keys"), np.uint64)
-    doc, _ = ws.unpack(table.column("docs"), np.int64)
-    block = table.column("block").to_numpy()
-    order = np.lexsort((doc, key))
-    ranked = key[order]
-    first = np.ones(len(key), bool)
-    first[1:] = ranked[1:] != ranked[:-1]
+    anchor, doc = ws.unpack(table.column("anchors"), np.uint64)[0], ws.unpack(table.column("docs"), np.int64)[0]
+    order = np.lexsort((doc, anchor, key))
+    begin = _groups(key[order], anchor[order])
     least = np.empty(len(key), np.int64)
-    least[order] = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else 0
-    keep = least < doc
-    counts = np.add.reduceat(keep, at[:-1]) if len(key) else np.zeros(0, int)
-    rows = np.flatnonzero(counts)
-    return pa.table({"block": pa.array(block[rows], pa.int32()), "keys": ws.pack(key[keep], np.append(0, np.cumsum(counts[rows])))})
+    least[order] = np.repeat(doc[order][begin], np.diff(np.append(begin, len(key))))
+    gone = least < doc
+    cuts = np.append(0, np.cumsum(gone))[at]
+    return pa.table({"block": table.column("block"), "gone": ws.pack(key[gone], cuts)}).filter(pa.array(np.diff(cuts) > 0))
 
 
-def _cut(length: int, texts_out: bool):
-    def one(key, texts: pa.Table, gone: pa.Table) -> pa.Table:
+def _cut(length: int, seed: int, texts_out: bool):
+    def one(key, texts: pa.Table, known: pa.Table) -> pa.Table:
         words = ws.Words(texts.column("text"))
-        at, window = words.windows(length)
-        earlier = np.sort(ws.unpack(gone.column("keys"), np.uint64)[0])
-        doc = _ids(texts)[words.doc()[at]] if len(at) else np.zeros(0, np.int64)
-        hit = _in(earlier, window)
-        # windows that repeat within the block go from all its documents but the first
-        order = np.lexsort((doc, window))
-        ranked = window[order]
-        first = np.ones(len(ranked), bool)
-        first[1:] = ranked[1:] != ranked[:-1]
-        if len(order):
-            hit[order] |= doc[order] > doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-        gone_words = ws.covered(len(words.start), at[hit], length)
+        a = Anchors(words, length, seed)
+        ids = _ids(texts)
+        # anchors that go on alike in the first document and here
+        keys, firsts = ws.unpack(known.column("keys"), np.uint64)[0], ws.unpack(known.column("firsts"), np.int64)[0]
+        order = np.argsort(keys)
+        at, found = _find(keys[order], a.hash)
+        places = np.flatnonzero(found & (ids[a.doc] > firsts[order][at] if len(keys) else found))
+        # windows at the other ones, that an earlier document of another block has, or of this one
+        some = _open(a, known)
+        window, anchor, doc = a.window[some], a.hash[a.of[some]], ids[a.doc[a.of[some]]]
+        gone = np.sort(ws.unpack(known.column("gone"), np.uint64)[0])
+        hit = _find(gone, window)[1]
+        order = np.lexsort((doc, anchor, window))
+        begin = _groups(window[order], anchor[order])
+        hit[order] |= doc[order] > np.repeat(doc[order][begin], np.diff(np.append(begin, len(order))))
+        gone_words = a.covered(some[hit], places)
         out = {"doc_id": texts.column("doc_id"), "n_words": pa.array(words.counts, pa.int64())}
         total = np.append(0, np.cumsum(gone_words))
         out["n_removed"] = pa.array(total[words.range[1:]] - total[words.range[:-1]], pa.int64())
@@ -188,18 +239,15 @@ def _joined(words: ws.Words, keep: np.ndarray) -> list[bytes]:
 def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and the text of the kept words, or with texts=False its sha256 (``kept_sha256``)."""
     n = block_count(docs)
-    blocks = docs_of(docs).withColumn("block", block_of(F.coalesce("doc_id", F.lit(-1)), n))
-    packed = "bucket int, block int, keys binary"
-    seeds = (
-        blocks.groupBy("block").applyInArrow(_seeds(length, seed, n), f"{packed}, flags binary")
-        .groupBy("bucket").applyInArrow(_join_seeds, "block int, keys binary")
-    )
-    firsts = (
-        blocks.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_extend(length, seed, n), f"{packed}, docs binary")
-        .groupBy("bucket").applyInArrow(_first_of, "block int, keys binary")
-    )
+    blocks = docs_of(docs).withColumn("block", block_of(F.coalesce("doc_id", F.xxhash64("text")), n))  # rows without an id are dealt out by their texts
+    found = blocks.groupBy("block").applyInArrow(_seeds(length, seed, n), "bucket int, block int, keys binary, docs binary, wides binary, flags binary")
+    seeds = written(found.groupBy("bucket").applyInArrow(_join_seeds, "block int, keys binary, firsts binary, rest binary"), "substring-seeds")
+    windows = blocks.groupBy("block").cogroup(seeds.select("block", "rest").groupBy("block")).applyInArrow(_extend(length, seed, n), "bucket int, block int, keys binary, anchors binary, docs binary")
+    firsts = windows.groupBy("bucket").applyInArrow(_first_of, "block int, gone binary")
+    none = F.lit(None).cast("binary")
+    known = seeds.withColumn("gone", none).unionByName(firsts.select("block", none.alias("keys"), none.alias("firsts"), none.alias("rest"), "gone"))
     out = "doc_id long, n_words long, n_removed long, " + ("text string" if texts else "kept_sha256 string")
-    return blocks.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(_cut(length, texts), out)
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_cut(length, seed, texts), out)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -467,6 +467,24 @@ def test_substring_brute(spark, odd, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_anchors_carry_the_result(spark, monkeypatch):
+    """Anchors are few; most of a long repeat is matched from them alone, and windows travel only where places go on differently."""
+    from strandline.llm import substring_dedup as S
+
+    long = " ".join(f"w{i * 7919 % 10007}" for i in range(2000))
+    texts = [long, "one two " + long + " three", long.replace("w7919 ", "")]
+    a = S.Anchors(ws.Words(pa.array(texts)), 13, 7)
+    assert len(a.hash) < 0.4 * len(a.at)
+    docs = pa.table({"doc_id": pa.array([1, 2, 3]), "text": texts, "block": pa.array([0, 0, 0], pa.int32())})
+    seeds = S._join_seeds(S._seeds(13, 7, 1)(docs))
+    keys, rest = (len(ws.unpack(seeds.column(c), np.uint64)[0]) for c in ("keys", "rest"))
+    assert keys > 0.9 * len(set(a.hash.tolist())) and 0 < rest < 20
+    rows = list(zip([1, 2, 3], texts))
+    df = written(spark.createDataFrame(rows, "doc_id long, text string"), "anchors")
+    got = lambda: sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in S.substring_dedup(df).collect())
+    assert got() == brute_substrings(rows)
+
+
 # -- 7 mixing ----------------------------------------------------------------------------------------------------
 
 
