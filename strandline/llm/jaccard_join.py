@@ -35,6 +35,8 @@ WORDS, SIMILARITY, TARGET = 5, 0.8, 0.9999
 TOKENS = 64
 #: Buckets of more sets than this are split again, LEVELS times in all; comparisons are in blocks of so many sets.
 SMALL, LEVELS, BLOCK, EXACT_BLOCK = 64, 3, 1024, 256
+#: Each bucket's sets are counted and joined in up to so many shares.
+SHARES = 256
 _NULL = 2**63 - 1
 
 
@@ -149,6 +151,16 @@ def runs_for(target: float, similarity: float, levels: int) -> int:
     return next((r for r in range(1, TOKENS) if missed(r, similarity, levels) <= 1 - target), TOKENS)
 
 
+def with_sizes(level: DataFrame, shares: int = SHARES) -> DataFrame:
+    """The rows (bucket, node) of buckets of two sets or more, with their bucket's size. Rows are dealt by bucket and a share of
+    the nodes, for the count as for the join, so a bucket that very many sets fall into is many tasks' work; only its counts,
+    one a share, ever meet."""
+    dealt = level.withColumn("share", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(shares)))
+    counts = dealt.groupBy("bucket", "share").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("bucket").agg(F.sum("n").alias("size"), F.collect_list("share").alias("of")).where("size > 1")
+    return dealt.join(sizes.select("bucket", "size", F.explode("of").alias("share")), ["bucket", "share"]).select("bucket", "node", "size")
+
+
 def in_blocks(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
     """Deal each group's rows into blocks and each pair of blocks to a cell: (cell, side). In a cell of one block side is 0."""
     blocks = F.ceil(F.col(size) / most)
@@ -326,8 +338,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int
     # split by chosen paths
     level, leaves = sigs.mapInArrow(_roots(runs), "bucket long, node long"), []
     for depth in range(LEVELS):
-        level = level.join(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket")
-        level = written(level, "buckets")
+        level = written(with_sizes(level), "buckets")
         last = depth == LEVELS - 1
         leaves.append(level if last else level.where(F.col("size") <= SMALL))
         if not last:

@@ -216,6 +216,25 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
+def test_a_hot_bucket_is_many_tasks(spark):
+    from strandline.llm.jaccard_join import with_sizes
+
+    rows = [(1, i) for i in range(3000)] + [(2, 5), (3, 1), (3, 2)]
+    level = written(spark.createDataFrame(rows, "bucket long, node long"), "level")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false"), spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = with_sizes(level).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    size = Counter(b for b, _ in rows)
+    assert sorted((r.bucket, r.node, r.size) for r in got) == sorted((b, n, size[b]) for b, n in rows if size[b] > 1)
+    tasks = Counter(r.task for r in got if r.bucket == 1)
+    assert len(tasks) == 4 and max(tasks.values()) < 1500
+    assert with_sizes(level.where("false")).count() == 0
+
+
 def test_components(spark):
     from strandline.llm.components import components
 
