@@ -28,7 +28,7 @@ from strandline.llm.pieces import Dictionary, gather
 
 LONG = 64
 #: Bytes of text that are cut, encoded and decoded at once.
-PART = 2 << 20
+PART = 3 << 19
 #: Words of one recursive query: its rows stay within the memory limit.
 WORDS_AT_ONCE = 20_000
 
@@ -96,7 +96,7 @@ class Bpe:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {b: a for a, b in self.rank.items()}
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", **{f"allocator_{x}flush_threshold": "8MB" for x in ("", "bulk_deallocation_")}})
         self.db.register("v", pa.table({"rank": pa.array(list(self.rank.values()), pa.int32()), "hex": [k.hex() for k in self.rank]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v ORDER BY rank")
         # every way to make a token of two others: all pairs that may be contracted, with the rank of what they make

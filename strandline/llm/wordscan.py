@@ -5,6 +5,8 @@ Words are ``[^\\x20\\x09-\\x0D]+``. All separators are ASCII, so the bytes of th
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
+#: The C library's own, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -166,7 +170,8 @@ def unpack(column, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
-    """Cut a batch so that the texts (or binary values) of each piece have about so many bytes at most; one longer text is a piece."""
+    """Cut a batch so that the texts (or binary values) of each piece have about so many bytes at most; one longer text is a piece.
+    After the last piece the process's free memory goes back to the system."""
     texts = batch.column(column)
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"") if pa.types.is_binary(texts.type) else pc.fill_null(texts.cast(pa.large_string()), "")
     size = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
@@ -175,6 +180,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(size, size[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: Spark keeps a Python process for the stages to come, which would hold it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def per_text(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
