@@ -318,7 +318,7 @@ nodes(lang, level, place, d) AS (
     UNION ALL
     SELECT lang, level + 1, place // 8, sha256(string_agg(d, '' ORDER BY place)) FROM (SELECT *, max(place) OVER (PARTITION BY lang) AS last FROM nodes) WHERE last > 0 GROUP BY lang, level, place // 8),
 sizes AS (SELECT lang, level, count(*) AS wide FROM nodes GROUP BY lang, level),
-trees AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM nodes JOIN sizes USING (level) WHERE wide = 1 AND nodes.lang IS NOT DISTINCT FROM sizes.lang),
+trees AS (SELECT n.lang, n.d AS subroot, row_number() OVER (ORDER BY n.lang NULLS FIRST) - 1 AS place FROM nodes n JOIN sizes s ON n.lang IS NOT DISTINCT FROM s.lang AND n.level = s.level WHERE s.wide = 1),
 upper_nodes(level, place, d) AS (
     SELECT 0, place, subroot FROM trees
     UNION ALL

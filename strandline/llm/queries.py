@@ -9,6 +9,7 @@ from strandline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from strandline.llm.matroska import OP9_PAYLOAD_SQL, op9_matroska, op9_matroska_payload
 from strandline.llm.merkle import OP11_SQL, op11_merkle
 from strandline.llm.mixing import OP7_TARGETS_SQL, op7_mixing, op7_mixing_targets
+from strandline.llm.piecewise import op13_piecewise
 from strandline.llm.pii import OP10_SQL, op10_pii
 from strandline.llm.quality_classifier import op8_quality_classifier
 from strandline.llm.quality_rules import op4_quality_rules
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_merkle": op11_merkle,
     "op12_whitening": op12_whitening,
+    "op13_piecewise": op13_piecewise,
 }
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
