@@ -155,6 +155,11 @@ def _combined(links: bool):
     return run
 
 
+def _parts(spans: DataFrame) -> int:
+    """The partitions that rows were in fact dealt to, which need not be as many as asked for."""
+    return (spans.agg(F.max("part")).first()[0] or 0) + 1
+
+
 def resolve(nodes: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """From leaf nodes (part, tree, n, level 0, at, digest): the trees' roots (tree, n, level, digest), and the links above partitions (tree, level, at,
     children). Each round FAN times fewer, larger ranges of partitions combine what the last one left open."""
@@ -278,9 +283,9 @@ def manifest(docs: DataFrame, tampers: Column | None = None) -> tuple[DataFrame,
     spans = written(_by_lang(spans, ranked.select("lang", F.col("at").alias("tree"))), "merkle-spans")
 
     nodes = numbered(rows, spans, "lang", order)
-    roots, links = resolve(nodes.select("part", "tree", "n", F.lit(0).alias("level"), "at", "digest"), parts)
+    roots, links = resolve(nodes.select("part", "tree", "n", F.lit(0).alias("level"), "at", "digest"), _parts(spans))
     subroots = written(ranked.join(roots.select(F.col("tree").alias("at"), "digest"), "at").select("part", "tree", "n", "at", "digest", "lang"), "merkle-subroots")
-    _, top_links = resolve(subroots.select("part", "tree", "n", F.lit(0).alias("level"), "at", "digest"), few)
+    _, top_links = resolve(subroots.select("part", "tree", "n", F.lit(0).alias("level"), "at", "digest"), _parts(top_spans))
     tops = subroots.groupBy("part").cogroup(_above(top_spans, top_links).groupBy("part")).applyInArrow(_tops, "lang string, tree long, level int, at long, children array<binary>")
     tops = written(tops, "merkle-tops")
 

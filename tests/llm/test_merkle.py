@@ -72,6 +72,8 @@ def odd(n_langs):
 def test_odd_rows(spark, monkeypatch, n_langs, fan):
     """Null fields, repeated rows and ids, one and many languages, trees of one leaf; with more rounds of reshuffling."""
     monkeypatch.setattr(M, "FAN", fan)
+    if n_langs:
+        monkeypatch.setattr(M, "_PART", 400)  # many partitions, also of the tree over the languages
     df = written(spark.createDataFrame(odd(n_langs), SCHEMA).repartition(7), "odd")
     trees, proofs = M.manifest(df)
     want = plain(df.collect())
