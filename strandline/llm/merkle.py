@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import input_bytes, written
 
-_BITS, FAN = 3, 64
+_BITS, FAN = 3, 16
 BRANCH = 1 << _BITS
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 #: Bytes of leaves in a partition.
