@@ -567,4 +567,43 @@ def resegment_docs(spark, d):
     return out.select("doc_id", "seg_id", "_match_method", "_raw_u_start", "_raw_u_end", F.size("delays").alias("n"), F.round(A.yaal(F.col("delays"), F.col("source_length"), F.col("recording_end")), 3).alias("yaal"))
 
 
+def lines_to_resegment(spark, d):
+    """Documents' lines as segments over their words as timed units, cut in every way that the cascade knows: as they are, with a foreign word before,
+    without spaces, by characters, with segments put in that have no source or no match. Units of every second document end in commas. A segment's place is
+    therefore known beforehand: it begins where the line before it ended."""
+    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 2 == 1).alias("commas"), "text")
+    words = F.regexp_extract_all(F.col("line"), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    lines = docs.select("doc_id", "commas", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line")).select("doc_id", "commas", "line_no", words.alias("w")).where(F.size("w") > 0)
+    before = Window.partitionBy("doc_id").orderBy("line_no")
+    lines = lines.withColumn("k", F.row_number().over(before) - 1).withColumn("u0", F.sum(F.size("w")).over(before) - F.size("w"))
+    unit = lambda w: F.concat(w, F.when(F.col("commas"), ",").otherwise(""))
+    told = F.array_join(F.transform("w", unit), " ")
+    lines = lines.withColumn("c0", F.coalesce(F.sum(F.length(told) + 1).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("told", told)
+    joined = F.array_join("w", "")
+    plain = F.array_join("w", " ")
+    kind = F.col("k") % 6
+    tgt = F.when(kind == 1, F.concat(F.lit("zzzzzz "), plain)).when((kind == 2) & (F.size("w") > 1) & (F.length(joined) >= 40), joined).when(kind == 3, F.lit("qqqqqq")).otherwise(plain)
+    at = F.when(kind == 3, F.col("c0")).otherwise(-1).cast("int")
+    segs = lines.select("doc_id", F.lit(None).cast("string").alias("sys_id"), plain.alias("src"), plain.alias("ref"), tgt.alias("tgt"), (F.col("k") * 2 + 1).alias("arrival"), F.array((F.col("k") + 1).cast("int")).alias("src_ref_ids"), at.alias("mt_char_start"), (at + F.length("told")).cast("int").alias("mt_char_end"))
+    put_in = lines.where(kind >= 4).select("doc_id", F.lit(None).cast("string").alias("sys_id"), F.when(kind == 4, "").otherwise(plain).alias("src"), plain.alias("ref"), F.lit("qqqqqq xxxxxx").alias("tgt"), (F.col("k") * 2).alias("arrival"), F.array((F.col("k") + 1).cast("int")).alias("src_ref_ids"), F.lit(-1).alias("mt_char_start"), F.lit(-1).alias("mt_char_end"))
+    segs = segs.unionByName(put_in).withColumns({"seg_id": F.col("arrival").cast("string"), "mt_indices": F.array().cast("array<int>")})
+    sents = lines.select("doc_id", F.col("k").cast("long").alias("row_idx"), (F.col("k") * 1000.0).alias("start_ms"), ((F.col("k") + 1) * 1000.0).alias("end_ms"), plain.alias("text"))
+    inst = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", F.transform("w", unit).alias("u")))).alias("x")).select("doc_id", F.flatten(F.transform("x", lambda x: x["u"])).alias("prediction_units"), (F.size("x") * 1000.0).alias("source_length_ms"))
+    inst = inst.withColumn("spans", F.transform(A.locate_units(F.array_join("prediction_units", " "), F.col("prediction_units")), lambda s: F.array(s["char_start"], s["char_end"])))
+    inst = inst.withColumns({"delays": F.transform("prediction_units", lambda u, i: (i + 1) * F.lit(100.0)), "elapsed": F.array().cast("array<double>")})
+    return segs, sents, inst
+
+
+@query("""WITH l AS (SELECT doc_id, doc_id % 2 = 1 AS commas, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS k, w
+        FROM (SELECT doc_id, unnest(range(len(x))) AS line_no, regexp_extract_all(unnest(x), '[A-Za-z0-9]+') AS w FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS x FROM documents)) WHERE len(w) > 0),
+    p AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS u0, len(w) > 1 AND len(array_to_string(w, '')) >= 40 AS long FROM l),
+    s AS (SELECT doc_id, k * 2 + 1 AS a, k, CASE WHEN k % 6 = 1 THEN 'skip_latin_1' WHEN k % 6 = 2 AND long THEN 'char_exact' WHEN k % 6 = 3 THEN 'char_span' WHEN commas THEN 'loose' ELSE 'strict' END AS method, u0, u0 + len(w) AS u1, len(w) AS n FROM p
+        UNION ALL SELECT doc_id, k * 2, k, CASE WHEN k % 6 = 4 THEN 'null_over_translation' ELSE 'quality_only_not_found' END, CASE WHEN k % 6 = 4 THEN -1 ELSE u0 END, CASE WHEN k % 6 = 4 THEN -1 ELSE u0 END, 0 FROM p WHERE k % 6 >= 4)
+    SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS position, method, u0 AS u_start, u1 AS u_end, n::INT AS n, coalesce(list_sum(list_transform(range(u0 + 1, u0 + n + 1), lambda i: greatest(0, i * 100.0 - k * 1000.0))), 0.0)::DOUBLE AS delay FROM s""")
+def resegment_parts(spark, d):
+    """The fold in parts of 16 segments: methods, places and times of every segment."""
+    out = resegment.resegment(*lines_to_resegment(spark, d), part=16)
+    return out.select("doc_id", "position", F.col("_match_method").alias("method"), F.coalesce("_compact_u_start", F.lit(-1)).alias("u_start"), F.coalesce("_compact_u_end", F.lit(-1)).alias("u_end"), F.size("delays").alias("n"), F.aggregate("delays", F.lit(0.0), lambda a, x: a + x).alias("delay"))
+
+
 from strandline.plans import storage  # noqa: E402, F401  it registers its queries here
