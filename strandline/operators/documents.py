@@ -91,12 +91,18 @@ def number_in_doc(df: DataFrame, *order: str | Column, name: str = "seg_id") ->
 
 def drop_last(segments: DataFrame, n: int, order: str = "seg_id") -> tuple[DataFrame, DataFrame]:
     """Each document without its last n segments, documents that would be empty left out; and, a document, what was dropped."""
-    w = Window.partitionBy("doc_id")
-    ranked = segments.withColumn("_r", F.row_number().over(w.orderBy(F.col(order).desc()))).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= n + 1)
-    dropped = ranked.where(F.col("_r") <= n).groupBy("doc_id").agg(F.sort_array(F.collect_list(order)).alias("dropped"))
+    w, place = Window.partitionBy("doc_id"), place_of(segments, order)
+    ranked = segments.withColumn("_r", F.row_number().over(w.orderBy(place.desc(), F.col(order).desc()))).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= n + 1)
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col(order).alias("id"))))
+    dropped = ranked.where(F.col("_r") <= n).groupBy("doc_id").agg(F.transform(listed, lambda x: x["id"]).alias("dropped"))
     return ranked.where(F.col("_r") > n).drop("_r", "_n"), dropped
 
 
+def place_of(segments: DataFrame, order: str = "seg_id") -> Column:
+    """What segments are ordered by: ids that are texts go by the number that they spell."""
+    return segment_order(F.col(order)) if dict(segments.dtypes)[order] == "string" else F.col(order)
+
+
 def restrict(df: DataFrame, kept: DataFrame) -> DataFrame:
     return df.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -170,7 +176,7 @@ def char_overlap(segments: DataFrame, units: DataFrame, bin_size: int = 512) ->
     s = segments.where((F.col("char_start") >= 0) & (F.col("char_end") > F.col("char_start"))).select("doc_id", "seg_id", F.col("char_start").alias("a"), F.col("char_end").alias("b"), touch(F.col("char_start"), F.col("char_end")).alias("bin"))
     u = units.where((F.col("char_start") >= 0) & (F.col("char_end") > F.col("char_start"))).select("doc_id", "unit", F.col("char_start").alias("s"), F.col("char_end").alias("e"), touch(F.col("char_start"), F.col("char_end")).alias("bin"))
     met = s.join(u, ["doc_id", "bin"]).where("s < b AND e > a").groupBy("doc_id", "seg_id").agg(F.min("unit").alias("first"), F.max("unit").alias("last"))
-    before = Window.partitionBy("doc_id").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("doc_id").orderBy(place_of(met), "seg_id").rowsBetween(Window.unboundedPreceding, -1)
     out = met.withColumn("cursor", F.coalesce(F.max(F.col("last") + 1).over(before), F.lit(0)))
     out = out.withColumn("u_start", F.greatest("first", "cursor")).withColumn("u_end", F.col("last") + 1).where("u_end > u_start")
     return out.select("doc_id", "seg_id", "u_start", "u_end")
@@ -220,5 +226,5 @@ def drop_rate(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def order_segments(segments: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """Segments of each document in order, ties by arrival."""
-    return segments.sortWithinPartitions("doc_id", segment_order(F.col("seg_id")), arrival)
+    """Segments of each document in order and in one partition, ties by arrival."""
+    return segments.repartition("doc_id").sortWithinPartitions("doc_id", segment_order(F.col("seg_id")), arrival)

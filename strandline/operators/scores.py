@@ -47,11 +47,16 @@ def quality_input(instances: DataFrame) -> DataFrame:
 
 def summary(quality: DataFrame) -> DataFrame:
     """One row of counts."""
+    return quality.agg(*_summary())
+
+
+_SUMMARY = ["segments", "valid", "latency", "over_translation", "under_translation", "null_alignments"]
+
+
+def _summary() -> list[Column]:
     k = F.col("null_alignment_type")
-    return quality.agg(
-        F.count(F.lit(1)).alias("segments"), F.count_if(k == NORMAL).alias("valid"), F.count_if("latency_eligible").alias("latency"),
-        F.count_if(k == OVER).alias("over_translation"), F.count_if(k == UNDER).alias("under_translation"), F.count_if(k != NORMAL).alias("null_alignments"),
-    )
+    counts = [F.count(F.lit(1)), F.count_if(k == NORMAL), F.count_if("latency_eligible"), F.count_if(k == OVER), F.count_if(k == UNDER), F.count_if(k != NORMAL)]
+    return [c.alias(name) for c, name in zip(counts, _SUMMARY)]
 
 
 def latency_columns(instances: DataFrame) -> DataFrame:
@@ -61,13 +66,19 @@ def latency_columns(instances: DataFrame) -> DataFrame:
     return instances.withColumns({"yaal": F.when(ok, A.yaal(d, n, end)), "ca_yaal": F.when(ok, A.yaal(e, n, end)), "ending_offset": F.when(ok, A.ending_offset(d, n)), "ca_ending_offset": F.when(ok, A.ending_offset(e, n))})
 
 
+#: Latency columns and their names in the summary.
+_LATENCIES = {"yaal": "ca_unaware_yaal", "ca_yaal": "ca_aware_yaal", "ending_offset": "ending_offset", "ca_ending_offset": "ca_ending_offset"}
+
+
 def score_row(instances: DataFrame, tokenizer: str = "13a") -> DataFrame:
     """The summary of a corpus: BLEU, four latencies and six counts, in this order. A latency without instances is NaN."""
+    kind = alignment_type(F.col("null_alignment_type"), F.col("source"), F.col("prediction"))
+    eligible = latency_eligible(kind, F.col("delays"), F.col("elapsed"), F.col("source_length"))
+    one = latency_columns(instances).select(F.col("prediction").alias("hyp"), F.col("reference").alias("ref"), *_LATENCIES, kind.alias("null_alignment_type"), eligible.alias("latency_eligible"))
     nan = F.lit(float("nan"))
-    lat = latency_columns(instances).agg(*[F.coalesce(F.avg(c), nan).alias(name) for c, name in (("yaal", "ca_unaware_yaal"), ("ca_yaal", "ca_aware_yaal"), ("ending_offset", "ending_offset"), ("ca_ending_offset", "ca_ending_offset"))])
-    bleu = corpus_bleu(instances.select(F.col("prediction").alias("hyp"), F.col("reference").alias("ref")), tokenizer).select("bleu")
-    counts = summary(quality_input(instances))
-    return bleu.crossJoin(lat).crossJoin(counts)  # one row each
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _counters(4)]
+    total = bleu_statistics(one, tokenizer).agg(*sums, *(F.coalesce(F.avg(c), nan).alias(name) for c, name in _LATENCIES.items()), *_summary())
+    return total.select(bleu_of().alias("bleu"), *_LATENCIES.values(), *_SUMMARY)
 
 
 def offset_rows(instances: DataFrame) -> DataFrame:
@@ -110,16 +121,26 @@ def _gram(c: Column, n: int):
 
 
 def _clipped(h: Column, r: Column) -> Column:
-    shared = F.array_intersect(h, r)
-    number = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    return F.aggregate(shared, F.lit(0), lambda s, g: s + F.least(number(h, g), number(r, g))).cast("long")
+    """Matches of two multisets of n-grams: both are sorted together, those of h before equal ones of r, and one pass pairs them off."""
+    side = lambda xs, k: F.transform(xs, lambda g: F.struct(g.alias("g"), F.lit(k).alias("side")))
+    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("met"))
+
+    def step(s, x):
+        left = F.when(s["g"] == x["g"], s["left"]).otherwise(0)
+        pairs = (x["side"] == 1) & (left > 0)
+        return F.struct(x["g"].alias("g"), F.when(x["side"] == 0, left + 1).when(pairs, left - 1).otherwise(left).alias("left"), (s["met"] + F.when(pairs, 1).otherwise(0)).alias("met"))
+
+    return F.aggregate(F.array_sort(F.concat(side(h, 0), side(r, 1))), start, step, lambda s: s["met"].cast("long"))
+
+
+def _counters(order: int) -> list[str]:
+    return ["hyp_len", "ref_len", *[f"{k}_{n}" for n in range(1, order + 1) for k in ("match", "total")]]
 
 
 def corpus_bleu(pairs: DataFrame, tokenizer: str = "13a", order: int = 4) -> DataFrame:
     """One row: BLEU of all pairs together, with exponential smoothing of orders without a match; nulls count as empty texts."""
     s = bleu_statistics(pairs, tokenizer, order)
-    names = ["hyp_len", "ref_len", *[f"{k}_{n}" for n in range(1, order + 1) for k in ("match", "total")]]
-    total = s.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    total = s.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _counters(order)])
     return total.withColumn("bleu", bleu_of(order))
 
 
@@ -166,10 +187,10 @@ def score_windows(df: DataFrame, scorer, name: str, worst: float = 0.0, ref: boo
 
 def rollup(scored: DataFrame, scores: list[str], order: str = "seg_id", first: str | None = None) -> DataFrame:
     """A row a document: texts in order, means of the scores that aren't negative (0 if none), counts by the first score."""
-    from strandline.operators.documents import ordered_concat
+    from strandline.operators.documents import ordered_concat, place_of
 
     lead = first or scores[0]
-    place = segment_order(F.col(order)) if dict(scored.dtypes)[order] == "string" else F.col(order)
+    place = place_of(scored, order)
     return scored.groupBy("doc_id").agg(
         *[ordered_concat(F.col(c), place, F.col(order)).alias(c) for c in ("src", "ref", "mt") if c in scored.columns],
         *[F.coalesce(F.avg(F.when(F.col(s) >= 0, F.col(s))), F.lit(0.0)).alias(s) for s in scores],

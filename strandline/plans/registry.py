@@ -273,6 +273,10 @@ m AS (SELECT l.doc_id, line_no, min(unit) AS first, max(unit) AS last FROM l JOI
 k AS (SELECT *, coalesce(max(last + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM m)
 SELECT doc_id, line_no::INTEGER AS seg_id, greatest(first, cur)::BIGINT AS u_start, (last + 1)::BIGINT AS u_end FROM k WHERE last + 1 > greatest(first, cur)""")
 def char_overlap(spark, d):
+    return documents.char_overlap(*_overlap_sides(spark, d, "int"))
+
+
+def _overlap_sides(spark, d, kind):
     docs = _table(spark, d, "documents")
     lines = documents.sentence_offsets(docs.select("doc_id", "text")).select("doc_id", F.col("line_no").alias("seg_id"), "char_start", "char_end")
     blank = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -281,7 +285,25 @@ def char_overlap(spark, d):
     lines = blank.select("doc_id", F.col("line_no").alias("seg_id"), at.alias("char_start"), (at + F.length("line")).alias("char_end"))
     n = F.floor(F.length("text") / 7)
     units = docs.where(n > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("unit")).select("doc_id", "unit", (F.col("unit") * 7).alias("char_start"), (F.col("unit") * 7 + 7).alias("char_end"))
-    return documents.char_overlap(lines, units)
+    return lines.withColumn("seg_id", F.col("seg_id").cast(kind)), units
+
+
+_OVERLAP = ORACLE_SQL["char_overlap"]
+
+
+@query(_OVERLAP.replace("line_no::INTEGER AS seg_id", "line_no::VARCHAR AS seg_id"))
+def char_overlap_text_ids(spark, d):
+    """Ids that are texts: "10" comes after "2"."""
+    return documents.char_overlap(*_overlap_sides(spark, d, "string"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, E'\\n')) + 1)) AS id FROM documents), r AS (SELECT *, max(id) OVER (PARTITION BY doc_id) AS n FROM l)
+SELECT doc_id, count(*) FILTER (WHERE id <= n - 2) AS kept, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (WHERE id > n - 2) AS dropped FROM r WHERE n > 2 GROUP BY doc_id""")
+def drop_last_text_ids(spark, d):
+    lines = _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("string").alias("seg_id"))
+    kept, dropped = documents.drop_last(lines, 2)
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept")).join(dropped, "doc_id").select("doc_id", "kept", F.array_join("dropped", ",").alias("dropped"))
+
 
 
 @query(r"""WITH RECURSIVE d AS (SELECT item_id, lower(regexp_replace(text, '[^''\p{L}\p{N}]', '', 'g')) AS s, list_transform(regexp_split_to_array(text, '\s+'), lambda w: lower(regexp_replace(w, '[^''\p{L}\p{N}]', '', 'g'))) AS u FROM benchmark),

@@ -288,7 +288,7 @@ def sweep_without_zeros(spark, d):
 def segments_in_order(spark, d):
     from pyspark.sql import Window
 
-    s = documents.order_segments(segments(spark, d).repartition("doc_id")).withColumn("_at", F.monotonically_increasing_id())
+    s = documents.order_segments(segments(spark, d)).withColumn("_at", F.monotonically_increasing_id())
     return s.select("doc_id", "seg_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("_at")).cast("long").alias("place"))
 
 

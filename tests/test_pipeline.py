@@ -27,6 +27,15 @@ def test_drop_last(spark):
     kept, dropped = documents.drop_last(df, 2)
     assert kept.count() == 1 and dropped.first().dropped == [2, 3]
     assert documents.drop_last(df, 3)[0].count() == 0
+    texts = spark.createDataFrame([("d", str(i)) for i in range(1, 12)], "doc_id string, seg_id string")
+    kept, dropped = documents.drop_last(texts, 2)
+    assert kept.count() == 9 and dropped.first().dropped == ["10", "11"]
+
+
+def test_overlap_of_text_ids(spark):
+    lines = spark.createDataFrame([("d", "10", 5, 10), ("d", "2", 0, 5)], "doc_id string, seg_id string, char_start int, char_end int")
+    units = spark.createDataFrame([("d", i, i * 2, i * 2 + 2) for i in range(5)], "doc_id string, unit int, char_start int, char_end int")
+    assert sorted((r.seg_id, r.u_start, r.u_end) for r in documents.char_overlap(lines, units).collect()) == [("10", 3, 5), ("2", 0, 3)]
 
 
 def test_merges(spark):

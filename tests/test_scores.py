@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,13 @@ def test_wav(tmp_path, spark):
         w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(b"\0\0" * 4000)
     assert readers.wav_seconds((tmp_path / "a.wav").read_bytes()) == 0.5 and readers.wav_seconds(b"x") == 0.0 and readers.wav_seconds(None) == 0.0
     assert readers.wav_durations(spark, str(tmp_path)).first().seconds == 0.5
+
+
+def test_clipped_matches(spark):
+    from collections import Counter
+
+    rng = np.random.RandomState(6)
+    rows = [(" ".join(rng.choice(list("abcd"), rng.randint(0, 30))), " ".join(rng.choice(list("abcd"), rng.randint(0, 30)))) for _ in range(60)] + [("a " * 3000, "a " * 2000), ("", ""), (None, "a b")]
+    got = scores.bleu_statistics(spark.createDataFrame(rows, "hyp string, ref string").select("hyp", "ref", F.col("hyp").alias("h"), F.col("ref").alias("r"))).collect()
+    grams = lambda t, n: Counter(tuple((t or "").split()[i : i + n]) for i in range(len((t or "").split()) - n + 1))
+    assert all(r[f"match_{n}"] == sum((grams(r.h, n) & grams(r.r, n)).values()) for r in got for n in (1, 2, 3, 4))
