@@ -5,10 +5,13 @@ query joins neighbouring tokens to the merge table, contracts each word's leftmo
 when no word has a pair left. Decoding joins ids to the vocabulary and aggregates their bytes in order of position.
 Only distinct words are encoded: a batch's texts are cut into segments that no token crosses (pieces.py).
 
-Of most words a round contracts one pair and keeps all tokens as rows. For words of more than LONG bytes that would be the square of
-their length, so these run through a second form of the same recursion: rows are replaced in place, and a round contracts every
-place of the smallest rank, from the left up to the first where this makes a pair of a smaller rank still, which
-is what one pair after another would come to. Rounds are then about as many as the word has different merges.
+A round contracts one pair of each word and keeps all tokens as rows, so what a query holds is the sum of squares of its words' lengths;
+words are dealt to queries by that sum. A word of more than LONG bytes is cut into windows of so many. Ids are a word's encoding exactly if each two
+neighbours are the encoding of their bytes (a pair of the smallest rank that crosses a seam would show in the pair at the seam), so windows are joined
+where the two tokens at the seam stay as they are, and where not, some tokens on both sides are encoded anew, the more
+the longer the seams beside them don't hold. Windows are joined in pairs up to BLOCK bytes, these blocks from left to right. Only such a stretch of more than
+LONG bytes, as runs of one period may need, goes through a second form of the recursion, which replaces rows in place and contracts every
+place of the smallest rank in a round, from the left up to the first where this makes a pair of a smaller rank still.
 
 Defined results: a null or empty text has no ids; special tokens don't exist, their strings are ordinary text; each row is encoded by
 itself, so rows that repeat, or a null doc_id, are rows of the result; given columns may have any name but ``ids`` and
@@ -27,10 +30,14 @@ from strandline.llm.common import free_name
 from strandline.llm.pieces import Dictionary, gather
 
 LONG = 64
+#: Bytes of a long word that are joined in pairs; beyond these from left to right.
+BLOCK = 1 << 15
 #: Bytes of text that are cut, encoded and decoded at once.
 PART = 3 << 19
-#: Words of one recursive query: its rows stay within the memory limit.
-WORDS_AT_ONCE = 20_000
+#: Of one recursive query: the squares of its words' lengths together, or the bytes of long ones. Its rows stay within the memory limit.
+SQUARES, BYTES = 1_200_000, 20_000
+#: Ids that one query decodes, about; longer runs are cut.
+IDS = 300_000
 
 #: Rows are tokens with their right neighbour: place, place of the neighbour (-1: none), token, neighbour's token.
 _ENCODE = """
@@ -96,7 +103,7 @@ class Bpe:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {b: a for a, b in self.rank.items()}
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", **{f"allocator_{x}flush_threshold": "8MB" for x in ("", "bulk_deallocation_")}})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "96MB", "temp_directory": "", **{f"allocator_{x}flush_threshold": "8MB" for x in ("", "bulk_deallocation_")}})
         self.db.register("v", pa.table({"rank": pa.array(list(self.rank.values()), pa.int32()), "hex": [k.hex() for k in self.rank]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v ORDER BY rank")
         # every way to make a token of two others: all pairs that may be contracted, with the rank of what they make
@@ -106,13 +113,70 @@ class Bpe:
         )
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, by the recursive query."""
+        """Ids of each word."""
         out: list = [None] * len(words)
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        parts = [(_ENCODE, short[k : k + WORDS_AT_ONCE]) for k in range(0, len(short), WORDS_AT_ONCE)]
-        long = sorted((i for i, w in enumerate(words) if len(w) > LONG), key=lambda i: len(words[i]))
-        for i, j in _ranges(np.array([len(words[i]) for i in long], np.int64), WORDS_AT_ONCE):
-            parts.append((_ENCODE_LONG, long[i:j]))  # of like lengths, as all take the rounds of the longest
+        for i, ids in zip(short, self._recursive([words[i] for i in short])):
+            out[i] = ids
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return out
+        blocks = [[words[i][a : a + BLOCK] for a in range(0, len(words[i]), BLOCK)] for i in long]
+        cut = [[b[a : a + LONG] for a in range(0, len(b), LONG)] for x in blocks for b in x]
+        flat = iter(self._distinct([w for c in cut for w in c]))
+        runs = [[next(flat) for _ in c] for c in cut]
+        while any(len(r) > 1 for r in runs):
+            met = iter(self._joined([(a, b) for r in runs for a, b in zip(r[::2], r[1::2])]))
+            runs = [[next(met) for _ in range(len(r) // 2)] + r[len(r) - len(r) % 2 :] for r in runs]
+        whole = iter(r[0] for r in runs)
+        rest = [[next(whole) for _ in x] for x in blocks]
+        while some := [r for r in rest if len(r) > 1]:
+            for r, ids in zip(some, self._joined([(r[0], r[1]) for r in some])):
+                r[:2] = [ids]
+        for i, r in zip(long, rest):
+            out[i] = r[0]
+        return out
+
+    def _distinct(self, words: list[bytes]) -> list[np.ndarray]:
+        number: dict[bytes, int] = {}
+        which = [number.setdefault(w, len(number)) for w in words]
+        ids = self._recursive(list(number))
+        return [ids[i] for i in which]
+
+    def _raw(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
+    def _joined(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The ids of two neighbouring stretches together, for each pair of their ids. ``near`` tokens on both sides of a seam are encoded anew until the
+        seams around them hold."""
+        out: list = [None] * len(pairs)
+        open_, near = list(range(len(pairs))), 0
+        while open_:
+            middle = self._distinct([self._raw(pairs[i][0][-near:]) + self._raw(pairs[i][1][:near]) for i in open_]) if near else [np.zeros(0, np.int32)] * len(open_)
+            tries = []
+            for i, m in zip(open_, middle):
+                a, b = pairs[i]
+                tries.append([a[: max(0, len(a) - near)], m, b[near:]] if near else [a, b])
+            seams = [(x[-1:], y[:1]) for t in tries for u in [[p for p in t if len(p)]] for x, y in zip(u[:-1], u[1:])]
+            held = iter(len(got) == 2 and got[0] == x[0] and got[1] == y[0] for got, (x, y) in zip(self._distinct([self._raw(x) + self._raw(y) for x, y in seams]), seams))
+            left = []
+            for i, t in zip(open_, tries):
+                if all([next(held) for _ in range(sum(len(p) > 0 for p in t) - 1)]):
+                    out[i] = np.concatenate(t)
+                else:
+                    left.append(i)
+            open_, near = left, near * 4 or 2
+        return out
+
+    def _recursive(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word, by the recursive query."""
+        out: list = [None] * len(words)
+        by_length = sorted(range(len(words)), key=lambda i: len(words[i]))  # words of like lengths have like rounds
+        n_short = sum(len(w) <= LONG for w in words)
+        short, long = by_length[:n_short], by_length[n_short:]
+        size = np.array([len(words[i]) for i in by_length], np.int64)
+        parts = [(_ENCODE, short[i:j]) for i, j in _ranges(size[:n_short] ** 2, SQUARES)]
+        parts += [(_ENCODE_LONG, long[i:j]) for i, j in _ranges(size[n_short:], BYTES)]
         for query, part in parts:
             size = np.array([len(words[i]) for i in part])
             body = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
@@ -147,15 +211,17 @@ class Bpe:
         """The bytes of each sequence of ids. An id that isn't in the vocabulary raises ValueError."""
         if len(ids) and not set(np.unique(ids).tolist()) <= self.bytes_of.keys():
             raise ValueError("an id is not in the vocabulary")
-        size = np.diff(offsets)
-        seq = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        pos = (np.arange(len(ids)) - np.repeat(offsets[:-1], size)).astype(np.int32)
-        self.db.register("ids", pa.table({"seq": seq, "pos": pos, "tok": pa.array(ids, pa.int32())}))
-        got = self.db.execute(_DECODE).fetchnumpy()
-        self.db.unregister("ids")
-        out = [b""] * len(size)
-        for i, h in zip(got["seq"].tolist(), got["hex"].tolist()):
-            out[i] = bytes.fromhex(h)
+        out = [b""] * (len(offsets) - 1)
+        for first, stop in _ranges(np.diff(offsets), IDS):
+            at = offsets[first : stop + 1]
+            size = np.diff(at)
+            seq = np.repeat(np.arange(first, stop, dtype=np.int32), size)
+            pos = (np.arange(at[0], at[-1]) - np.repeat(at[:-1], size)).astype(np.int32)
+            self.db.register("ids", pa.table({"seq": seq, "pos": pos, "tok": pa.array(ids[at[0] : at[-1]], pa.int32())}))
+            got = self.db.execute(_DECODE).fetchnumpy()
+            self.db.unregister("ids")
+            for i, h in zip(got["seq"].tolist(), got["hex"].tolist()):
+                out[i] = bytes.fromhex(h)
         return out
 
 
@@ -248,6 +314,7 @@ def _decoded(b: Bpe, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         begins[[i for i, x in b.bytes_of.items() if x[:1] == b" "]] = True
     cut = begins[ids]
     cut[at[:-1][np.diff(at) > 0]] = True
+    cut[::IDS] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(ids))
     raw = np.ascontiguousarray(ids, np.int32).view(np.uint8)

@@ -320,6 +320,22 @@ def test_bpe_recursion_is_the_rule(reference):
         b.decode(np.array([99_999]), np.array([0, 1]))
 
 
+def test_bpe_long_words(spark, reference):
+    """Words of any length: windows of them are joined to what the library gives for the whole."""
+    from strandline.llm import bpe as B
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    rng = np.random.RandomState(5)
+    letters = lambda s, n: "".join(rng.choice(list(s), n))
+    texts = ["a" * 1_000_000, letters("abcdefghijklmnopqrstuvwxyz", 1_000_000), "漢字仮名交じり文" * 45_000, "abc" * 350_000, "é" * 10_000_000, letters("ab", 100_000) + " and words", "x" * 65, "abcde" * 13]
+    got = {r.doc_id: r for r in B.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), path, P.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        assert bytes(got[i].decoded) == t.encode() and (len(t) > 2_000_000 or got[i].ids == reference.encode_ordinary(t)), i
+    b, _ = B.bpe_of(path, P.PATTERN)
+    some = [bytes(rng.choice(list(s.encode()), n).astype(np.uint8)) for s in ("a", "ab", "abc", "etaoin", "0123456789") for n in (65, 127, 128, 129, 1000, 3001) for _ in range(4)]
+    assert [x.tolist() for x in b.encode_words(some)] == [contract(b.rank, w) for w in some]
+
+
 # -- 4 quality rules ---------------------------------------------------------------------------------------------
 
 
