@@ -2,7 +2,8 @@
 
 Each partition runs DuckDB in its worker's process. A word's bytes become rows (word, position, token); a recursive
 query joins neighbouring tokens to the merge table, contracts each word's leftmost pair of the smallest rank, and ends
-when no word has a pair left. Decoding joins ids to the vocabulary and aggregates their bytes in order of position.
+when no word has a pair left. Decoding joins ids to the vocabulary and aggregates their bytes in order of position, which the lengths of
+tokens cut into sequences.
 Only distinct words are encoded: a batch's texts are cut into segments that no token crosses (pieces.py).
 
 A round contracts one pair of each word and keeps all tokens as rows, so what a query holds is the sum of squares of its words' lengths;
@@ -33,10 +34,10 @@ LONG = 64
 #: Bytes of a long word that are joined in pairs; beyond these from left to right.
 BLOCK = 1 << 15
 #: Bytes of text that are cut, encoded and decoded at once.
-PART = 3 << 19
+PART = 2 << 20
 #: Of one recursive query: the squares of its words' lengths together, or the bytes of long ones. Its rows stay within the memory limit.
-SQUARES, BYTES = 1_200_000, 20_000
-#: Ids that one query decodes, about; longer runs are cut.
+SQUARES, BYTES = 2_000_000, 20_000
+#: Ids that one query decodes.
 IDS = 300_000
 
 #: Rows are tokens with their right neighbour: place, place of the neighbour (-1: none), token, neighbour's token.
@@ -86,7 +87,7 @@ WITH RECURSIVE w(word, pos, npos, tok, next) USING KEY (word, pos) AS (
 SELECT word, tok FROM w WHERE tok >= 0 ORDER BY word, pos
 """
 
-_DECODE = "SELECT s.seq, string_agg(v.hex, '' ORDER BY s.pos) AS hex FROM ids s JOIN vocab v ON v.rank = s.tok GROUP BY s.seq ORDER BY s.seq"
+_DECODE = "SELECT s.pos // 4096 AS part, string_agg(v.hex, '' ORDER BY s.pos) AS hex FROM ids s JOIN vocab v ON v.rank = s.tok GROUP BY s.pos // 4096 ORDER BY part"
 
 
 class Bpe:
@@ -102,6 +103,8 @@ class Bpe:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {b: a for a, b in self.rank.items()}
+        self.length = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.length[list(self.bytes_of)] = [len(x) for x in self.bytes_of.values()]
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "96MB", "temp_directory": "", **{f"allocator_{x}flush_threshold": "8MB" for x in ("", "bulk_deallocation_")}})
         self.db.register("v", pa.table({"rank": pa.array(list(self.rank.values()), pa.int32()), "hex": [k.hex() for k in self.rank]}))
@@ -211,18 +214,14 @@ class Bpe:
         """The bytes of each sequence of ids. An id that isn't in the vocabulary raises ValueError."""
         if len(ids) and not set(np.unique(ids).tolist()) <= self.bytes_of.keys():
             raise ValueError("an id is not in the vocabulary")
-        out = [b""] * (len(offsets) - 1)
-        for first, stop in _ranges(np.diff(offsets), IDS):
-            at = offsets[first : stop + 1]
-            size = np.diff(at)
-            seq = np.repeat(np.arange(first, stop, dtype=np.int32), size)
-            pos = (np.arange(at[0], at[-1]) - np.repeat(at[:-1], size)).astype(np.int32)
-            self.db.register("ids", pa.table({"seq": seq, "pos": pos, "tok": pa.array(ids[at[0] : at[-1]], pa.int32())}))
-            got = self.db.execute(_DECODE).fetchnumpy()
+        raw = []
+        for i in range(0, len(ids), IDS):
+            some = ids[i : i + IDS]
+            self.db.register("ids", pa.table({"pos": pa.array(np.arange(len(some)), pa.int32()), "tok": pa.array(some, pa.int32())}))
+            raw += [bytes.fromhex(h) for h in self.db.execute(_DECODE).fetchnumpy()["hex"].tolist()]
             self.db.unregister("ids")
-            for i, h in zip(got["seq"].tolist(), got["hex"].tolist()):
-                out[i] = bytes.fromhex(h)
-        return out
+        whole, at = b"".join(raw), np.append(0, np.cumsum(self.length[ids]))[offsets].tolist()
+        return [whole[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 _KNOWN: dict = {}
@@ -232,7 +231,7 @@ def bpe_of(path: str, pattern: str) -> tuple[Bpe, Dictionary]:
     """This process's Bpe of a vocabulary and the segments that it knows."""
     if (path, pattern) not in _KNOWN:
         b = Bpe(path, pattern)
-        _KNOWN[path, pattern] = b, Dictionary(lambda s, new: b.encode_segments(s.distinct(new)))
+        _KNOWN[path, pattern] = b, Dictionary(lambda s, new: b.encode_segments(s.distinct(new)), most=400_000, short=16)
     return _KNOWN[path, pattern]
 
 
@@ -314,7 +313,6 @@ def _decoded(b: Bpe, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         begins[[i for i, x in b.bytes_of.items() if x[:1] == b" "]] = True
     cut = begins[ids]
     cut[at[:-1][np.diff(at) > 0]] = True
-    cut[::IDS] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(ids))
     raw = np.ascontiguousarray(ids, np.int32).view(np.uint8)

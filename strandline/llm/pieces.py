@@ -65,10 +65,11 @@ class Segments:
 
 class Dictionary:
     """Ids of distinct segments by hash, over the batches of a worker; emptied when it is full, so memory is bounded. ``encode``
-    takes Segments and the chosen ones, and gives their ids one after another, and offsets."""
+    takes Segments and the chosen ones, and gives their ids one after another, and offsets. Kept are those of up to ``short`` ids, or by default those that a batch
+    has twice or more."""
 
-    def __init__(self, encode, most: int = 150_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 150_000, short: int | None = None):
+        self.encode, self.most, self.short = encode, most, short
         self._clear()
 
     def _clear(self) -> None:
@@ -87,11 +88,12 @@ class Dictionary:
         begin[new], size[new] = cuts[:-1] + len(self.flat), np.diff(cuts)
         both = np.concatenate([self.flat, flat.astype(np.int32, copy=False)])
         out = gather(both, begin, size)
-        often = new[np.bincount(s.which, minlength=len(s.hash))[new] > 1] if len(new) else new
-        if len(self.hash) + len(often) > self.most:
+        chosen = size[new] <= self.short if self.short else np.bincount(s.which, minlength=len(s.hash))[new] > 1
+        kept = new[chosen] if len(new) else new
+        if len(self.hash) + len(kept) > self.most:
             self._clear()
         else:
-            self._keep(s.hash[often], gather(both, begin[often], size[often]), size[often])
+            self._keep(s.hash[kept], gather(both, begin[kept], size[kept]), size[kept])
         return out, np.append(0, np.cumsum(size))
 
     def _keep(self, hashed: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
