@@ -21,6 +21,8 @@ itself, so rows that repeat, or a null doc_id, are rows of the result; given col
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -231,10 +233,20 @@ def bpe_of(path: str, pattern: str) -> tuple[Bpe, Dictionary]:
     """This process's Bpe of a vocabulary and the segments that it knows."""
     if (path, pattern) not in _KNOWN:
         b = Bpe(path, pattern)
-        _KNOWN[path, pattern] = b, Dictionary(lambda s, new: b.encode_segments(s.distinct(new)), most=400_000, short=16)
+        _KNOWN[path, pattern] = b, Dictionary(lambda s, new: b.encode_segments(s.distinct(new)), most=250_000, short=16)
     return _KNOWN[path, pattern]
 
 
+def forget(path: str, pattern: str) -> None:
+    """Give up this process's Bpe at the end of a task: Spark keeps the process for stages that don't need one."""
+    if found := _KNOWN.pop((path, pattern), None):
+        found[0].db.close()
+        found[1].encode = None
+        del found
+        gc.collect()
+        ws.release()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
     """The given columns (doc_id, by default) and ``ids`` of each text."""
     from pyspark.sql import types as T
@@ -249,6 +261,8 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None =
                 ids, at = known.column(part.column(text))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists], names=[*columns, "ids"])
+        del known
+        forget(path, pattern)
 
     return docs.select(*columns, F.col("text").alias(text)).mapInArrow(run, schema)
 
@@ -267,6 +281,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 part = batch.slice(i, j - i)
                 ids, at = _lists(part.column("ids"))
                 yield pa.RecordBatch.from_arrays([*part.columns, _decoded(b, ids, at)], names=[*part.schema.names, "decoded"])
+        del b
+        forget(path, pattern)
 
     return encoded.mapInArrow(run, schema)
 
@@ -285,6 +301,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, columns: list[str] | No
                 ids, at = known.column(part.column(text))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, _decoded(b, ids, at)], names=[*columns, "ids", "decoded"])
+        del b, known
+        forget(path, pattern)
 
     return docs.select(*columns, F.col("text").alias(text)).mapInArrow(run, schema)
 
