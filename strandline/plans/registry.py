@@ -446,8 +446,8 @@ def sweep_select(spark, d):
     return sweeps.select_step(s, min_cost=0.02).select("doc_id", "step")
 
 
-@query("WITH " + _SWEEP + """, j AS (SELECT zero_ratio - lag(zero_ratio) OVER (PARTITION BY doc_id ORDER BY step) AS jump FROM st), k AS (SELECT quantile_cont(jump, 0.2) AS a, quantile_cont(jump, 0.8) AS b FROM j WHERE jump IS NOT NULL)
-SELECT round(avg(jump), 6) AS avg, round(min(jump), 6) AS min, round(max(jump), 6) AS max FROM j, k WHERE jump BETWEEN a AND b""")
+@query("WITH " + _SWEEP + """, j AS (SELECT zero_ratio - lag(zero_ratio) OVER (PARTITION BY doc_id ORDER BY step) AS jump FROM st), k AS (SELECT quantile_cont(jump, 0.2) AS a, quantile_cont(jump, 0.8) AS b FROM j WHERE jump <> 0)
+SELECT round(avg(jump), 6) AS avg, round(min(jump), 6) AS min, round(max(jump), 6) AS max FROM j, k WHERE jump <> 0 AND jump BETWEEN a AND b""")
 def jump_stats(spark, d):
     out = sweeps.jump_stats(sweeps.alignment_stats(_swept(spark, d)))
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
@@ -589,6 +589,38 @@ def resegment_docs(spark, d):
     return out.select("doc_id", "seg_id", "_match_method", "_raw_u_start", "_raw_u_end", F.size("delays").alias("n"), F.round(A.yaal(F.col("delays"), F.col("source_length"), F.col("recording_end")), 3).alias("yaal"))
 
 
+def _label_pairs(spark, d):
+    """Each label's vectors as a source and the next label's as its reference."""
+    e = _table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
+    rows = e.groupBy("label").agg(F.struct(listed.alias("vectors"), F.array().cast("array<string>").alias("unknown")).alias("v"))
+    return rows.select(F.col("label").cast("string").alias("doc_id"), "v"), rows.select((F.col("label") - 1).cast("string").alias("doc_id"), "v")
+
+
+@query("""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT a.label::VARCHAR AS doc_id, a.n AS n_src, b.n AS n_tgt, true AS in_order, true AS whole_or_paired FROM n a JOIN n b ON b.label = a.label + 1""")
+def reference_alignment(spark, d):
+    """What every alignment of a reference is: each sentence of both sides once and in order, and, if it isn't the whole N:M row, none left out."""
+    rows, _ = alignment.reference_alignments(*_label_pairs(spark, d))
+    ordered = F.array_sort(F.collect_list(F.struct("aln_idx", "src_idx", "tgt_idx", "step")))
+    side = lambda c: F.flatten(F.transform("x", lambda r: r[c]))
+    g = rows.groupBy("doc_id").agg(ordered.alias("x"))
+    straight = lambda c: side(c) == F.sequence(F.lit(0), F.size(side(c)) - 1)
+    paired = F.forall("x", lambda r: (F.size(r["src_idx"]) > 0) & (F.size(r["tgt_idx"]) > 0))
+    return g.select("doc_id", F.size(side("src_idx")).cast("long").alias("n_src"), F.size(side("tgt_idx")).cast("long").alias("n_tgt"), (straight("src_idx") & straight("tgt_idx")).alias("in_order"), paired.alias("whole_or_paired"))
+
+
+@query("""WITH a AS (SELECT l_suppkey % 20 AS doc_id, l_linenumber + 7 * (l_quantity::INTEGER % 5) AS step, CASE WHEN l_suppkey % 20 % 3 = 1 OR l_linenumber = 1 AND l_tax < 0.01 THEN 0.0 ELSE l_discount + 0.01 END::DOUBLE AS cost FROM lineitem),
+z AS (SELECT doc_id, step::INTEGER AS step, round(avg(cost), 9) AS avg_cost FROM a GROUP BY doc_id, step HAVING count(*) FILTER (WHERE round(cost, 6) = 0) = 0)
+SELECT doc_id, step, avg_cost FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY avg_cost, step) = 1""")
+def sweep_zero_free(spark, d):
+    """Documents with steps that leave nothing out, with some that do, and with none without."""
+    li, doc = _table(spark, d, "lineitem"), F.col("l_suppkey") % 20
+    left_out = (doc % 3 == 1) | ((F.col("l_linenumber") == 1) & (F.col("l_tax") < 0.01))
+    swept = li.select(doc.alias("doc_id"), (F.col("l_linenumber") + 7 * (F.rint("l_quantity").cast("int") % 5)).alias("step"), F.when(left_out, 0.0).otherwise(F.col("l_discount") + 0.01).cast("double").alias("cost"))
+    return sweeps.best_without_zeros(sweeps.alignment_stats(swept).withColumn("avg_cost", F.round("avg_cost", 9))).select("doc_id", "step", "avg_cost")
+
+
 def lines_to_resegment(spark, d):
     """Documents' lines as segments over their words as timed units, cut in every way that the cascade knows: as they are, with a foreign word before,
     without spaces, by characters, with segments put in that have no source or no match. Units of every second document end in commas. A segment's place is

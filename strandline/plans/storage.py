@@ -102,8 +102,8 @@ def dictionary_words(spark, d):
     return readers.dictionary(spark, p)
 
 
-@query("WITH " + _SWEEP + """, j AS (SELECT zero_ratio - lag(zero_ratio) OVER (PARTITION BY doc_id ORDER BY step) AS jump FROM st), k AS (SELECT quantile_cont(jump, 0.2) AS a, quantile_cont(jump, 0.8) AS b FROM j WHERE jump IS NOT NULL),
-e AS (SELECT min(avg_cost) AS lo FROM st WHERE zero_ratio > 0 GROUP BY doc_id) SELECT (SELECT round(max(jump), 6) FROM j, k WHERE jump BETWEEN a AND b) AS max_jump, (SELECT round(min(lo), 6) FROM e) AS min_cost, (SELECT max(doc_id % 3 * 2 + 4)::INTEGER FROM st) AS overlap""")
+@query("WITH " + _SWEEP + """, j AS (SELECT zero_ratio - lag(zero_ratio) OVER (PARTITION BY doc_id ORDER BY step) AS jump FROM st), k AS (SELECT quantile_cont(jump, 0.2) AS a, quantile_cont(jump, 0.8) AS b FROM j WHERE jump <> 0),
+e AS (SELECT min(avg_cost) AS lo FROM st WHERE zero_ratio > 0 GROUP BY doc_id) SELECT (SELECT round(max(jump), 6) FROM j, k WHERE jump <> 0 AND jump BETWEEN a AND b) AS max_jump, (SELECT round(min(lo), 6) FROM e) AS min_cost, (SELECT max(doc_id % 3 * 2 + 4)::INTEGER FROM st) AS overlap""")
 def align_params_file(spark, d):
     p = shared_path(spark, "params")
     stats = sweeps.alignment_stats(_swept(spark, d))

@@ -85,3 +85,28 @@ def test_running_delay(spark, tmp_path):
         q.stop()
     r = spark.table("running").orderBy(F.col("tokens").desc()).first()
     assert (r.tokens, r.mean_delay) == (3, 200.0)
+
+
+def test_reference_alignments(spark):
+    """Documents end at the first size with a step that leaves nothing out; the others take the whole alignment at the last size."""
+    import numpy as np
+
+    from strandline.operators import alignment
+
+    rng = np.random.RandomState(3)
+    x = rng.standard_normal((6, 16))
+    same = x.tolist()
+    merged = np.stack([x[0:2].sum(0), x[2], x[3:6].sum(0)]).tolist()
+    other = rng.standard_normal((1, 16)).tolist()
+    kind = "doc_id string, v struct<vectors:array<array<double>>, unknown:array<string>>"
+    left = spark.createDataFrame([(d, (same, [])) for d in "abc"] + [("alone", (same, []))], kind)
+    right = spark.createDataFrame([("a", (same, [])), ("b", (merged, [])), ("c", (other, []))], kind)
+    rows, stats = alignment.reference_alignments(left, right, sizes=(2, 4))
+    got = {}
+    for r in rows.orderBy("doc_id", "aln_idx").collect():
+        got.setdefault((r.doc_id, r.size), []).append((r.src_idx, r.tgt_idx))
+    assert got["a", 2] == [([i], [i]) for i in range(6)]
+    assert got["b", 4] == [([0, 1], [0]), ([2], [1]), ([3, 4, 5], [2])]
+    assert got["c", 4] == [(list(range(6)), [0])] and len(got) == 3
+    assert {(r.doc_id, r.size) for r in stats.select("doc_id", "size").distinct().collect()} == {("a", 2), ("b", 4), ("c", 4)}
+    assert alignment.estimate_params(rows, stats).first().conservative_overlap_size == 4
