@@ -655,8 +655,8 @@ def lines_to_resegment(spark, d):
         UNION ALL SELECT doc_id, k * 2, k, CASE WHEN k % 6 = 4 THEN 'null_over_translation' ELSE 'quality_only_not_found' END, CASE WHEN k % 6 = 4 THEN -1 ELSE u0 END, CASE WHEN k % 6 = 4 THEN -1 ELSE u0 END, 0 FROM p WHERE k % 6 >= 4)
     SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS position, method, u0 AS u_start, u1 AS u_end, n::INT AS n, coalesce(list_sum(list_transform(range(u0 + 1, u0 + n + 1), lambda i: greatest(0, i * 100.0 - k * 1000.0))), 0.0)::DOUBLE AS delay FROM s""")
 def resegment_parts(spark, d):
-    """The fold in parts of 16 segments: methods, places and times of every segment."""
-    out = resegment.resegment(*lines_to_resegment(spark, d), part=16)
+    """The fold in parts of 32 segments: methods, places and times of every segment."""
+    out = resegment.resegment(*lines_to_resegment(spark, d), part=32)
     return out.select("doc_id", "position", F.col("_match_method").alias("method"), F.coalesce("_compact_u_start", F.lit(-1)).alias("u_start"), F.coalesce("_compact_u_end", F.lit(-1)).alias("u_end"), F.size("delays").alias("n"), F.aggregate("delays", F.lit(0.0), lambda a, x: a + x).alias("delay"))
 
 
