@@ -576,6 +576,46 @@ def vec_align(spark, d):
     return best.select("doc_id", "step", "aln_idx", "src_idx", "tgt_idx", F.round("cost", 6).alias("cost"))
 
 
+#: A cycle of 23 sources: block of each, and how many targets each of the ten blocks has. Block 5 leaves its source out, block 7 is a target alone.
+_PLANTED_BLOCK = [0, 1, 1, 2, 3, 3, 3, 4, 5, 6, 6, 6, 6, 6, 8, 8, 9, 9, 9, 9, 9, 9, 9]
+_PLANTED_TARGETS = [1, 1, 2, 1, 1, 0, 1, 1, 2, 1]
+
+
+def planted_pairs(spark, d):
+    """Documents of 500 vectors as sources, and targets made of them: in turn alone, two, three, five and seven joined, one and two cut in two, one left out and one put in.
+    Vectors of the table are independent, so the best alignment is the one that was planted."""
+    e = _table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    at = F.col("vec_id") % 500
+    block = F.get(F.lit(_PLANTED_BLOCK), (at % 23).cast("int"))
+    e = e.select((F.col("vec_id") - at).alias("doc"), at.alias("i"), F.floor(at / 23).alias("c"), block.alias("b"), "v")
+    scaled = lambda v, w: F.transform(v, lambda x: x * w)
+    plus = lambda v, w: F.zip_with(v, w, lambda x, y: x + y)
+    blocks = e.groupBy("doc", "c", "b").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
+    total = F.aggregate(F.slice("x", 2, 8), F.col("x")[0]["v"], lambda a, r: plus(a, r["v"]))
+    blocks = blocks.select("doc", "c", "b", total.alias("s"), F.reverse(F.col("x")[0]["v"]).alias("r"))
+    n = F.get(F.lit(_PLANTED_TARGETS), "b")
+    half = scaled(F.col("s"), 0.5)
+    made = F.when(n == 1, F.array("s")).when(n == 2, F.array(plus(half, scaled(F.col("r"), 0.8)), plus(half, scaled(F.col("r"), -0.8))))
+    put_in = blocks.where("b = 8").select("doc", "c", F.lit(7).alias("b"), F.array("r").alias("t"))
+    targets = blocks.where(n > 0).select("doc", "c", "b", made.alias("t")).unionByName(put_in)
+    vectors = lambda v: F.struct(F.transform(v, lambda x: x.cast("array<float>")).alias("vectors"), F.array().cast("array<string>").alias("unknown")).alias("v")
+    doc = (F.col("doc") / 500).cast("long").cast("string").alias("doc_id")
+    left = e.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x")).select("doc_id", vectors(F.transform("x", lambda r: r["v"])))
+    right = targets.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("c", "b", "t"))).alias("x")).select("doc_id", vectors(F.flatten(F.transform("x", lambda r: r["t"]))))
+    return left, right
+
+
+@query(f"""WITH b AS (SELECT vec_id // 500 AS d, vec_id % 500 AS i, vec_id % 500 // 23 AS c, {_PLANTED_BLOCK}[vec_id % 500 % 23 + 1] AS b FROM embeddings),
+s AS (SELECT d, c, b, list(i ORDER BY i) AS src, {_PLANTED_TARGETS}[b + 1] AS n FROM b GROUP BY d, c, b UNION ALL SELECT DISTINCT d, c, 7, [], 1 FROM b WHERE b = 8),
+o AS (SELECT *, row_number() OVER w - 1 AS aln_idx, (sum(n) OVER w)::BIGINT - n AS y FROM s WINDOW w AS (PARTITION BY d ORDER BY c, b))
+SELECT d::VARCHAR AS doc_id, aln_idx::INTEGER AS aln_idx, array_to_string(src, ',') AS src, array_to_string(range(y, y + n), ',') AS tgt, 0.0::DOUBLE AS cost FROM o""")
+def vec_align_planted(spark, d):
+    """Sources against targets made of them, coarse to fine, at size 8: merges up to seven to one, splits, a sentence left out and one put in, each at its place."""
+    out = alignment.sweep(*planted_pairs(spark, d), 8, [0.01], sums=True)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("doc_id", "aln_idx", listed("src_idx").alias("src"), listed("tgt_idx").alias("tgt"), (F.round("cost", 2) + 0.0).alias("cost"))
+
+
 @query()
 def resegment_docs(spark, d):
     """Documents' lines as segments, their words as timed units: the exact matchers with their cursors."""
