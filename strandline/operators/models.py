@@ -18,25 +18,61 @@ WORST = {"comet": 0.0, "comet-qe": 0.0, "metricx": 25.0, "metricx-qe": 25.0}
 ACCEPT, TRIES = 0.85, 3
 
 
-def transcribe(files: DataFrame, transcriber: str, language: str, batch: int = 10) -> DataFrame:
-    """Transcripts of (src, tgt, content): the plug-in gets lists of bytes and languages, and gives (text, units) for each. A batch that fails,
-    or gives another number of results, is left out, as one that a worker loses is tried again by Spark."""
-    schema = "src string, tgt string, text string, time_stamps array<struct<text:string,start_time:double,end_time:double>>"
+def batches_by_size(sizes: list[int], most: int, budget: int) -> list[list[int]]:
+    """Places of recordings of like sizes, largest first: at most ``most`` in a batch, and so many that each could be as large as the batch's largest within
+    ``budget`` bytes, as models pad to it. One that is larger than the budget is a batch by itself."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        if out and len(out[-1]) < most and (len(out[-1]) + 1) * sizes[out[-1][0]] <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def transcribe_all(files: DataFrame, transcriber: str, language: str, batch: int = 10, budget: int = 64 << 20) -> DataFrame:
+    """A row for each of (src, tgt, content): text and time_stamps, or ``error`` if there are none. The plug-in gets lists of bytes and languages, and gives
+    (text, units) for each. A batch that raises, or gives another number of results, is halved until what fails is a recording alone, so one that can't be
+    transcribed takes no other with it. A null content is an error without a call. Rows keep their order within a partition."""
+    schema = "src string, tgt string, text string, time_stamps array<struct<text:string,start_time:double,end_time:double>>, error string"
 
     f = plugins.get("transcriber", transcriber)  # here, as workers don't know what a program has registered
 
+    def called(content: list[bytes], places: list[int], text: list, units: list, error: list) -> None:
+        try:
+            got = f([content[i] for i in places], [language] * len(places))
+            why = None if len(got) == len(places) else f"{len(got)} results of {len(places)}"
+        except Exception as e:
+            got, why = [], f"{type(e).__name__}: {e}"
+        if why is None:
+            for i, (t, spans) in zip(places, got):
+                text[i], units[i] = t, [{"text": u, "start_time": a, "end_time": b} for u, a, b in spans]
+        elif len(places) == 1:
+            error[places[0]] = why
+        else:
+            for half in (places[: len(places) // 2], places[len(places) // 2 :]):
+                called(content, half, text, units, error)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
-                got = plugins.retry(f, attempts=1)(part["content"].tolist(), [language] * len(part))
-                if got is None or len(got) != len(part):
-                    continue
-                yield pd.DataFrame({"src": part["src"], "tgt": part["tgt"], "text": [t for t, _ in got], "time_stamps": [[{"text": u, "start_time": a, "end_time": b} for u, a, b in units] for _, units in got]})
+            content = pdf["content"].tolist()
+            text, units, error = ([None] * len(content) for _ in range(3))
+            known = [i for i, c in enumerate(content) if c is not None]
+            for places in batches_by_size([len(content[i]) for i in known], batch, budget):
+                called(content, [known[i] for i in places], text, units, error)
+            for i, c in enumerate(content):
+                if c is None:
+                    error[i] = "no content"
+            yield pd.DataFrame({"src": pdf["src"].tolist(), "tgt": pdf["tgt"].tolist(), "text": text, "time_stamps": units, "error": error})
 
     return files.select("src", "tgt", "content").mapInPandas(run, schema)
 
 
+def transcribe(files: DataFrame, transcriber: str, language: str, batch: int = 10, budget: int = 64 << 20) -> DataFrame:
+    """The recordings that were transcribed: src, tgt, text, time_stamps. For those that failed see transcribe_all."""
+    return transcribe_all(files, transcriber, language, batch, budget).where("error IS NULL").drop("error")
+
+
 def scorer(name: str):
     """A scorer plug-in as a function of columns; it gets Series in batches."""
     f = plugins.get("scorer", name)

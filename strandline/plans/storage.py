@@ -325,6 +325,39 @@ def transcripts(spark, d):
     return models.transcribe(files, "spelled", "en").select("src", F.md5("text").alias("text"), F.size("time_stamps").alias("units"))
 
 
+def _spelled_unless_sevenths(contents, languages):
+    from strandline import plugins
+
+    if any(len(c) % 7 == 0 for c in contents):
+        raise ValueError("a length that 7 divides")
+    return plugins.spelled(contents, languages)[: 1 if len(contents) > 6 else None]
+
+
+@query(r"""SELECT doc_id::VARCHAR AS src, CASE WHEN strlen(text) % 7 > 0 THEN md5(text) END AS text, CASE WHEN text IS NULL THEN 'no content' WHEN strlen(text) % 7 = 0 THEN 'ValueError: a length that 7 divides' END AS error FROM documents""")
+def transcript_failures(spark, d):
+    """A stand-in that raises for some recordings, and gives too few results for batches of more than six: these alone fail, with their reason, whatever batch they were in."""
+    from strandline import plugins
+
+    plugins.register("transcriber", "sevenths", _spelled_unless_sevenths)
+    files = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("src"), F.lit("x").alias("tgt"), F.encode("text", "UTF-8").alias("content"))
+    return models.transcribe_all(files, "sevenths", "en", batch=9, budget=1 << 20).select("src", F.md5("text").alias("text"), "error")
+
+
+@query("WITH " + _SEGMENTS + """, j AS (SELECT *, turn % 2 = 0 AS even, trim(src || ' ' || tgt) AS a, trim(tgt || ' ' || src) AS b FROM s)
+SELECT doc_id, CASE WHEN even THEN turn || '_' || turn + 1 ELSE seg_id END AS seg_id, CASE WHEN NOT even THEN src WHEN length(a) % 2 = 0 THEN tgt || '; ' || src ELSE a END AS src,
+CASE WHEN NOT even THEN tgt WHEN length(b) % 2 = 0 THEN src || '; ' || tgt ELSE b END AS tgt FROM j""")
+def accepted_rewritings(spark, d):
+    """Rewritings that are like enough where the joined text has an even length, and the parts' own texts elsewhere."""
+    from strandline import plugins
+
+    plugins.register("rewriter", "turned", lambda a, b: f"{b}; {a}")
+    plugins.register("similarity", "even", lambda a, b: 1.0 if len(a) % 2 == 0 else 0.0)
+    k = F.col("seg_id").cast("long")
+    even = k % 2 == 0
+    m = segments(spark, d).select("doc_id", F.when(even, F.concat_ws("_", "seg_id", (k + 1).cast("string"))).otherwise(F.col("seg_id")).alias("seg_id"), F.col("src").alias("src_1"), F.col("tgt").alias("src_2"), F.col("tgt").alias("tgt_1"), F.col("src").alias("tgt_2"))
+    return models.rewrite_merges(m, rewriter="turned", similarity="even").select("doc_id", "seg_id", "src", "tgt")
+
+
 @query("WITH " + _SEGMENTS + ", m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM s), n AS (SELECT doc_id, seg_id, row_number() OVER (ORDER BY md5(doc_id || ':' || seg_id || ':7'), doc_id, seg_id) AS r, count(*) OVER () AS n FROM m WHERE c > 1) SELECT doc_id, seg_id FROM n WHERE r <= greatest(1, ceil(round(0.1 * n * 1000000) / 1000000))")
 def sample_segments(spark, d):
     return perturb.sample(segments(spark, d), 0.1, seed=7).select("doc_id", "seg_id")

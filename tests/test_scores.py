@@ -150,3 +150,23 @@ def test_clipped_matches(spark):
     got = scores.bleu_statistics(spark.createDataFrame(rows, "hyp string, ref string").select("hyp", "ref", F.col("hyp").alias("h"), F.col("ref").alias("r"))).collect()
     grams = lambda t, n: Counter(tuple((t or "").split()[i : i + n]) for i in range(len((t or "").split()) - n + 1))
     assert all(r[f"match_{n}"] == sum((grams(r.h, n) & grams(r.r, n)).values()) for r in got for n in (1, 2, 3, 4))
+
+
+def test_batches_by_size_and_failures(spark):
+    from strandline import plugins
+    from strandline.operators import models
+
+    assert models.batches_by_size([3, 50, 10, 9, 200, 9], 2, 100) == [[4], [1, 2], [3, 5], [0]]
+    assert models.batches_by_size([], 2, 100) == []
+
+    def worker(contents, languages):
+        if any(b"bad" in c for c in contents):
+            raise RuntimeError("bad")
+        return plugins.spelled(contents, languages)
+
+    plugins.register("transcriber", "bad", worker)
+    rows = [(str(i), "x", None if i == 5 else b"bad" if i in (3, 4) else f"w{i} v".encode()) for i in range(12)]
+    got = models.transcribe_all(spark.createDataFrame(rows, "src string, tgt string, content binary").coalesce(1), "bad", "en").collect()
+    assert [r.src for r in got] == [str(i) for i in range(12)]
+    assert {r.src: r.error for r in got if r.error} == {"3": "RuntimeError: bad", "4": "RuntimeError: bad", "5": "no content"}
+    assert all(r.text == f"w{r.src} v" and len(r.time_stamps) == 2 for r in got if not r.error)
