@@ -21,9 +21,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector over its length plus 1e-5."""
-    length = norm(a) + F.lit(1e-5)
-    return F.transform(a, lambda x: x.cast("double") / length)
+    """The vector over its length plus 1e-5. The length is bound as a variable, as an expression inside a lambda is evaluated for each element."""
+    length = F.array(norm(a) + F.lit(1e-5))
+    return F.get(F.transform(length, lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def pair_cost(similarity: Column, n0: Column, n1: Column, kx: Column | int = 1, ky: Column | int = 1) -> Column:

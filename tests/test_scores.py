@@ -170,3 +170,31 @@ def test_batches_by_size_and_failures(spark):
     assert [r.src for r in got] == [str(i) for i in range(12)]
     assert {r.src: r.error for r in got if r.error} == {"3": "RuntimeError: bad", "4": "RuntimeError: bad", "5": "no content"}
     assert all(r.text == f"w{r.src} v" and len(r.time_stamps) == 2 for r in got if not r.error)
+
+
+def test_weighted_sums(spark):
+    """Sums of a key over several batches, with null keys, vectors, weights and entries, and vectors of different lengths."""
+    import math
+    import random
+    from collections import defaultdict
+
+    from strandline.operators import alignment
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), [r.random() for _ in range(r.choice([2, 3]))], [r.random() for _ in range(r.choice([1, 4]))]) for _ in range(400)]
+    rows += [("a", None, [1.0]), ("b", [1.0, 2.0], None), ("c", [None, 1.0], [1.0]), ("d", [], [1.0]), (None, [1.0], [])]
+    want, n = defaultdict(float), defaultdict(int)
+    for key, v, w in rows:
+        if v and w and None not in v:
+            for i, (x, y) in enumerate((x, y) for y in w for x in v):
+                want[key, i] += x * y
+                n[key, i] += 1
+    df = spark.createDataFrame(rows, "k string, v array<double>, w array<double>").repartition(5)
+    got = {(x.k, x.pos): (x.sum, x.n) for x in alignment.weighted_sums(df, "k", "v", "w").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k][0], want[k], rel_tol=1e-9) and got[k][1] == n[k] for k in want)
+    assert alignment.weighted_sums(df.limit(0), "k", "v", "w").collect() == []
+    x = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [])], "i int, v array<double>").selectExpr("i", "v")
+    from strandline.functions import arrays as A
+
+    units = {y.i: y.u for y in x.select("i", A.unit(x.v).alias("u")).collect()}
+    assert units[2] is None and units[3] == [] and math.isclose(units[1][0], 3 / 5.00001)
