@@ -31,8 +31,10 @@ def _nfkc():
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC of the text, "" for null."""
-    return _nfkc()(F.coalesce(c, F.lit("")))
+    """NFKC of the text, "" for null. Texts of ASCII only are their own, so these don't go to Python."""
+    text = F.coalesce(c, F.lit(""))
+    plain = text.rlike(r"\A[\x00-\x7F]*\z")
+    return F.when(plain, text).otherwise(_nfkc()(F.when(~plain, text)))
 
 
 def py_strip(c: Column) -> Column:

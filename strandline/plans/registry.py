@@ -478,9 +478,12 @@ def align_prf(spark, d):
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
-@query("SELECT x, y FROM range(1, 8) a(x), range(1, 8) b(y) WHERE x + y <= 8")
+@query("""SELECT t.x, t.y, count(p.x) AS n FROM (SELECT x, y FROM range(1, 8) a(x), range(1, 8) b(y) WHERE x + y <= 8) t
+LEFT JOIN (SELECT l_linenumber AS x, l_quantity::INTEGER % 7 + 1 AS y FROM lineitem) p ON p.x = t.x AND p.y = t.y GROUP BY t.x, t.y""")
 def alignment_types(spark, d):
-    return sweeps.alignment_types(spark, 8)
+    """All types of size 8, with how many pairs of a table are of each."""
+    pairs = _table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("x"), (F.rint("l_quantity").cast("long") % 7 + 1).alias("y")).groupBy("x", "y").count()
+    return sweeps.alignment_types(spark, 8).join(pairs, ["x", "y"], "left").select("x", "y", F.coalesce("count", F.lit(0).cast("long")).alias("n"))
 
 
 @query("SELECT '[' || (l_orderkey % 90) || ', ' || (l_orderkey % 90 + 1) || ']:[' || (l_linenumber) || ']:' || printf('%.6f', l_discount::DOUBLE) AS line, (l_orderkey % 90) || '|' || (l_orderkey % 90 + 1) AS src_idx, l_discount::DOUBLE AS cost FROM lineitem")

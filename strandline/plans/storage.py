@@ -155,14 +155,16 @@ def drop_log_file(spark, d):
     return spark.read.text(p)
 
 
-@query("SELECT 'ok' AS status, 8::BIGINT AS overlap, true AS known, 0::BIGINT AS secrets")
+@query("SELECT 'ok' AS status, 8::BIGINT AS overlap, count(*) AS documents, coalesce(sum(length(text)), 0)::BIGINT AS characters, true AS known, 0::BIGINT AS secrets FROM documents")
 def run_metadata_file(spark, d):
+    """The record of a run over documents, with what the run took in."""
     p = shared_path(spark, "meta") + ".json"
-    writers.write_run_metadata(spark, p, writers.run_metadata(spark, {"overlap": 8}, datetime.now(timezone.utc)))
-    m = spark.read.schema("status string, config struct<overlap:long>, spark string, elapsed_sec double, spark_conf map<string,string>").option("multiLine", True).json(p)
+    size = _table(spark, d, "documents").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters")).first().asDict()
+    writers.write_run_metadata(spark, p, writers.run_metadata(spark, {"overlap": 8, **size}, datetime.now(timezone.utc)))
+    m = spark.read.schema("status string, config struct<overlap:long,documents:long,characters:long>, spark string, elapsed_sec double, spark_conf map<string,string>").option("multiLine", True).json(p)
     known = F.col("spark").isNotNull() & (F.col("elapsed_sec") >= 0)
     secret = F.filter(F.map_keys("spark_conf"), lambda k: k.rlike("(?i)secret|password|token|credential|key"))
-    return m.select("status", "config.overlap", known.alias("known"), F.size(secret).cast("long").alias("secrets"))
+    return m.select("status", "config.overlap", "config.documents", "config.characters", known.alias("known"), F.size(secret).cast("long").alias("secrets"))
 
 
 @query("SELECT 36::BIGINT AS bars, count(DISTINCT user_id) AS lines FROM events")
