@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import is_blank, segment_order, segment_prefix
+from strandline.operators import boundaries
 
 
 def ordered_concat(value: Column, *order: Column, separator: str = "\n") -> Column:
@@ -183,7 +184,12 @@ def char_overlap(segments: DataFrame, units: DataFrame, bin_size: int = 512) ->
 
 
 def sentence_offsets(docs: DataFrame, splitter: str = "line") -> DataFrame:
-    """Sentences with their spans in the whole text. Paragraphs are lines; the splitter "line" needs no Python."""
+    """Sentences with their spans in the whole text. Paragraphs are lines; the splitters "line" and "learned" need no Python.
+
+    "learned" learns boundaries from these documents, apart by ``lang`` where there is such a column, and numbers sentences; the others are plug-ins."""
+    if splitter == "learned":
+        known = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+        return boundaries.learned_sentences(known).withColumnRenamed("pos", "line_no")
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     if splitter == "line":

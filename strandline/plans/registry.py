@@ -703,4 +703,7 @@ def resegment_parts(spark, d):
     return out.select("doc_id", "position", F.col("_match_method").alias("method"), F.coalesce("_compact_u_start", F.lit(-1)).alias("u_start"), F.coalesce("_compact_u_end", F.lit(-1)).alias("u_end"), F.size("delays").alias("n"), F.aggregate("delays", F.lit(0.0), lambda a, x: a + x).alias("delay"))
 
 
-from strandline.plans import storage  # noqa: E402, F401  it registers its queries here
+from strandline.plans import splitting, storage  # noqa: E402  storage registers its queries here
+
+QUERIES |= splitting.QUERIES
+ORACLE_SQL |= splitting.ORACLE_SQL
