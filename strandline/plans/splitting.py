@@ -1,12 +1,14 @@
-"""Queries of sentence boundaries learnt from the documents, and their SQL."""
+"""Queries of what is learnt from the documents themselves, sentence boundaries and vectors, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.operators import boundaries
+from strandline.operators import boundaries, vectors
+from strandline.operators.shared import materialised
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -85,4 +87,25 @@ def learned_sentences(spark: SparkSession, d: str) -> DataFrame:
     return boundaries.learned_sentences(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-QUERIES |= {"boundary_rules": boundary_rules, "learned_sentences": learned_sentences}
+#: A pair of neighbours at each distance, then both ways.
+ORACLE_SQL["word_information"] = r"""WITH d AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT unnest(list_zip(w[:-2], w[2:])) AS p FROM d UNION ALL SELECT unnest(list_zip(w[:-3], w[3:])) FROM d UNION ALL SELECT unnest(list_zip(w[:-4], w[4:])) FROM d UNION ALL SELECT unnest(list_zip(w[:-5], w[5:])) FROM d),
+f AS (SELECT p[1] AS a, p[2] AS b FROM e UNION ALL SELECT p[2], p[1] FROM e),
+g AS (SELECT a, b, count(*) AS n FROM f GROUP BY a, b), h AS (SELECT a, sum(n)::DOUBLE AS n FROM g GROUP BY a), t AS (SELECT sum(n)::DOUBLE AS n FROM g)
+SELECT g.a AS word, count(*) AS partners, round(max(ln(g.n * t.n / (x.n * y.n))), 6) AS strongest, round(sum(ln(g.n * t.n / (x.n * y.n))), 3) AS information FROM g JOIN h x ON x.a = g.a JOIN h y ON y.a = g.b, t WHERE g.n * t.n > x.n * y.n GROUP BY g.a"""
+
+
+def word_information(spark: SparkSession, d: str) -> DataFrame:
+    """For each word of the documents those that stand near it oftener than by chance: how many, the strongest's information and the sum of all."""
+    pairs = materialised(vectors.word_pairs(spark.read.parquet(f"{d}/documents.parquet")), "word-pairs")
+    x = vectors.information(pairs).groupBy(F.col("a").alias("word"))
+    return x.agg(F.count(F.lit(1)).alias("partners"), F.round(F.max("x"), 6).alias("strongest"), F.round(F.sum("x"), 3).alias("information"))
+
+
+def learned_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all benchmark passages by words learnt from all documents."""
+    words = vectors.learn_word_vectors(spark.read.parquet(f"{d}/documents.parquet"))
+    return vectors.embed_learned(spark.read.parquet(f"{d}/benchmark.parquet").select("text"), words)
+
+
+QUERIES |= {"boundary_rules": boundary_rules, "learned_sentences": learned_sentences, "word_information": word_information, "learned_vectors": learned_vectors}
