@@ -1,4 +1,4 @@
-"""Queries of what is learnt from the documents themselves, sentence boundaries and vectors, and their SQL."""
+"""Queries of what is learnt from the documents themselves, sentence boundaries, vectors and dictionaries, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions import lexicon
+from strandline.functions import text as X
 from strandline.operators import boundaries, vectors
 from strandline.operators.shared import materialised
 
@@ -108,4 +110,31 @@ def learned_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.embed_learned(spark.read.parquet(f"{d}/benchmark.parquet").select("text"), words)
 
 
-QUERIES |= {"boundary_rules": boundary_rules, "learned_sentences": learned_sentences, "word_information": word_information, "learned_vectors": learned_vectors}
+ORACLE_SQL["lattice_tokens"] = "SELECT p_partkey, array_to_string(string_split(p_name, ' '), '|') AS tokens FROM part"
+ORACLE_SQL["stem_tokens"] = r"""WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+v AS (SELECT DISTINCT w FROM e WHERE length(w) > 2), p AS (SELECT w, unnest(range(2, least(length(w), (SELECT max(length(word)) FROM k)) + 1)) AS n FROM v),
+c AS (SELECT w, max(n) AS n FROM p JOIN k ON k.word = substring(w, 1, n) GROUP BY w),
+x AS (SELECT doc_id, i, unnest([substring(e.w, 1, coalesce(n, length(e.w))), substring(e.w, coalesce(n, length(e.w)) + 1)]) AS t, unnest([0, 1]) AS j FROM e LEFT JOIN c ON c.w = e.w),
+y AS (SELECT doc_id, i, j, regexp_replace(t, '[^''\p{L}\p{N}]', '', 'g') AS t FROM x)
+SELECT d.doc_id, coalesce(count(t) FILTER (t <> ''), 0)::INTEGER AS n, md5(coalesce(string_agg(t, ' ' ORDER BY i, j) FILTER (t <> ''), '')) AS tokens FROM d LEFT JOIN y ON y.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def lattice_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts, written without spaces, cut into the words they were made of; words and their counts are the dictionary."""
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("score"))
+    cut = lexicon.tokens_by(lexicon.lattice(lexicon.dictionary_of(words)))
+    return part.select("p_partkey", F.array_join(X.tokens(F.replace("p_name", F.lit(" "), F.lit("")), "ja", {"ja": cut}), "|").alias("tokens"))
+
+
+def stem_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with words cut after the longest beginning that is a word of the benchmark, as stems and endings."""
+    found = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(found).alias("word")).distinct().withColumn("score", F.lit(1.0))
+    cut = lexicon.tokens_by(lexicon.stems(lexicon.dictionary_of(words)))
+    out = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.tokens(F.col("text"), "ko", {"ko": cut}).alias("t"))
+    return out.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"))
+
+
+QUERIES |= {f.__name__: f for f in (boundary_rules, learned_sentences, word_information, learned_vectors, lattice_tokens, stem_tokens)}
