@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import struct
+import io
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from strandline import schemas
 from strandline.operators.shared import materialised
 from strandline.operators.sweeps import MAX_JUMP, MIN_COST, OVERLAP, parse_alignment
+from strandline.sources import ranged
 
 
 def _series_udf(f, kind: str):
@@ -81,49 +82,41 @@ def wav_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wav_seconds(data: bytes | None) -> float:
-    """Frames over rate from the chunks of a RIFF file; 0 for anything else."""
-    try:
-        if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-            return 0.0
-        at, rate, frame = 12, 0, 0
-        while at + 8 <= len(data):
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if name == b"fmt ":
-                rate, frame = struct.unpack_from("<I", data, at + 12)[0], struct.unpack_from("<H", data, at + 20)[0]
-            elif name == b"data":
-                return min(size, len(data) - at - 8) // frame / rate
-            at += 8 + size + size % 2
-        return 0.0
-    except (TypeError, struct.error, ZeroDivisionError):
-        return 0.0
+    """Frames over rate of the bytes of a WAV file; 0 for anything else."""
+    return ranged.wav_seconds(io.BytesIO(data), len(data)) if data else 0.0
 
 
 def wav_durations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", _series_udf(wav_seconds, "double")("content").alias("seconds"))
+    """(path, seconds) of the WAV files of a folder: Spark lists them, and tasks read the heads of their chunks only. Files of no bytes aren't listed."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            seconds = []
+            for name, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
+                with ranged.opened(name) as f:
+                    seconds.append(ranged.wav_seconds(f, size))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(seconds, pa.float64())], names=["path", "seconds"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "length")
+    return files.mapInArrow(run, "path string, seconds double")
 
 
 def embeddings(spark: SparkSession, text_path: str, vector_path: str) -> DataFrame:
     """(text, vec): lines of a text file with the vectors of a flat float32 file. Lines must be there, and differ. The file is read
-    by records of one vector, in as many tasks as it has blocks."""
-    import numpy as np
-    import pyarrow as pa
-
+    by ranges of records, a task each."""
     text = lines(spark, text_path).withColumn("text", F.trim("line"))
     n, distinct = text.agg(F.count(F.lit(1)), F.count_distinct("text")).first()
-    size = spark.read.format("binaryFile").load(vector_path).agg(F.sum("length")).first()[0] or 0  # the bytes aren't read
+    found = spark.read.format("binaryFile").load(vector_path).select("path", "length").collect()  # one file; its bytes aren't read
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} files of vectors")
+    path, size = found[0]["path"], found[0]["length"]
     if not n or n != distinct:
         raise ValueError("no lines" if not n else "lines repeat")
     if not size or size % (4 * n):
         raise ValueError("the vectors don't divide by the lines")
-    # fixed-size records have no DataFrame source; they come in order, so each has its number
-    records = spark.sparkContext.binaryRecords(vector_path, size // n).zipWithIndex().map(lambda r: (bytearray(r[0]), r[1]))
-
-    def rows(batches):
-        for b in batches:
-            flat = np.frombuffer(b"".join(b.column("content").to_pylist()), "<f4")
-            yield pa.RecordBatch.from_arrays([b.column("row_idx"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (size // n // 4), pa.int32()), pa.array(flat))], names=["row_idx", "vec"])
-
-    vec = spark.createDataFrame(records, "content binary, row_idx long").mapInArrow(rows, "row_idx long, vec array<float>")
+    spark.dataSource.register(ranged.flat_vectors())
+    vec = spark.read.format("flat_vectors").options(dim=size // n // 4, length=size, range=ranged.RANGE).load(path)
     return text.join(vec, "row_idx").select("text", "vec")
 
 
