@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -16,6 +19,8 @@ from strandline.operators.scores import score_windows
 WORST = {"comet": 0.0, "comet-qe": 0.0, "metricx": 25.0, "metricx-qe": 25.0}
 #: A rewriting counts if it is so like the texts it was made of, and is tried so often.
 ACCEPT, TRIES = 0.85, 3
+#: Bytes of recordings after which their results leave a task, if there are enough for a batch.
+HELD = 8 << 20
 
 
 def batches_by_size(sizes: list[int], most: int, budget: int) -> list[list[int]]:
@@ -30,11 +35,26 @@ def batches_by_size(sizes: list[int], most: int, budget: int) -> list[list[int]]
     return out
 
 
+def _runs(sizes: list[int], least: int, held: int, most: int) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of neighbours: one ends at ``most`` bytes, or at ``held`` if it has ``least`` recordings."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most or (total >= held and i + 1 - begin >= least):
+            yield begin, i + 1
+            begin, total = i + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def transcribe_all(files: DataFrame, transcriber: str, language: str, batch: int = 10, budget: int = 64 << 20) -> DataFrame:
     """A row for each of (src, tgt, content): text and time_stamps, or ``error`` if there are none. The plug-in gets lists of bytes and languages, and gives
     (text, units) for each. A batch that raises, or gives another number of results, is halved until what fails is a recording alone, so one that can't be
-    transcribed takes no other with it. A null content is an error without a call. Rows keep their order within a partition."""
+    transcribed takes no other with it. A null content is an error without a call. Rows keep their order within a partition.
+
+    A task holds the recordings and results of one run of rows (HELD bytes, or a batch's ``budget``), units as Arrow arrays, however many rows Spark sends at once."""
     schema = "src string, tgt string, text string, time_stamps array<struct<text:string,start_time:double,end_time:double>>, error string"
+    unit = pa.struct([("text", pa.string()), ("start_time", pa.float64()), ("end_time", pa.float64())])
 
     f = plugins.get("transcriber", transcriber)  # here, as workers don't know what a program has registered
 
@@ -46,26 +66,34 @@ def transcribe_all(files: DataFrame, transcriber: str, language: str, batch: int
             got, why = [], f"{type(e).__name__}: {e}"
         if why is None:
             for i, (t, spans) in zip(places, got):
-                text[i], units[i] = t, [{"text": u, "start_time": a, "end_time": b} for u, a, b in spans]
+                u, a, b = zip(*spans) if len(spans) else ((), (), ())
+                text[i], units[i] = t, pa.StructArray.from_arrays([pa.array(u, pa.string()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], fields=list(unit))
         elif len(places) == 1:
             error[places[0]] = why
         else:
             for half in (places[: len(places) // 2], places[len(places) // 2 :]):
                 called(content, half, text, units, error)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            content = pdf["content"].tolist()
-            text, units, error = ([None] * len(content) for _ in range(3))
-            known = [i for i, c in enumerate(content) if c is not None]
-            for places in batches_by_size([len(content[i]) for i in known], batch, budget):
-                called(content, [known[i] for i in places], text, units, error)
-            for i, c in enumerate(content):
-                if c is None:
-                    error[i] = "no content"
-            yield pd.DataFrame({"src": pdf["src"].tolist(), "tgt": pdf["tgt"].tolist(), "text": text, "time_stamps": units, "error": error})
-
-    return files.select("src", "tgt", "content").mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sizes = [n or 0 for n in pc.binary_length(whole.column(2)).to_pylist()]
+            for begin, end in _runs(sizes, batch, min(HELD, budget), budget):
+                src, tgt, column = whole.slice(begin, end - begin).columns
+                content = column.to_pylist()
+                text, units, error = ([None] * len(content) for _ in range(3))
+                known = [i for i, c in enumerate(content) if c is not None]
+                for places in batches_by_size([len(content[i]) for i in known], batch, budget):
+                    called(content, [known[i] for i in places], text, units, error)
+                for i, c in enumerate(content):
+                    if c is None:
+                        error[i] = "no content"
+                ends = np.cumsum([0, *(0 if u is None else len(u) for u in units)])
+                there = [u for u in units if u is not None]
+                values = pa.concat_arrays(there) if there else pa.array([], unit)
+                stamps = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([u is None for u in units], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([src, tgt, pa.array(text, pa.string()), stamps, pa.array(error, pa.string())], names=["src", "tgt", "text", "time_stamps", "error"])
+
+    return files.select("src", "tgt", "content").mapInArrow(run, schema)
 
 
 def transcribe(files: DataFrame, transcriber: str, language: str, batch: int = 10, budget: int = 64 << 20) -> DataFrame:
