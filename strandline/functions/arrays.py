@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 # -- vectors -----------------------------------------------------------------------------------------------------
 
@@ -84,7 +85,16 @@ def compact_to_raw(index: Column, start: Column, end: Column) -> Column:
     return F.when(ok, raw).otherwise(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
 
 
-def _located(text: pd.Series, units: pd.Series) -> pd.Series:
+def in_pieces(f: Callable[..., list], kind: pa.DataType, *columns: pa.Array, rows: int = 64) -> pa.Array:
+    """The Arrow array of what ``f`` gives for columns as lists. So many rows at a time are Python objects, however many a batch has."""
+    parts = [pa.array(f(*(c.slice(i, rows).to_pylist() for c in columns)), kind) for i in range(0, len(columns[0]), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+_SPANS = pa.list_(pa.struct([("char_start", pa.int32()), ("char_end", pa.int32())]))
+
+
+def _located(text: pa.Array, units: pa.Array) -> pa.Array:
     def one(t: str, us) -> list[dict]:
         at, out = 0, []
         for u in us:
@@ -93,12 +103,12 @@ def _located(text: pd.Series, units: pd.Series) -> pd.Series:
             out.append({"char_start": i, "char_end": at if i >= 0 else -1})
         return out
 
-    return pd.Series([one(t or "", us if us is not None else []) for t, us in zip(text, units)], index=text.index)
+    return in_pieces(lambda ts, uss: [one(t or "", us if us is not None else []) for t, us in zip(ts, uss)], _SPANS, text, units)
 
 
 @cache
 def _locate():
-    return pandas_udf(_located, "array<struct<char_start:int,char_end:int>>")
+    return arrow_udf(_located, "array<struct<char_start:int,char_end:int>>")
 
 
 def locate_units(text: Column, units: Column) -> Column:

@@ -10,11 +10,12 @@ import math
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
+from strandline.functions.arrays import in_pieces
 from strandline.functions.text import kept_chars
 
 #: A dictionary goes to every task, so larger ones (UTF-8 bytes of their words) are refused.
@@ -87,8 +88,8 @@ def stems(scores: dict[str, float]) -> Callable[[str], list[str]]:
 def tokens_by(tokenizer: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     """A column of arrays from a column of texts: the tokenizer's tokens, of kept characters only, without empty ones."""
 
-    @pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: tokenizer(t or ""))
+    @arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return in_pieces(lambda t: [tokenizer(x or "") for x in t], pa.list_(pa.string()), texts)
 
     return lambda c: F.filter(F.transform(run(c), kept_chars), lambda t: t != "")

@@ -6,9 +6,12 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
+
+from strandline.functions.arrays import in_pieces
 
 #: Code points of CJK characters that are tokens of their own.
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}"
@@ -205,8 +208,8 @@ def bleu_tokens(c: Column, tokenizer: str = "13a") -> Column:
 def plugin_tokens(c: Column, f) -> Column:
     """Tokens of a plug-in, a function of a text, in Arrow batches."""
 
-    @pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: list(f(x or "")))
+    @arrow_udf("array<string>")
+    def run(s: pa.Array) -> pa.Array:
+        return in_pieces(lambda texts: [list(f(x or "")) for x in texts], pa.list_(pa.string()), s)
 
     return run(c)
