@@ -86,7 +86,9 @@ def ca_yaal_corpus(spark, d):
 @query(_SHORT + "SELECT user_id::VARCHAR AS doc_id, round(yaal, 3) AS yaal FROM y")
 def yaal_shortform(spark, d):
     t = timelines(spark, d)
-    return t.select("doc_id", F.round(A.yaal(F.col("delays"), F.col("source_length"), F.col("recording_end"), longform=False), 3).alias("yaal")).where("yaal IS NOT NULL")
+    y = F.round(A.yaal(F.col("delays"), F.col("source_length"), F.col("recording_end"), longform=False), 3)
+    # left out by a generator: a filter would be pushed below the columns, which are then worked out anew for each element of a fold
+    return t.select("doc_id", F.explode(F.filter(F.array(y), lambda v: v.isNotNull())).alias("yaal"))
 
 
 @query(_CA + "SELECT user_id::VARCHAR AS doc_id, round(last - any_value(src), 5) AS ending_offset, round(max_by(d, i) - any_value(src), 5) AS ca_ending_offset, round(min_by(d, i) - any_value(src), 5) AS first_offset FROM p GROUP BY user_id, last")
