@@ -54,7 +54,7 @@ def json_array(spark, d):
 def text_lines(spark, d):
     p = shared_path(spark, "lines")
     o = _table(spark, d, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("value"))
-    o.coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(p)
+    o.orderBy("o_orderkey").select("value").write.text(p)  # files in order, a range of keys each
     return readers.lines(spark, p)
 
 
@@ -143,8 +143,8 @@ def report_file(spark, d):
     q = scores.quality_input(instances(spark, d)).withColumns({"first_offset": F.lit(0.25), "end_offset": F.lit(None).cast("double")})
     writers.html_report(writers.report_cards(q), p)
     n = lambda what: F.regexp_count("value", F.lit(what)).cast("long")
-    page = spark.read.text(p, wholetext=True)
-    return page.select(n("<article ").alias("cards"), *(n(f"data-kind='{k}'").alias(a) for k, a in (("normal", "normal"), ("under_translation", "under"), ("over_translation", "over_"))), F.regexp_extract("value", r"all \([0-9]+\)", 0).alias("tab"))
+    page = spark.read.text(p)  # by lines: the page is as large as the table
+    return page.agg(F.sum(n("<article ")).alias("cards"), *(F.sum(n(f"data-kind='{k}'")).alias(a) for k, a in (("normal", "normal"), ("under_translation", "under"), ("over_translation", "over_"))), F.max(F.regexp_extract("value", r"all \([0-9]+\)", 0)).alias("tab"))
 
 
 @query("WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations) SELECT conv_id || ': ' || string_agg(turn::VARCHAR, ', ' ORDER BY turn) AS value FROM a WHERE c >= 3 AND r <= 2 GROUP BY conv_id")
