@@ -10,8 +10,11 @@ Nulls and texts without a word add nothing. Repeated texts count as often as the
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from strandline.operators.shared import materialised
 SMALL = 64 << 20
 #: The weight of a word in a text is this over this plus the word's share of the corpus.
 COMMON = 1e-3
+#: Words whose pairs a task counts at a time, about; bytes of counted pairs of a block, about; pairs of a row.
+TOKENS, BLOCK, ROW = 4_000_000, 48 << 20, 250_000
 
 
 def words_of(text: Column) -> Column:
@@ -46,6 +51,153 @@ def information(pairs: DataFrame) -> DataFrame:
     return x.select("a", "b", F.log(F.col("n").cast("double") * F.col("total") / (F.col("na").cast("double") * F.col("nb"))).alias("x")).where("x > 0")
 
 
+# -- the same in blocks: pairs of two classes of words are counted and weighed together ---------------------------
+
+
+def _key(word, seed: int) -> Column:
+    """64 bits that stand for a word; counted_words takes the first seed by which no two words of the corpus have the same."""
+    return F.xxhash64(F.lit(seed), word)
+
+
+def counted_words(docs: DataFrame, window: int = 4) -> tuple[DataFrame, int]:
+    """(h, word, n, near), stored, and the seed of the keys h: how often a word stands, and how many places stand within the window of it, which is the sum of its pairs."""
+    with_near = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("word"), (F.least(i, F.lit(window)) + F.least(F.size(w) - 1 - i, F.lit(window))).alias("near")))
+    each = docs.select(F.explode(F.flatten(F.transform(F.array(words_of(F.col("text"))), with_near))).alias("x")).select("x.*")
+    words, seed = materialised(each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("near").alias("near")), "word-counts"), 0
+    while not words.groupBy(_key(F.col("word"), seed).alias("h")).count().where("count > 1").isEmpty():
+        seed += 1
+    return words.select(_key(F.col("word"), seed).alias("h"), "word", "n", "near"), seed
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.ListArray]:
+    """Lists of words of about TOKENS words in all, across batches."""
+    held, n = [], 0
+    for batch in batches:
+        lists, at = batch.column(0), 0
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))
+        while at < len(lists):
+            before = ends[at - 1] if at else 0
+            to = min(len(lists), int(np.searchsorted(ends, before + TOKENS - n)) + 1)
+            held.append(lists.slice(at, to - at))
+            n, at = n + int(ends[to - 1] - before), to
+            if n >= TOKENS:
+                yield pa.concat_arrays(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def _count_pairs(window: int, classes: int):
+    """Of lists of keys: (i, j, a, runs, b, n), for two classes i <= j of words their pairs, each once: a in order, each with a run of as many b, and how often they stand together."""
+
+    def run(batches):
+        for lists in _pieces(batches):
+            words, code = np.unique(np.asarray(lists.flatten(), np.int64), return_inverse=True)
+            doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            by_class = np.lexsort((words, words % classes))
+            rank = np.empty(len(words), np.int64)
+            rank[by_class] = np.arange(len(words))
+            words, code = words[by_class], rank[code]
+            kind, n = words % classes, len(words)
+            keys = []
+            for d in range(1, window + 1):
+                x, y = (c[doc[:-d] == doc[d:]] for c in (code[:-d], code[d:]))
+                keys.append(np.minimum(x, y) * n + np.maximum(x, y))
+            keys = np.concatenate(keys)
+            if not len(keys):
+                continue
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            times, keys = np.diff(np.append(first, len(keys))), keys[first]
+            a, b = np.divmod(keys, n)
+            block = kind[a] * classes + kind[b]
+            order = np.argsort(block, kind="stable")
+            block = block[order]
+            begins = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            for p, q in zip(begins, np.append(begins[1:], len(block))):
+                for r in range(p, q, ROW):
+                    at = order[r : min(q, r + ROW)]
+                    x = a[at]
+                    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                    lists_ = (pa.array(words[x[starts]]), pa.array(np.diff(np.append(starts, len(x))).astype(np.int32)), pa.array(words[b[at]]), pa.array(times[at]))
+                    i, j = divmod(int(block[p]), classes)
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists_)], names=["i", "j", "a", "runs", "b", "n"])
+
+    return run
+
+
+def _weigh(classes: int, total: float, f: Callable, empty: pa.Table):
+    """Of the pairs of two classes, and the words of both: what ``f`` makes of (keys of i, keys of j, places of a and b in these, in order, information)."""
+
+    def run(key, pairs: pa.Table, words: pa.Table) -> pa.Table:
+        if not len(pairs):
+            return empty
+        i, j = (k.as_py() for k in key[:2])
+        h, near = (words.column(c).to_numpy() for c in ("h", "near"))
+        order = np.argsort(h)
+        h, near = h[order], near[order]
+        (hi, ni), (hj, nj) = ((h[h % classes == k], near[h % classes == k].astype(np.float64)) for k in (i, j))
+        a, runs, b, n = (np.concatenate([np.asarray(c.flatten(), np.int64) for c in pairs.column(name).chunks]) for name in ("a", "runs", "b", "n"))
+        keys = np.repeat(np.searchsorted(hi, a), runs) * len(hj) + np.searchsorted(hj, b)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.add.reduceat(n[order], first)
+        a, b = np.divmod(keys[first], len(hj))
+        if i == j:
+            n = np.where(a == b, 2 * n, n)  # both ways
+        x = np.log(n * total / (ni[a] * nj[b]))
+        return f(hi, hj, a[x > 0], b[x > 0], x[x > 0])
+
+    return run
+
+
+def weighed(docs: DataFrame, f: Callable, names: str, window: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The words of a corpus (counted_words), and what ``f`` makes of the information of their pairs, as ``information`` has it, block by block.
+
+    Words are dealt to classes by their keys, pairs to blocks by both classes. A task counts the pairs of some 4 million places at a time; these counts, as lists
+    of keys, are all that is shuffled. A block's pairs are added and weighed where they meet, so pairs are neither stored nor joined with words. There are as many
+    classes as make a block BLOCK bytes, so a frequent word's pairs are in many blocks."""
+    words, seed = counted_words(docs, window)
+    stats = words.agg(F.sum("n").alias("n"), F.sum("near").alias("near")).first()
+    classes = max(1, int(np.ceil(np.sqrt(2 * (stats["n"] or 0) * window * 6 / BLOCK))))
+    keys = docs.select(F.transform(words_of(F.col("text")), lambda w: _key(w, seed)).alias("w"))
+    pairs = keys.mapInArrow(_count_pairs(window, classes), "i int, j int, a array<long>, runs array<int>, b array<long>, n array<long>")
+    kind, other = F.pmod("h", F.lit(classes)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(classes - 1)))
+    known = words.where("near > 0").select("h", "near", kind.alias("k"), other.alias("o")).select(F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "h", "near")
+    empty = f(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0))
+    return words, pairs.groupBy("i", "j").cogroup(known.groupBy("i", "j")).applyInArrow(_weigh(classes, float(stats["near"] or 0), f, empty), names)
+
+
+def _entries(hi, hj, a, b, x) -> pa.Table:
+    """Pairs both ways, one of a word with itself once."""
+    two = ~((len(hi) == len(hj)) & (hi[a] == hj[b])) if len(x) else np.zeros(0, bool)
+    return pa.table({"a": np.append(hi[a], hj[b][two]), "b": np.append(hj[b], hi[a][two]), "x": np.append(x, x[two])})
+
+
+def _partners(hi, hj, a, b, x) -> pa.Table:
+    """(h, partners, strongest, information) of the words of a block."""
+    two = hi[a] != hj[b]
+    b_, x_ = b[two], x[two]
+    order = np.argsort(b_, kind="stable")
+    parts = []
+    for h, at, v in ((hi, a, x), (hj, b_[order], x_[order])):
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+        sums = [np.maximum.reduceat(v, first), np.add.reduceat(v, first)] if len(at) else [v, v]
+        parts.append((h[at[first]], np.diff(np.append(first, len(at))), *sums))
+    return pa.table(dict(zip(("h", "partners", "strongest", "information"), map(np.concatenate, zip(*parts)))))
+
+
+def word_partners(docs: DataFrame, window: int = 4) -> DataFrame:
+    """(word, partners, strongest, information): how many words stand near a word oftener than by chance, the most and the sum of their information."""
+    words, parts = weighed(docs, _partners, "h long, partners long, strongest double, information double", window)
+    whole = parts.groupBy("h").agg(F.sum("partners").alias("partners"), F.max("strongest").alias("strongest"), F.sum("information").alias("information"))
+    return whole.join(words.select("h", "word"), "h").select("word", "partners", "strongest", "information")
+
+
+# -- decomposition -----------------------------------------------------------------------------------------------
+
+
 def _product(matrix: DataFrame, block: DataFrame | None, width: int) -> DataFrame:
     """(word, vec): the symmetric matrix times a block of rows (word, vec), or times random signs."""
     if block is None:
@@ -81,7 +233,7 @@ def _turned(rows: DataFrame, by: np.ndarray) -> DataFrame:
             offsets = pa.array(np.arange(len(x) + 1) * by.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["word", "vec"])
 
-    return rows.select("word", "vec").mapInArrow(run, "word string, vec array<double>")
+    return rows.select("word", "vec").mapInArrow(run, f"word {dict(rows.dtypes)['word']}, vec array<double>")
 
 
 def _orthonormal(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
@@ -118,11 +270,11 @@ def principal(matrix: DataFrame, dim: int = 32, extra: int = 10, rounds: int = 3
 
 def learn_word_vectors(docs: DataFrame, dim: int = 32, window: int = 4, extra: int = 10, rounds: int = 3) -> DataFrame:
     """(word, n, vec) of all words that meet another: eigenvectors times the root of their eigenvalues' magnitude."""
-    matrix = materialised(information(materialised(word_pairs(docs, window), "word-pairs")), "word-information")
-    values, vectors = principal(matrix, dim, extra, rounds)
+    words, entries = weighed(docs, _entries, "a long, b long, x double", window)
+    values, vectors = principal(materialised(entries, "word-information"), dim, extra, rounds)
     scale = F.array(*(F.lit(float(x)) for x in np.sqrt(np.abs(values)))) if len(values) else F.array().cast("array<double>")
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return materialised(vectors.join(counts, "word").select("word", "n", F.zip_with("vec", scale, lambda v, s: v * s).alias("vec")), "word-vectors")
+    vectors = vectors.withColumnRenamed("word", "h").join(words.select("h", "word", "n"), "h")
+    return materialised(vectors.select("word", "n", F.zip_with("vec", scale, lambda v, s: v * s).alias("vec")), "word-vectors")
 
 
 def embed_learned(texts: DataFrame, words: DataFrame) -> DataFrame:

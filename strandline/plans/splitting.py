@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from strandline.functions import lexicon
 from strandline.functions import text as X
 from strandline.operators import boundaries, vectors
-from strandline.operators.shared import materialised
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,9 +98,8 @@ SELECT g.a AS word, count(*) AS partners, round(max(ln(g.n * t.n / (x.n * y.n)))
 
 def word_information(spark: SparkSession, d: str) -> DataFrame:
     """For each word of the documents those that stand near it oftener than by chance: how many, the strongest's information and the sum of all."""
-    pairs = materialised(vectors.word_pairs(spark.read.parquet(f"{d}/documents.parquet")), "word-pairs")
-    x = vectors.information(pairs).groupBy(F.col("a").alias("word"))
-    return x.agg(F.count(F.lit(1)).alias("partners"), F.round(F.max("x"), 6).alias("strongest"), F.round(F.sum("x"), 3).alias("information"))
+    x = vectors.word_partners(spark.read.parquet(f"{d}/documents.parquet"))
+    return x.select("word", "partners", F.round("strongest", 6).alias("strongest"), F.round("information", 3).alias("information"))
 
 
 def learned_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -77,3 +77,28 @@ def test_nothing_to_learn(spark):
     words = V.learn_word_vectors(docs, dim=3)
     assert words.count() == 0
     assert [r["vec"] for r in V.embed_learned(docs, words).collect()] == [None, None]
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    """Blocks give what the joins of pairs with words give, whatever the classes and pieces are, and no two words have one key."""
+    from pyspark.sql import functions as F
+
+    texts = [*corpus(n=30), None, "", "alone", "twice twice", "x y x x", *corpus(n=5)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    want = {(r.a, r.b): r.x for r in V.information(V.materialised(V.word_pairs(docs, 3), "p")).collect()}
+    key = V._key
+    # by the first seed, all words have few keys
+    monkeypatch.setattr(V, "_key", lambda word, seed: key(word, seed) % 5 if seed == 0 else key(word, seed))
+    for tokens, block, row in ((4_000_000, 48 << 20, 250_000), (40, 500, 7)):
+        monkeypatch.setattr(V, "TOKENS", tokens), monkeypatch.setattr(V, "BLOCK", block), monkeypatch.setattr(V, "ROW", row)
+        words, entries = V.weighed(docs, V._entries, "a long, b long, x double", 3)
+        name = {r.h: r.word for r in words.collect()}
+        rows = entries.collect()
+        assert len(rows) == len(want) and {(name[r.a], name[r.b]): round(r.x, 9) for r in rows} == {k: round(x, 9) for k, x in want.items()}
+        got = {r.word: (r.partners, round(r.strongest, 9), round(r.information, 6)) for r in V.word_partners(docs, 3).collect()}
+        of = {a: [x for (c, _), x in want.items() if c == a] for a, _ in want}
+        assert got == {a: (len(x), round(max(x), 9), round(sum(x), 6)) for a, x in of.items()}
+    assert ("x", "x") in want or ("twice", "twice") in want
+    assert V.word_partners(docs.where("false"), 3).count() == 0
+    plan = V.word_partners(docs, 3)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin [a" not in plan
