@@ -102,3 +102,12 @@ def test_pairs_in_blocks(spark, monkeypatch):
     assert V.word_partners(docs.where("false"), 3).count() == 0
     plan = V.word_partners(docs, 3)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin [a" not in plan
+
+
+def test_bases_are_not_stored(spark, monkeypatch):
+    """A decomposition writes a block for each product and its result, and keys of words are numbers."""
+    names, right = [], V.materialised
+    monkeypatch.setattr(V, "materialised", lambda df, name: names.append((name, dict(df.dtypes))) or right(df, name))
+    V.learn_word_vectors(spark.createDataFrame([(t,) for t in corpus(n=20)], "text string"), dim=3, window=2, extra=2, rounds=1)
+    assert [n for n, _ in names] == ["word-counts", "word-information", *["vector-block"] * 3, "vector-words", "word-vectors"]
+    assert names[1][1] == {"a": "bigint", "b": "bigint", "x": "double"} and names[2][1]["word"] == "bigint"
