@@ -184,9 +184,9 @@ def char_overlap(segments: DataFrame, units: DataFrame, bin_size: int = 512) ->
 
 
 def sentence_offsets(docs: DataFrame, splitter: str = "line") -> DataFrame:
-    """Sentences with their spans in the whole text. Paragraphs are lines; the splitters "line" and "learned" need no Python.
+    """Sentences with their spans in the whole text. Paragraphs are lines; the splitter "line" needs no Python.
 
-    "learned" learns boundaries from these documents, apart by ``lang`` where there is such a column, and numbers sentences; the others are plug-ins."""
+    "learned" learns boundaries from these documents, apart by ``lang`` where there is such a column, and numbers sentences, with scans of the texts in Arrow batches; the others are plug-ins."""
     if splitter == "learned":
         known = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
         return boundaries.learned_sentences(known).withColumnRenamed("pos", "line_no")
