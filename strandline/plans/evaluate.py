@@ -105,7 +105,7 @@ def raw_spans(aligned: DataFrame, instances: DataFrame) -> DataFrame:
 
 def score(config: Config, aligned: DataFrame, segments: DataFrame, instances: DataFrame) -> DataFrame:
     """Instances of aligned segments, numbered over all documents in order of first appearance."""
-    out = resegment.resegment(raw_spans(aligned, instances), segments.select("doc_id", "row_idx", "start_ms", "end_ms", "text"), instances)
+    out = resegment.resegment(materialised(raw_spans(aligned, instances), "spans"), segments.select("doc_id", "row_idx", "start_ms", "end_ms", "text"), instances)
     placed = out.join(instances.select("doc_id", "first"), "doc_id")
     before = placed.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
     start = before.select("first", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("start"))  # a row a recording
