@@ -1,8 +1,8 @@
 """Vectors of words and texts learnt from the corpus: a randomised eigendecomposition of the matrix of positive pointwise mutual
 information between words that stand near one another.
 
-The matrix is a table of its entries. Its products with narrow blocks of vectors are joins on the word and sums by the other
-word, with partial sums before the shuffle; only Gram matrices of the block's width, whatever the corpus, come to the driver.
+The matrix is stored once. In its products with narrow blocks of vectors the vectors of the words with most entries are sent to all tasks (matrix.HEAD bytes), where a word's
+entries with these are one row; entries with rarer words are joins and sums. Else only Gram matrices of the block's width, whatever the corpus, come to the driver.
 No word is left out for being rare. Results depend on the corpus and the parameters; the starting block is made of hashes of words.
 
 Nulls and texts without a word add nothing. Repeated texts count as often as they stand. Columns other than the text's are passed over.
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
+from strandline.operators.matrix import Stored
 from strandline.operators.shared import materialised
 
 #: Bytes of vectors up to which they are sent to all tasks.
@@ -198,15 +199,6 @@ def word_partners(docs: DataFrame, window: int = 4) -> DataFrame:
 # -- decomposition -----------------------------------------------------------------------------------------------
 
 
-def _product(matrix: DataFrame, block: DataFrame | None, width: int) -> DataFrame:
-    """(word, vec): the symmetric matrix times a block of rows (word, vec), or times random signs."""
-    if block is None:
-        x = matrix.withColumn("vec", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.when(F.xxhash64("b", j) < 0, -1.0).otherwise(1.0)))
-    else:
-        x = matrix.join(block.withColumnRenamed("word", "b"), "b")
-    return x.groupBy(F.col("a").alias("word")).agg(F.array(*(F.sum(F.col("x") * F.get("vec", F.lit(j))) for j in range(width))).alias("vec"))
-
-
 def _gram(rows: DataFrame, left: str, right: str, width: int) -> np.ndarray:
     """The sum over all rows of left' right, a matrix of the block's width; each task sends one."""
 
@@ -256,13 +248,15 @@ def principal(matrix: DataFrame, dim: int = 32, extra: int = 10, rounds: int = 3
     A block of dim + extra random directions is multiplied by the matrix so many times and made orthonormal after each; the
     matrix is then decomposed within its span."""
     width = dim + extra
-    image = materialised(_product(matrix, None, width), "vector-block")
+    stored = Stored(matrix, width)
+    signs = stored.words.select("word", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.when(F.xxhash64("word", j) < 0, -1.0).otherwise(1.0)).alias("vec"))
+    image = materialised(stored.times(signs, width), "vector-block")
     for _ in range(rounds + 1):
         by, width = _basis(image, width)
         if not width:
             return np.zeros(0), image.select("word", F.array().cast("array<double>").alias("vec"))
         block = _turned(image, *by)
-        image = materialised(_product(matrix, block, width), "vector-block")
+        image = materialised(stored.times(block, width), "vector-block")
     both = block.join(image.withColumnRenamed("vec", "image"), "word")
     inner = _gram(both, "vec", "image", width)
     e, v = np.linalg.eigh((inner + inner.T) / 2)

@@ -111,3 +111,25 @@ def test_bases_are_not_stored(spark, monkeypatch):
     V.learn_word_vectors(spark.createDataFrame([(t,) for t in corpus(n=20)], "text string"), dim=3, window=2, extra=2, rounds=1)
     assert [n for n, _ in names] == ["word-counts", "word-information", *["vector-block"] * 3, "vector-words", "word-vectors"]
     assert names[1][1] == {"a": "bigint", "b": "bigint", "x": "double"} and names[2][1]["word"] == "bigint"
+
+
+def test_products_shuffle_no_entry_with_the_head(spark, monkeypatch):
+    """Entries with the words of the head stay where they are stored; entries with others are added to them. Whatever the head's size is, the product is the matrix's."""
+    from strandline.operators import matrix as S
+
+    rng = np.random.default_rng(6)
+    m = np.triu(np.where(rng.random((60, 60)) < 0.2, rng.random((60, 60)), 0))
+    m = m + m.T
+    m[7] = m[:, 7] = 0  # without an entry
+    entries = spark.createDataFrame([(f"w{i}", f"w{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m))], "a string, b string, x double")
+    v = rng.standard_normal((60, 3))
+    block = spark.createDataFrame([(f"w{i}", v[i].tolist()) for i in range(60) if m[i].any()], "word string, vec array<double>")
+    for size in (1, 10, 1000):
+        monkeypatch.setattr(S, "HEAD", size * 8 * 3)
+        stored = S.Stored(entries, 3)
+        out = stored.times(block, 3)
+        got = {r.word: r.vec for r in out.collect()}
+        assert got.keys() == {f"w{i}" for i in range(60) if m[i].any()}
+        assert all(np.allclose(x, m[int(w[1:])] @ v, atol=1e-12) for w, x in got.items())
+        assert (stored.rest is None) == (size == 1000)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
