@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.operators.shared import materialised
 
 #: Bytes of vectors of the words with most entries, which are sent to all tasks for each product.
-HEAD = 32 << 20
+HEAD = 64 << 20
 
 
 class Stored:
@@ -27,10 +27,12 @@ class Stored:
         self.head = materialised(first.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("int").alias("at")), "matrix-head")
         met = matrix.join(F.broadcast(self.head.withColumnRenamed("word", "b")), "b", "left")
         rows = met.where("at IS NOT NULL").groupBy("a").agg(F.collect_list(F.struct("at", "x")).alias("e"))
-        self.rows = materialised(rows.select("a", F.col("e.at").alias("at"), F.col("e.x").alias("x")), "matrix-rows")
+        rows = rows.select("a", F.col("e.at").alias("at"), F.col("e.x").alias("x"))
         self.rest = None
         if self.words.count() > self.size:
             self.rest = materialised(met.where("at IS NULL").select("a", "b", "x"), "matrix-rest")
+            rows = rows.join(self.rest.select("a", F.lit(True).alias("more")).distinct(), "a", "left")
+        self.rows = materialised(rows, "matrix-rows")
 
     def times(self, block: DataFrame, width: int) -> DataFrame:
         """(word, vec): the matrix times a block of rows (word, vec)."""
@@ -50,9 +52,11 @@ class Stored:
                     out[r] = x[p:q] @ v[at[p:q]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * width, pa.int32()), pa.array(out.ravel()))], names=["word", "vec"])
 
-        near = self.rows.select("a", "at", "x").mapInArrow(run, f"word {dict(self.rows.dtypes)['a']}, vec array<double>")
+        made = lambda rows: rows.select("a", "at", "x").mapInArrow(run, f"word {dict(self.rows.dtypes)['a']}, vec array<double>")
         if self.rest is None:
-            return near
+            return made(self.rows)
         each = lambda w: F.array(*(F.sum(F.col(w) * F.get("vec", F.lit(j))) for j in range(width))).alias("vec")
         far = self.rest.join(block.withColumnRenamed("word", "b"), "b").groupBy(F.col("a").alias("word")).agg(each("x"))
-        return near.unionByName(far).withColumn("_one", F.lit(1.0)).groupBy("word").agg(each("_one"))
+        # words that have entries with the head only are whole
+        more = made(self.rows.where("more")).unionByName(far).withColumn("_one", F.lit(1.0)).groupBy("word").agg(each("_one"))
+        return made(self.rows.where("more IS NULL")).unionByName(more)
